@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe
+from halyard.llm import bpe, langid, quality
 from halyard.llm.common import table
 
 
@@ -26,8 +26,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(divisor: int) -> Column:
+    """crc32 of the id's text, modulo `divisor`; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every whole text of documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, _crc(4) != 2)
+    return langid.predict(docs, model).select("doc_id", F.coalesce(_crc(4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score the quality of every whole text of documents."""
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"), usable=_crc(5) != 0)
+    return quality.score(docs, trees).select("doc_id", F.coalesce(_crc(5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
