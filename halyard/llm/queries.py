@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, langid, quality
+from halyard.llm import bpe, jaccard, langid, quality
 from halyard.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of every whole text of documents: five words, similarity 0.8 or more."""
+    found = jaccard.join(table(spark, sf_dir, "documents"), n=5, percent=80)
+    return found.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def _crc(divisor: int) -> Column:
     """crc32 of the id's text, modulo `divisor`; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -47,6 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
 }
