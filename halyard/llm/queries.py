@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, jaccard, langid, quality
+from halyard.llm import bpe, jaccard, langid, pii, quality
 from halyard.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents."""
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
+
+
 def _crc(divisor: int) -> Column:
     """crc32 of the id's text, modulo `divisor`; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -54,6 +62,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
 }
