@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, jaccard, langid, pii, quality
+from halyard.llm import bpe, jaccard, langid, mixing, pii, quality
 from halyard.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Seed of the epochs' orders.
+MIX_SEED = 20
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the production mixture, once for each epoch it is chosen in."""
+    mixed = mixing.blend(table(spark, sf_dir, "documents"), mixing.production_levels(), mixing.WEIGHTS, max_epochs=2, seed=MIX_SEED)
+    return mixed.select("doc_id", "mix.*")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of every whole text of documents: five words, similarity 0.8 or more."""
     found = jaccard.join(table(spark, sf_dir, "documents"), n=5, percent=80)
@@ -61,6 +71,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
