@@ -138,15 +138,15 @@ def _name(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, n: int, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_grams, node) of each row; node is null for an empty set."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, key, n_grams, node) of each row: key is a hash of the text, node of the set, null for an empty one."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             found = [ngram_set(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, found)), pa.int64()), pa.array([_name(s) if len(s) else None for s in found], pa.int64())], ["id", "n_grams", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(list(map(len, found)), pa.int64()), pa.array([_name(s) if len(s) else None for s in found], pa.int64())], ["id", "key", "n_grams", "node"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_grams bigint, node bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key bigint, n_grams bigint, node bigint")
 
 
 def _index(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
@@ -205,8 +205,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent
     return both.select("a", "b", "za", "zb").mapInArrow(check, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_grams, component) of each row: the set's size and the least id that links reach."""
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(id, key, n_grams, class) of each row; class is null for an empty set."""
     rows = materialise(sets(docs, n, id_col=id_col, text_col=text_col), "sets")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
     group = Window.partitionBy("sig")
@@ -231,6 +231,33 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     more = _verify(across, docs, nodes, n, percent, id_col, text_col)
     comp = components(linked.unionByName(more))
 
-    labelled = rows.join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    names = labelled.where("node is not null").groupBy("group").agg(F.min("id").alias("name"))
-    return labelled.join(names, "group", "left").select(F.col("id").alias(id_col), "n_grams", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("name")).alias("component"))
+    return rows.join(comp, "node", "left").select("id", "key", "n_grams", F.coalesce("component", "node").alias("class"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_grams, component) of each row: the set's size and the least id that links reach."""
+    found = classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
+    names = found.where("class is not null").groupBy("class").agg(F.min("id").alias("name"))
+    return found.join(names, "class", "left").select(F.col("id").alias(id_col), "n_grams", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("name")).alias("component"))
+
+
+def unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without all but one of each class: the least id's stays (null ids last, then the least text hash).
+
+    Rows without words stay. Of rows alike in id and text one stays.
+    """
+    found = materialise(classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent), "classes")
+    found = found.where("class is not null").withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    first = found.groupBy("class").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    both = materialise(found.join(first, "class").select("id", "key", F.col("place").eqNullSafe(F.col("first")).alias("stays")), "places")
+    here = [F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.id")), F.xxhash64(f"d.`{text_col}`") == F.col("x.key")]
+
+    def without(rows: DataFrame, out: DataFrame, how: str) -> DataFrame:
+        small = out.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return rows.alias("d").join((F.broadcast(out) if small else out).alias("x"), here, how)
+
+    kept = without(docs, both.where("not stays").select("id", "key").distinct(), "left_anti")
+    again = both.where("stays").groupBy("id", "key").count().where("count > 1").select("id", "key")
+    if again.isEmpty():
+        return kept
+    return without(kept, again, "left_anti").unionByName(without(kept, again, "left_semi").dropDuplicates([id_col, text_col]))

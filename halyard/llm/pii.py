@@ -142,17 +142,37 @@ def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     return trusted
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans) of each row: arrays of (start, end, kind, value), the base spans and all spans."""
+def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The base spans of each row (id, key, spans) and, for rows with such, the spans that contexts add (id2, key2, more)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     with_spans = rows.withColumn("spans", base_spans(F.col("text")))
-    base = materialise(with_spans.select("id", "key", "spans"), "base")
     tokens = materialise(_tokens(with_spans), "tokens")
     trusted = trusted_contexts(rows, tokens)
     fresh = tokens.where("kind is null").drop("kind").join(trusted, "context").select("id", "key", F.struct("start", "end", "kind", "value").alias("s"))
-    fresh = fresh.distinct().groupBy("id", "key").agg(F.collect_list("s").alias("more")).withColumnsRenamed({"id": "id2", "key": "key2"})
-    both = base.join(fresh, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
-    return both.select(F.col("id").alias(id_col), F.col("spans").alias("base"), in_order(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    return with_spans.select("id", "key", "spans"), fresh.distinct().groupBy("id", "key").agg(F.collect_list("s").alias("more")).withColumnsRenamed({"id": "id2", "key": "key2"})
+
+
+def _all(spans: Column) -> Column:
+    return in_order(F.concat(spans, F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, base, spans) of each row: arrays of (start, end, kind, value), the base spans and all spans."""
+    base, fresh = _found(docs, id_col, text_col)
+    both = materialise(base, "base").join(fresh, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
+    return both.select(F.col("id").alias(id_col), F.col("spans").alias("base"), _all(F.col("spans")).alias("spans"))
+
+
+def scrub(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with each span of its texts replaced by its kind in angle brackets; a null text stays null."""
+    fresh = materialise(_found(docs, id_col, text_col)[1], "fresh")
+    small = fresh.limit(BROADCAST_CONTEXTS + 1).count() <= BROADCAST_CONTEXTS
+    text = F.col(f"d.`{text_col}`")
+    here = F.col(f"d.`{id_col}`").eqNullSafe(F.col("id2")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("key2"))
+    both = docs.alias("d").join(F.broadcast(fresh) if small else fresh, here, "left")
+    both = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != text_col], text.alias(text_col), _all(base_spans(text)).alias("\u0000spans"))
+    clean = both.withColumn(text_col, redact(F.col(text_col), F.col("\u0000spans")))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def written(spans: Column) -> Column:

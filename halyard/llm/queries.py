@@ -69,11 +69,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees).select("doc_id", F.coalesce(_crc(5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_pii": op7_pii,
+    "pipeline": pipeline,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
 }
