@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.table = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], pa.large_binary())
         core = tiktoken.Encoding("halyard", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         one = core.encode_single_piece
 
@@ -57,13 +59,24 @@ class Codec:
     def ids(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.split.findall(text))), np.int32)
 
-    def pieces(self, text: str) -> tuple[list[int], list[list[int]]]:
-        """Starts of the pre-tokens, and the ids of each."""
+    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the pre-tokens and the text's end, how many ids each has, and all ids."""
         found = self.split.findall(text)
-        return np.cumsum([0, *map(len, found)]).tolist(), [self.known[x] for x in found]
+        ids = [self.known[x] for x in found]
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        return starts, np.fromiter(map(len, ids), np.int32, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+    def decode_rows(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list: taking the tokens' bytes in order puts them one after the other already."""
+        flat = self.table.take(ids.flatten())
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        at = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        data = flat.buffers()[2] or pa.py_buffer(b"")
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), data]).cast(pa.binary())
 
 
 @lru_cache(2)
@@ -71,37 +84,37 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def _ids_array(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *parts])))
+
+
+Chunk = tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
 
 
-def stitch(chunks: list[tuple[int, int, list[int], list[list[int]]]], c: Codec) -> list[int]:
-    """The ids of a whole text from its chunks: (start, end, starts of the pre-tokens and the end, ids of each).
+def stitch(chunks: list[Chunk], c: Codec) -> np.ndarray:
+    """The ids of a whole text from its chunks: (start, end, starts of the pre-tokens and the end, ids in each, ids).
 
     All positions are code points of the text. Chunks are in order, and each next start lies in the one before.
     """
-    begin, end, starts, ids = chunks[0]
-    done: list[int] = []
-    for nxt_begin, nxt_end, nxt_starts, nxt_ids in chunks[1:]:
+    begin, end, starts, counts, ids = chunks[0]
+    done: list[np.ndarray] = []
+    for nxt_begin, nxt_end, nxt_starts, nxt_counts, nxt_ids in chunks[1:]:
         # A pre-token that touches the chunk's end may go on; boundaries before it are final.
         final = starts[:-1] if starts[-1] == end else starts
-        meet = next((p for p in sorted(set(nxt_starts[:-1]).intersection(x for x in final if x >= nxt_begin))), None)
-        if meet is None:
-            keep = max(0, len(starts) - 2)
-            while keep and starts[keep] >= nxt_begin:
-                keep -= 1
-            done.extend(chain.from_iterable(ids[:keep]))
-            head = c.decode(list(chain.from_iterable(ids[keep:]))).decode()[: nxt_begin - starts[keep]]
-            text = head + c.decode(list(chain.from_iterable(nxt_ids))).decode()
-            rel, ids = c.pieces(text)
-            starts, begin, end = [starts[keep] + r for r in rel], starts[keep], nxt_end
+        meet = np.intersect1d(final[final >= nxt_begin], nxt_starts[:-1])
+        if not len(meet):
+            keep = max(0, min(len(starts) - 2, int(np.searchsorted(starts, nxt_begin)) - 1))
+            cut = int(counts[:keep].sum())
+            done.append(ids[:cut])
+            head = c.decode(ids[cut:]).decode()[: nxt_begin - int(starts[keep])]
+            begin, (rel, counts, ids) = int(starts[keep]), c.pieces(head + c.decode(nxt_ids).decode())
+            starts, end = begin + rel, nxt_end
             continue
-        done.extend(chain.from_iterable(ids[: starts.index(meet)]))
-        at = nxt_starts.index(meet)
-        begin, end, starts, ids = nxt_begin, nxt_end, nxt_starts[at:], nxt_ids[at:]
-    done.extend(chain.from_iterable(ids))
-    return done
+        done.append(ids[: int(counts[: int(np.searchsorted(starts, meet[0]))].sum())])
+        at = int(np.searchsorted(nxt_starts, meet[0]))
+        begin, end, starts, counts, ids = nxt_begin, nxt_end, nxt_starts[at:], nxt_counts[at:], nxt_ids[int(nxt_counts[:at].sum()) :]
+    return np.concatenate([*done, ids])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15, overlap: int = 1 << 9) -> DataFrame:
@@ -114,7 +127,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), _ids_array([c.ids(t) for t in b.column("text").to_pylist()])], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), _lists([c.ids(t) for t in b.column("text").to_pylist()], np.int32)], ["id", "ids"])
 
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, f"id {kind}, ids array<int>")
 
@@ -122,27 +135,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         c = codec(ranks_path, pattern)
         for b in slices(batches, "text"):
             at, out = b.column("at").to_pylist(), [c.pieces(t) for t in b.column("text").to_pylist()]
-            new = [
-                pa.array([[a + s for s in starts] for a, (starts, _) in zip(at, out)], pa.list_(pa.int64())),
-                pa.array([[len(x) for x in ids] for _, ids in out], pa.list_(pa.int32())),
-                pa.array([list(chain.from_iterable(ids)) for _, ids in out], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("id", "hash", "at", "end")), *new], ["id", "hash", "at", "end", "starts", "lens", "ids"])
+            new = [_lists([a + x for a, (x, _, _) in zip(at, out)], np.int64), _lists([x for _, x, _ in out], np.int32), _lists([x for _, _, x in out], np.int32)]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("id", "hash", "at", "end")), *new], ["id", "hash", "at", "end", "starts", "counts", "ids"])
 
     def joined(t: pa.Table) -> pa.Table:
         c, chunks, copies = codec(ranks_path, pattern), {}, 0
-        for x in t.to_pylist():
-            copies += x["at"] == 0
-            ends = np.cumsum([0, *x["lens"]]).tolist()
-            chunks[x["at"]] = (x["at"], x["end"], x["starts"], [x["ids"][i:j] for i, j in zip(ends, ends[1:])])
-        ids = np.asarray(stitch([chunks[a] for a in sorted(chunks)], c), np.int32)
-        return pa.table([pa.concat_arrays([t.column("id").combine_chunks().slice(0, 1)] * copies), _ids_array([ids] * copies)], ["id", "ids"])
+        for i in range(t.num_rows):
+            at = t.column("at")[i].as_py()
+            copies += at == 0
+            chunks[at] = (at, t.column("end")[i].as_py(), *(t.column(x)[i].values.to_numpy() for x in ("starts", "counts", "ids")))
+        ids = stitch([chunks[a] for a in sorted(chunks)], c)
+        return pa.table([pa.concat_arrays([t.column("id").combine_chunks().slice(0, 1)] * copies), _lists([ids] * copies, np.int32)], ["id", "ids"])
 
     size = F.length("text")
     long = rows.where(size > chunk_chars).select("id", F.sha2("text", 256).alias("hash"), "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk_chars))).alias("k"))
     at = F.col("k") * chunk_chars
     long = long.select("id", "hash", at.cast("bigint").alias("at"), F.least(at + chunk_chars + overlap, size).cast("bigint").alias("end"), F.expr(f"substring(text, cast(k * {chunk_chars} + 1 as int), {chunk_chars + overlap})").alias("text"))
-    long = long.repartition("id", "at").mapInArrow(part, f"id {kind}, hash string, at bigint, end bigint, starts array<bigint>, lens array<int>, ids array<int>")
+    long = long.repartition("id", "at").mapInArrow(part, f"id {kind}, hash string, at bigint, end bigint, starts array<bigint>, counts array<int>, ids array<int>")
     return short.unionByName(long.groupBy("id", "hash").applyInArrow(joined, f"id {kind}, ids array<int>")).withColumnRenamed("id", id_col)
 
 
@@ -156,7 +165,6 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 b = batch.slice(lo, 1024)
-                ids = b.column("ids")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(x or ()) for x in ids.to_pylist()], pa.binary())], [*b.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*b.columns, c.decode_rows(b.column("ids"))], [*b.schema.names, "decoded"])
 
     return rows.mapInArrow(back, f"{kinds}, decoded binary")
