@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, jaccard, langid, mixing, pii, quality
+from halyard.llm import bpe, jaccard, langid, lzprint, mixing, pii, quality
 from halyard.llm.common import table
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every whole text of documents, its edited form, and their likenesses."""
+    return lzprint.with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of documents."""
     import public_tokenizers as vocab
@@ -77,6 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lz_fingerprint": op2_lz_fingerprint,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
