@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, jaccard, langid, lzprint, mixing, pii, quality
+from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, pii, quality
 from halyard.llm.common import table
 
 
@@ -74,6 +74,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees).select("doc_id", F.coalesce(_crc(5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all other embeddings to each whose id is divisible by 100."""
+    found = curves.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {}
