@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, pii, quality
+from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, pii, quality, repeats
 from halyard.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove the words in 13-word windows that start in an earlier document too."""
+    found = repeats.dedup(table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint every whole text of documents, its edited form, and their likenesses."""
     return lzprint.with_next(table(spark, sf_dir, "documents"))
@@ -88,6 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_lz_fingerprint": op2_lz_fingerprint,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
