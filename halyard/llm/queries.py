@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, pii, quality, repeats
-from halyard.llm.common import table
+from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, order, pii, quality, repeats
+from halyard.llm.common import scratch, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,19 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+#: Key of the training order, and the id that pads a document's last sequence.
+ORDER_KEY, PAD = 6, 50256
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents in training order to the shared folder; a row for each shard as it was read back."""
+    import public_tokenizers as vocab
+
+    path = f"{scratch(spark)}/halyard/order-{uuid.uuid4().hex}"
+    order.write(table(spark, sf_dir, "documents"), path, ranks_path=vocab.path("byte_bpe_50k.tiktoken"), pattern=vocab.PATTERN, pad=PAD, key=ORDER_KEY)
+    return spark.read.parquet(path).select("shard", "first_slot", "sequences", "tokens", F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -99,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_training_order": op6_training_order,
     "op7_pii": op7_pii,
     "pipeline": pipeline,
     "op8_language_id": op8_language_id,
