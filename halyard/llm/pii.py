@@ -119,10 +119,19 @@ def _tokens(rows: DataFrame) -> DataFrame:
 def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """(context, kind, confidence) of the patterns that the graph comes to trust."""
     graph = materialise(tokens.groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "graph")
-    wide = graph.groupBy("context").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= SUPPORT).select("context")
-    words = F.split(F.lower("text"), r"\s+")
-    pairs = rows.select(words.alias("w")).select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
-    totals = join_size_checked(pairs, wide, "context", BROADCAST_CONTEXTS).groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+    wide = graph.groupBy("context").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("most")).where(F.col("values") >= SUPPORT).select("context", "most")
+
+    def occurrences(part: DataFrame, contexts: DataFrame) -> DataFrame:
+        w = F.split(F.lower("text"), r"\s+")
+        pair = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+        pairs = part.select(w.alias("w")).select(F.explode(pair).alias("context"))
+        return join_size_checked(pairs, contexts, "context", BROADCAST_CONTEXTS).groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+
+    # What a context occurs in a part of the texts is a lower bound of its total: where even all its tokens are
+    # too few against that, no round can come to trust it, and the count over all texts leaves it out.
+    some = occurrences(rows.where(F.pmod("key", F.lit(16)) == 0), wide.select("context"))
+    wide = materialise(wide.join(some, "context", "left").where(F.col("most") >= CONFIDENCE * F.coalesce("total", F.lit(0))).select("context"), "wide")
+    totals = occurrences(rows, wide)
     totals = materialise(totals, "totals")
     graph = graph.join(totals, "context")
     known = graph.where("kind is not null").select("context", "value", "kind", "n", F.lit(1.0).alias("score"))
