@@ -111,14 +111,13 @@ def picks(w: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def names(w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of the window from each token on."""
-    n = len(w) - width + 1
-    a, b = np.zeros(max(n, 0), _U), np.zeros(max(n, 0), _U)
-    other = mix(w ^ _K[3])
-    for i in range(width if n > 0 else 0):
-        a = mix(a + w[i : n + i]) * _K[0]
-        b = mix(b ^ other[i : n + i]) * _K[1]
+def names(w: np.ndarray, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of the windows that start at the tokens `at`."""
+    a, b = np.zeros(len(at), _U), np.zeros(len(at), _U)
+    for i in range(width):
+        own = w[at + i]
+        a = mix(a + own) * _K[0]
+        b = mix(b ^ own * _K[3]) * _K[1]
     return a, b
 
 
@@ -205,14 +204,14 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for b in slices([batch], "z", 1 << 20):
                 w, starts, _ = tokens([z.decompress(x).decode() for x in b.column("z").to_pylist()])
-                best, (x, y) = picks(w, width), names(w, width)
+                best = picks(w, width)
                 at = [np.zeros(0, np.int64)]
                 for i, (s, wanted) in enumerate(zip(starts, b.column("names"))):
                     part = best[s : starts[i + 1] - 1 if i + 1 < len(starts) else None]
                     at.append(s + np.flatnonzero(np.isin(part.view(np.int64), wanted.values.to_numpy()) & (part != 0)))
                 at = np.concatenate(at)
                 doc = np.searchsorted(starts, at, side="right") - 1
-                ids, x, y = b.column("id").to_numpy()[doc], x[at], y[at]
+                ids, (x, y) = b.column("id").to_numpy()[doc], names(w, width, at)
                 first, larger = _relieve([x, y], ids)
                 place = (b.column("key").to_numpy()[doc].astype(np.int64) << 32) | (at - starts[doc])
                 # What an earlier document of the slice holds is known to go; its slot is spread by document.

@@ -34,7 +34,8 @@ def brute(rows, width=13):
 def test_equal_windows_pick_equal_symbols(core, before, after, width):
     text = lambda x: " ".join(f"t{i}" for i in x)
     w, starts, counts = repeats.tokens([text(core), text(before + core + after), ""])
-    best, (x, y) = repeats.picks(w, width), repeats.names(w, width)
+    best = repeats.picks(w, width)
+    x, y = repeats.names(w, width, np.arange(len(best)))
     a, b = starts[0], starts[1] + len(before)
     n = len(core) - width + 1
     assert (best[a : a + n] != 0).all() and (best[a : a + n] == best[b : b + n]).all()
