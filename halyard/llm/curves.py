@@ -78,7 +78,8 @@ def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndar
         kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
         for i, limit in enumerate(np.where(np.isfinite(kth), kth + largest, np.finfo(float).max)):
             near = np.flatnonzero(rough[i] <= limit)
-            d = np.sqrt(((rows[near] - part[i]) ** 2).sum(1))
+            # Running sums add in the components' order, as a plain loop would.
+            d = np.sqrt(((rows[near] - part[i]) ** 2).cumsum(1)[:, -1])
             best = np.lexsort((ids[near], d))[:k]
             places.append(np.full(len(best), lo + i))
             found.append(ids[near][best])

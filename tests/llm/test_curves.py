@@ -11,7 +11,7 @@ def brute(rows, asked, k=10):
     out = {}
     for i, v in zip(ids, x):
         if asked(i):
-            d = np.sqrt(((x - v) ** 2).sum(1))
+            d = np.sqrt(((x - v) ** 2).cumsum(1)[:, -1])
             near = [j for j in np.lexsort((ids, d)) if ids[j] != i][:k]
             out[int(i)] = [(int(ids[j]), float(d[j])) for j in near]
     return out
