@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, order, pii, quality, repeats
+from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, oracles, order, pii, quality, repeats
 from halyard.llm.common import scratch, table
 
 
@@ -121,4 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_mixing": oracles.mixing(mixing.WEIGHTS, MIX_SEED),
+    "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op10_neighbours": oracles.NEIGHBOURS,
+}
