@@ -17,13 +17,15 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.functions import codes
 from halyard.functions.metrics import Metric
 from halyard.operators import lsm, search
+from halyard.operators.bloom import ScalableBloom
 
 KEY_TYPES = {"long": T.LongType(), "uuid16": T.BinaryType()}
 KINDS = {"dense": T.ArrayType(T.DoubleType()), "bits": T.BinaryType(), "varbits": T.BinaryType()}
@@ -40,6 +42,8 @@ class Config:
     metric: str = "cos"
     multi: bool = False
     shard_rows: int = 10_000_000
+    #: False: one shard for good, in which several vectors for a key can be removed and equal vectors are left alone.
+    sharded: bool = True
     connectivity: int = 16
     expansion_add: int = 128
     expansion_search: int = 64
@@ -71,7 +75,7 @@ class VectorStore:
     # Opening
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, ndim: int | None = None, *, kind: str = "dense", key_type: str = "long", metric: str | Metric | None = None, multi: bool = False, shard_rows: int = 10_000_000, **hints: int) -> VectorStore:
+    def create(cls, spark: SparkSession, path: str, ndim: int | None = None, *, kind: str = "dense", key_type: str = "long", metric: str | Metric | None = None, multi: bool = False, shard_rows: int = 10_000_000, sharded: bool = True, **hints: int) -> VectorStore:
         """A new store at `path`, or the one that is there, if its schema agrees."""
         if kind not in KINDS or key_type not in KEY_TYPES:
             raise ValueError(f"kind must be one of {[*KINDS]} and key_type one of {[*KEY_TYPES]}")
@@ -89,7 +93,7 @@ class VectorStore:
         if ndim is None:
             raise ValueError("ndim is needed for a new store")
         name = metric if isinstance(metric, str) else DEFAULT_METRIC[kind] if metric is None else "custom"
-        store = cls(spark, path, Config(ndim, kind, key_type, name, multi, shard_rows, **hints), State(), metric=metric if callable(metric) else None)
+        store = cls(spark, path, Config(ndim, kind, key_type, name, multi, shard_rows, sharded, **hints), State(), metric=metric if callable(metric) else None)
         store._commit(store.state)
         return store
 
@@ -104,6 +108,14 @@ class VectorStore:
         commits = tuple(m["state"].pop("commits"))
         return cls(spark, path, Config(**m["config"]), State(**m["state"], shards=shards, commits=commits), read_only=read_only, metric=metric)
 
+    @classmethod
+    def restore(cls, spark: SparkSession, path: str) -> VectorStore | None:
+        """The store at `path`, read-only; None where there is none or its manifest can't be read."""
+        try:
+            return cls.open(spark, path, read_only=True)
+        except (ValueError, TypeError, KeyError):
+            return None
+
     @staticmethod
     def metadata(spark: SparkSession, path: str) -> dict | None:
         """The schema of the store at `path`; None where there is none."""
@@ -112,7 +124,7 @@ class VectorStore:
 
     def copy(self, path: str) -> VectorStore:
         """An independent store at `path` with the same visible rows."""
-        other = VectorStore.create(self.spark, path, self.config.ndim, kind=self.config.kind, key_type=self.config.key_type, metric=self._metric, multi=self.config.multi, shard_rows=self.config.shard_rows)
+        other = VectorStore.create(self.spark, path, self.config.ndim, kind=self.config.kind, key_type=self.config.key_type, metric=self._metric, multi=self.config.multi, shard_rows=self.config.shard_rows, sharded=self.config.sharded)
         if self.size:
             other._append(self.live().select("key", "seq", "vec"), other.state, 0)
         return other
@@ -210,6 +222,15 @@ class VectorStore:
         items = items if where is None else items.where(where)
         return search.knn(self._codes(queries), self._codes(items), self._metric, count, radius=radius, multi=self.config.multi)
 
+    def search_counted(self, queries: DataFrame, count: int = 10) -> tuple[DataFrame, Observation]:
+        """As `search`, with an observation whose `pairs` is the number of distances computed, once the result was read."""
+        search.check_count(count)
+        seen = Observation()
+        found = search.pairs(self._codes(queries), self._codes(self.live().select("key", "vec")), self._metric).observe(seen, F.count(F.lit(1)).alias("pairs"))
+        if self.config.multi:
+            found = found.groupBy("query_id", "key").agg(F.min("distance").alias("distance"))
+        return search.merge(found, count), seen
+
     def range_search(self, queries: DataFrame, radius: float) -> DataFrame:
         return search.range_search(self._codes(queries), self._codes(self.live().select("key", "vec")), self._metric, radius)
 
@@ -269,7 +290,7 @@ class VectorStore:
             state = self._bury(lsm.cleared(self.tombstones(), written), state)
             # A key that comes back may still have an older row in a view.
             state = replace(state, needs_dedup=True)
-        if sum(n for _, n in shards[state.active]) >= self.config.shard_rows:
+        if self.config.sharded and sum(n for _, n in shards[state.active]) >= self.config.shard_rows:
             state = replace(state, active=state.active + 1)
         self._commit(state, commit)
         self.dirty += n
@@ -296,18 +317,25 @@ class VectorStore:
         return self._append(lsm.to_add_once(self._batch(batch), self.live()), self.state, commit)
 
     def upsert(self, batch: DataFrame, *, commit: str | None = None) -> int:
-        """Write the last vector of each key, whatever was there; the number of rows written."""
+        """Write the last vector of each key, whatever was there; the number of rows written.
+
+        A store that isn't sharded leaves vectors alone that are equal to the present ones.
+        """
         if self._done(commit):
             return 0
         if self.config.multi:
             raise ValueError("a store of several vectors for a key has no upsert")
         new = lsm.last_of_batch(self._batch(batch))
+        if not self.config.sharded:
+            new = lsm.changes(new, self.live()).where("change <> 'same'").select("key", F.lit(0).cast("bigint").alias("seq"), "vec")
         return self._append(new, self._without(new.select("key"), self.state), commit)
 
     def upsert_changed(self, batch: DataFrame, *, commit: str | None = None) -> int:
         """As `upsert`, but vectors equal to the present ones aren't written."""
         if self._done(commit):
             return 0
+        if self.config.multi:
+            raise ValueError("a store of several vectors for a key has no upsert")
         wanted = lsm.changes(self._batch(batch), self.live()).where("change <> 'same'")
         return self.upsert(wanted.select("key", F.lit(0).alias("seq"), "vec"), commit=commit)
 
@@ -325,7 +353,7 @@ class VectorStore:
     def remove(self, keys: DataFrame | Iterable, *, compact: bool = False) -> int:
         """Remove keys (missing ones are ignored); the number of keys that were there."""
         self._writable()
-        if self.config.multi:
+        if self.config.multi and self.config.sharded:
             raise ValueError("a sharded store of several vectors for a key has no remove")
         gone = self._asked(keys).select("key").distinct()
         there = self.visible().join(gone, "key", "left_semi").select("key").distinct().count()
@@ -353,7 +381,7 @@ class VectorStore:
     def rotate(self) -> None:
         """Close the active shard and go on in a new one."""
         self._writable()
-        if self.state.shards.get(self.state.active):
+        if self.config.sharded and self.state.shards.get(self.state.active):
             self._commit(replace(self.state, active=self.state.active + 1))
 
     def reset(self) -> None:
@@ -372,8 +400,42 @@ class VectorStore:
         _swap(self.spark, f"{self.path}/manifest.json", json.dumps({"config": asdict(self.config), "state": asdict(state)}))
         self.state = state
 
+    # Membership and buffers
+
+    def bloom(self, rate: float = 0.01) -> ScalableBloom:
+        """A Bloom filter of all physical keys."""
+        return ScalableBloom.build(self.rows().select("key"), rate)
+
+    def to_bytes(self) -> bytes:
+        """The live rows as one Arrow stream: for stores that fit the driver."""
+        t = self.live().select("key", "seq", "vec").toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        return sink.getvalue().to_pybytes()
+
+    def load_bytes(self, data: bytes) -> int:
+        """Add the rows of such a stream; the number of rows added."""
+        return self.add(self.spark.createDataFrame(pa.ipc.open_stream(data).read_all()))
+
     # Figures
 
+    @property
+    def ndim(self) -> int | None:
+        return self.config.ndim
+
+    @property
+    def metric(self) -> str:
+        return self.config.metric
+
+    @property
+    def multi(self) -> bool:
+        return self.config.multi
+
+    @property
+    def tombstone_count(self) -> int:
+        return self.state.tombstone_count
+
     @property
     def physical_rows(self) -> int:
         return sum(n for folders in self.state.shards.values() for _, n in folders)

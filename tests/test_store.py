@@ -212,6 +212,32 @@ def test_bloom(spark):
     assert len(b) == 0 and 5 not in b
 
 
+def test_a_store_of_one_shard(spark, tmp_path):
+    s = VectorStore.create(spark, str(tmp_path / "one"), ndim=2, sharded=False, shard_rows=1)
+    s.add(s.frame([1, 2, 3], [[1, 0], [0, 1], [1, 1]]))
+    assert s.upsert(s.frame([1, 2, 2], [[1, 0], [7, 7], [5, 5]])) == 1 and s.shard_count == 1
+    assert rows(s.live()) == {1: [1, 0], 2: [5, 5], 3: [1, 1]}
+    assert s.remove([2, 9]) == 1 and s.tombstone_count == 0 and rows(s.live()).keys() == {1, 3}
+    m = VectorStore.create(spark, str(tmp_path / "many"), ndim=2, sharded=False, multi=True)
+    m.add(m.frame([1, 1, 2], [[1, 0], [0, 1], [1, 1]]))
+    assert m.remove([1]) == 1 and [r.key for r in m.keys().collect()] == [2]
+
+
+def test_buffers_membership_counters_and_restore(spark, store, tmp_path):
+    store.add(store.frame([1, 2, 3], eye(4)[:3]))
+    other = VectorStore.create(spark, str(tmp_path / "o"), ndim=4)
+    assert other.load_bytes(store.to_bytes()) == 3 and rows(other.live()) == rows(store.live())
+    assert all(store.bloom().contains_batch([1, 2, 3]))
+    found, seen = store.search_counted(queries(spark, eye(4)[:2]), 1)
+    assert found.count() == 2 and seen.get["pairs"] == 6
+    assert (store.ndim, store.metric, store.multi) == (4, "cos", False)
+    assert VectorStore.restore(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "manifest.json").write_text("{")
+    assert VectorStore.restore(spark, str(tmp_path / "bad")) is None
+    assert VectorStore.restore(spark, store.path).read_only
+
+
 def test_streams_commit_once(spark, store, tmp_path):
     src = str(tmp_path / "in")
     for i in range(3):
