@@ -12,10 +12,11 @@ least one segment of two linked sets differs by less than its number. `allot` pi
   and frequent segments exceed the slack keeps all of them).
 * small sets: half as many segments of number 2, indexed by content and by all one-deletion neighbours.
 
-Sets that share an indexed content are candidates. First, neighbours in each shared group are verified on
-the n-grams themselves, and linked sets contracted to components. Then, in the groups that still hold more
-than one component, all pairs across components are verified. So each link between different texts is
-either verified or implied by the components, and copies never expand into pairs.
+Sets that share an indexed content are candidates. Contents of few sets give all their pairs, counted: a
+linked pair agrees on more of them than the slack that either set has left, so chance meetings fall out.
+Contents of many sets matter only between sets beyond their slack: these gather at a hub and are compared
+exactly, block by block, on the n-grams themselves; what is linked in two blocks leaves as a star. So each
+link between different texts is found, and neither copies nor families of near copies expand into pairs.
 
 Defined cases: a text with fewer than n words is one n-gram of all its words; one without words (or null)
 has an empty set, no links and its own id as its component; a null id is kept and never is a component's
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import WORD, join_size_checked, materialise, mix, slices
+from halyard.llm.common import join_size_checked, materialise, mix, slices
 from halyard.llm.components import components
 
 #: Contents that more sets than this share are frequent.
-FREQUENT = 64
+FREQUENT = 4
+#: Sets of a block that is compared in one task, at most, and their elements.
+BLOCK, BLOCK_ELEMENTS = 1024, 1 << 20
 #: Sets smaller than this are indexed with one-deletion neighbours.
 SMALL = 24
 #: Ids that are broadcast at most (8 bytes each); beyond, both sides are shuffled.
@@ -47,35 +51,28 @@ _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-class _Known(dict):
-    """Hashes of words, kept for a bounded number of them."""
+_GRAM = mix(np.arange(1, 65, dtype=_U) * _ODD[0]) | _U(1)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 300_000:
-            self.clear()
-        if len(word) <= 40:
-            self[word] = h
-        return h
 
+def ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct n-grams, A to Z in lower case."""
+    # Without an argument, split() divides bytes at just the space and 0x09 to 0x0D.
+    words = [(t or "").encode().lower().split() for t in texts]
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), _U)
 
-_KNOWN = _Known()
+    def grams(w: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(len(w) - size + 1, _U(size))
+        for i in range(size):
+            h += w[i : len(w) - size + 1 + i] * _GRAM[i % len(_GRAM)] + _U(i)
+        return mix(h)
 
-
-def word_hashes(text: bytes) -> np.ndarray:
-    return np.fromiter(map(_KNOWN.__getitem__, WORD.findall(text)), _U)
-
-
-def ngram_set(text: str | None, n: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct n-grams, A to Z in lower case."""
-    w = word_hashes((text or "").encode().lower())
-    if not len(w):
-        return w
-    size = min(n, len(w))
-    h = np.full(len(w) - size + 1, _U(size) * _ODD[0])
-    for i in range(size):
-        h = mix(h + w[i : len(w) - size + 1 + i]) * _ODD[1]
-    return np.unique(h)
+    every, at, found = grams(flat, n) if len(flat) >= n else flat, 0, []
+    for count in map(len, words):
+        h = every[at : at + count - n + 1].copy() if count >= n else grams(flat[at : at + count], count) if count else flat[:0]
+        h.sort()
+        found.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h)
+        at += count
+    return found
 
 
 @lru_cache(64)
@@ -133,8 +130,8 @@ def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _name(s: np.ndarray) -> int:
-    """A set's hash, as a signed number; 0 stands for the empty set."""
-    return int(mix(np.array([np.sum(mix(s ^ _ODD[0])), np.sum(mix(s ^ _ODD[1]))], _U) * _ODD[2])[0] ^ mix(np.sum(mix(s ^ _ODD[1]), keepdims=True))[0]) - (1 << 63) or 1
+    """A set's hash, as a signed number."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def sets(docs: DataFrame, n: int, *, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +140,7 @@ def sets(docs: DataFrame, n: int, *, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = [ngram_set(t, n) for t in b.column("text").to_pylist()]
+            found = ngram_sets(b.column("text").to_pylist(), n)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(list(map(len, found)), pa.int64()), pa.array([_name(s) if len(s) else None for s in found], pa.int64())], ["id", "key", "n_grams", "node"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key bigint, n_grams bigint, node bigint")
@@ -156,8 +153,7 @@ def _index(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
         seen: set[int] = set()
         for b in slices(batches, "text"):
             sig, tag, node = [], [], []
-            for t in b.column("text").to_pylist():
-                s = ngram_set(t, n)
+            for s in ngram_sets(b.column("text").to_pylist(), n):
                 if len(s) and (name := _name(s)) not in seen:
                     seen.add(name)
                     x, y = signatures(s, percent)
@@ -170,67 +166,125 @@ def _index(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig bigint, node bigint, tag int")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, checked on the n-grams of one text each."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, z): one text, compressed, of each wanted node."""
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("id"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
-            found = [ngram_set(t, n) for t in texts]
+            found = ngram_sets(texts, n)
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in found], pa.int64()), pa.array([z.compress((t or "").encode()) for t in texts], pa.binary())], ["node", "z"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = join_size_checked(rows, ids, "id", BROADCAST_IDS).select("text").mapInArrow(pack, "node bigint, z binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    texts = materialise(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    return join_size_checked(rows, ids, "id", BROADCAST_IDS).select("text").mapInArrow(pack, "node bigint, z binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
 
-        @lru_cache(64)
-        def grams(packed: bytes) -> np.ndarray:
-            return ngram_set(z.decompress(packed).decode(), n)
+def _sets_of(packed: list[bytes], n: int) -> list[np.ndarray]:
+    z = zstandard.ZstdDecompressor()
+    return ngram_sets([z.decompress(x).decode() for x in packed], n)
 
+
+def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked, checked on the n-grams of one text each."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for za, zb in zip(batch.column("za"), batch.column("zb")):
-                x, y = grams(za.as_py()), grams(zb.as_py())
-                common = len(np.intersect1d(x, y, assume_unique=True)) if percent * max(len(x), len(y)) <= 100 * min(len(x), len(y)) else 0
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                good = []
+                for x, y in zip(_sets_of(b.column("za").to_pylist(), n), _sets_of(b.column("zb").to_pylist(), n)):
+                    common = len(np.intersect1d(x, y, assume_unique=True)) if percent * max(len(x), len(y)) <= 100 * min(len(x), len(y)) else 0
+                    good.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good, pa.bool_())), b.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
     return both.select("a", "b", "za", "zb").mapInArrow(check, "a bigint, b bigint")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of `left` has in common with each of `right`, by products over the elements both sides have."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(shared), 2048):
+        part = shared[lo : lo + 2048]
+
+        def rows(side: list[np.ndarray], part: np.ndarray = part) -> np.ndarray:
+            m = np.zeros((len(side), len(part)), np.float32)
+            for i, s in enumerate(side):
+                own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                at = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                m[i, at[part[at] == own]] = 1
+            return m
+
+        out += rows(left) @ rows(right).T
+    return out
+
+
+def _families(frequent: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): pairs that connect whatever is linked among the sets that share an entry of `frequent` (sig, node, passed).
+
+    The sets of an entry gather at the one with most frequent entries, so that sets sharing many entries gather
+    once. A gathering is split into blocks of bounded size by hash, each pair of blocks is compared exactly in one
+    task, and what is linked there leaves as a star: no pairs are written out.
+    """
+    hubs = frequent.groupBy("sig").agg(F.max(F.struct("passed", "node")).alias("h")).select("sig", F.col("h.node").alias("hub"))
+    members = materialise(frequent.select("sig", "node").join(hubs, "sig").select("hub", "node").distinct(), "members")
+    sized = members.join(nodes.select("node", "n"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"))
+    blocks = sized.where("size > 1").select("hub", F.ceil(F.col("size") / F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_ELEMENTS} div n")))).cast("int").alias("k"))
+    texts = materialise(_texts(members.select("node").distinct(), docs, nodes, n, id_col, text_col), "texts")
+    dealt = members.join(blocks, "hub").join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "z")
+
+    def links(t: pa.Table) -> pa.Table:
+        node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+        found = _sets_of(t.column("z").to_pylist(), n)
+        a, b = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        size = np.array([len(s) for s in found])
+        both = common_counts([found[i] for i in a], [found[i] for i in b]).astype(np.int64)
+        linked = 100 * both >= percent * (size[a][:, None] + size[b][None] - both)
+        label = np.arange(len(node))
+        while True:
+            new = label.copy()
+            new[a] = np.minimum(new[a], np.where(linked, new[b][None], len(node)).min(axis=1))
+            new[b] = np.minimum(new[b], np.where(linked, new[a][:, None], len(node)).min(axis=0))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        away = label != np.arange(len(node))
+        return pa.table({"a": node[label[away]], "b": node[away]})
+
+    return dealt.groupBy("hub", "lo", "hi").applyInArrow(links, "a bigint, b bigint")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(id, key, n_grams, class) of each row; class is null for an empty set."""
     rows = materialise(sets(docs, n, id_col=id_col, text_col=text_col), "sets")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_grams").alias("n"))
     group = Window.partitionBy("sig")
     shared = _index(docs, n, percent, text_col).repartition("sig").withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group), "cnt": F.count(F.lit(1)).over(group)})
     shared = materialise(shared.where("least < most").select("sig", "node", "tag", "cnt").distinct(), "shared")
-    # A set passes over its frequent entries while its slack lasts, and keeps them all beyond.
-    frequent = shared.where(F.col("cnt") > FREQUENT)
-    beyond = frequent.groupBy("node", "tag").count().where("count >= shiftright(tag, 1)").select("node", "tag")
-    used = shared.where(F.col("cnt") <= FREQUENT).unionByName(frequent.join(beyond, ["node", "tag"], "left_semi")).select("sig", "node")
-    used = materialise(used, "used")
-    chain = used.distinct().select(F.lag("node").over(group.orderBy("node")).alias("a"), F.col("node").alias("b")).where("a is not null").distinct()
-    chain = materialise(chain, "chain")
-    linked = materialise(_verify(chain, docs, nodes, n, percent, id_col, text_col), "linked")
-    comp = components(linked)
-
-    placed = used.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig")
-    placed = materialise(placed.join(open_, "sig", "left_semi").distinct(), "open")
-    a, b = placed.toDF("sig", "a", "ca"), placed.toDF("sig", "b", "cb")
-    across = a.join(b, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = materialise(across.join(chain, ["a", "b"], "left_anti"), "across")
-    more = _verify(across, docs, nodes, n, percent, id_col, text_col)
-    comp = components(linked.unionByName(more))
-
+    few = F.col("cnt") <= FREQUENT
+    passed = materialise(shared.where(~few).groupBy("node", "tag").agg(F.count(F.lit(1)).alias("passed")), "passed")
+
+    # Sets of which one keeps within its slack agree on more of the other entries than its slack has left.
+    least = F.greatest(F.shiftright("tag", 1) - F.coalesce("passed", F.lit(0)), F.lit(1)).cast("int")
+    rare = shared.where(few).join(passed, ["node", "tag"], "left").select("sig", "node", (F.col("tag") % 2).alias("parity"), least.alias("least"))
+    a, b = rare.toDF("sig", "a", "parity", "la"), rare.toDF("sig", "b", "parity", "lb")
+    close = a.join(b, ["sig", "parity"]).where("a < b").groupBy("a", "b", "parity").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("la", "lb")).alias("least"))
+    close = close.where("n >= least").select("a", "b").distinct()
+
+    close = materialise(close, "close")
+    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    linked = _verify(close, materialise(_texts(wanted, docs, nodes, n, id_col, text_col), "texts"), n, percent)
+
+    # Sets beyond their slack meet in the frequent entries.
+    beyond = passed.where("passed >= shiftright(tag, 1)")
+    frequent = materialise(shared.where(~few).join(beyond, ["node", "tag"]).select("sig", "node", "passed"), "frequent")
+    comp = components(linked.unionByName(_families(frequent, nodes, docs, n, percent, id_col, text_col)))
     return rows.join(comp, "node", "left").select("id", "key", "n_grams", F.coalesce("component", "node").alias("class"))
 
 

@@ -63,7 +63,7 @@ def test_linked_sets_share_an_entry(n, seed, percent):
         assert any(len([t for t in here if t == tag_]) >= tag_ // 2 for tag_ in set(here))
 
 
-@pytest.mark.parametrize("frequent", [64, 1])
+@pytest.mark.parametrize("frequent", [4, 1, 64])
 def test_documents_against_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -73,6 +73,7 @@ def test_documents_against_brute_force(spark, monkeypatch, frequent):
 
 def test_chains_small_sets_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
     words = [f"w{i}" for i in range(60)]
     rows = [(100 - k, " ".join(words[:40][: 40 - k] + [f"x{k}{j}" for j in range(k)])) for k in range(8)]  # links form a chain
     rows += [(200 + k, " ".join(words[20 : 29 + k])) for k in range(4)] + [(210, "A b"), (211, "a  B"), (212, "a"), (213, ""), (214, None), (None, "a"), (213, "a b c d e f g h i j"), (220, "a b c d e f g h i j"), (None, "only me")]
@@ -82,6 +83,20 @@ def test_chains_small_sets_and_odd_rows(spark, monkeypatch):
     assert jaccard.join(docs.where("false")).count() == 0
 
 
+def test_families_of_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = np.random.default_rng(2)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(90):
+        words = list(base)
+        for j in r.integers(0, 150, r.integers(0, 7)):
+            words[j] = f"x{r.integers(0, 30)}"
+        rows.append((int(1000 - i), " ".join(words)))
+    want = brute(rows)
+    assert 1 < len({c for *_, c in want}) < 60
+    assert got(jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"))) == want
+
+
 def test_components_of_a_long_path(spark):
     n = 3000
     order = np.random.default_rng(0).permutation(n).tolist()
