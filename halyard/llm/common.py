@@ -41,7 +41,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/halyard/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.halyard_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote, once nothing that is still to be computed reads them."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(t.halyard_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.llm import bpe
-from halyard.llm.common import materialise, mix
+from halyard.llm.common import discard, materialise, mix
 
 ROUNDS = 6
 #: Documents whose numbers are broadcast at most (some 24 bytes each); beyond, both sides are shuffled.
@@ -132,6 +132,7 @@ def write(docs: DataFrame, path: str, *, ranks_path: str, pattern: str, pad: int
             yield shard()
 
     slots.mapInArrow(pack, "shard bigint, first_slot bigint, sequences bigint, tokens bigint, payload binary").write.parquet(path)
+    discard(cut, numbers)
 
 
 def read(spark: SparkSession, path: str, first: int, count: int, *, length: int = 512, stride: int = 512) -> Iterator[np.ndarray]:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import join_size_checked, materialise, mix, slices
+from halyard.llm.common import discard, join_size_checked, materialise, mix, slices
 
 ROUNDS = 3
 #: Rows (id, key, ranges) that are broadcast at most (some 60 bytes each); beyond, both sides are shuffled.
@@ -179,7 +179,7 @@ def _anchors(rows: DataFrame, width: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
-    """(id, key, ranges): for each row that loses words, the ranges (first, end) of words that go; key is hash(text)."""
+    """(id, key, ranges), written out: for each row that loses words, the ranges (first, end) of words that go; key is hash(text)."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
     seqs = materialise(_sequences(rows).where(F.col("n") >= width), "sequences")
     firsts = seqs.groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
@@ -235,12 +235,14 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     kind = "array<struct<first:bigint,end:bigint>>"
     whole = copies.select("id", "key", F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.col("n").alias("end"))).cast(kind).alias("ranges"))
-    return starts.mapInArrow(ranges, f"id bigint, key int, ranges {kind}").unionByName(whole)
+    out = materialise(starts.mapInArrow(ranges, f"id bigint, key int, ranges {kind}").unionByName(whole), "removals")
+    discard(seqs, copies, keys)
+    return out
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """(id, n_words, n_removed, kept) of each row: the number of words, of those that go, and the text of the rest."""
-    gone = materialise(removals(docs, id_col=id_col, text_col=text_col, width=width), "removals").withColumnsRenamed({"id": "gid", "key": "gkey"})
+    gone = removals(docs, id_col=id_col, text_col=text_col, width=width).withColumnsRenamed({"id": "gid", "key": "gkey"})
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
     both = rows.join(F.broadcast(gone) if small else gone, (F.col("id") == F.col("gid")) & (F.col("key") == F.col("gkey")), "left").select("id", "text", "ranges")
