@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import join_size_checked, materialise, mix, slices
+from halyard.llm.common import discard, join_size_checked, materialise, mix, slices
 from halyard.llm.components import components
 
 #: Contents that more sets than this share are frequent.
@@ -279,12 +279,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     close = materialise(close, "close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    linked = _verify(close, materialise(_texts(wanted, docs, nodes, n, id_col, text_col), "texts"), n, percent)
+    texts = materialise(_texts(wanted, docs, nodes, n, id_col, text_col), "texts")
+    linked = materialise(_verify(close, texts, n, percent), "linked")
+    discard(close, texts)
 
     # Sets beyond their slack meet in the frequent entries.
     beyond = passed.where("passed >= shiftright(tag, 1)")
     frequent = materialise(shared.where(~few).join(beyond, ["node", "tag"]).select("sig", "node", "passed"), "frequent")
+    discard(shared, passed)
     comp = components(linked.unionByName(_families(frequent, nodes, docs, n, percent, id_col, text_col)))
+    discard(frequent, linked)
     return rows.join(comp, "node", "left").select("id", "key", "n_grams", F.coalesce("component", "node").alias("class"))
 
 
