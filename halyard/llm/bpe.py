@@ -14,20 +14,21 @@ an empty table gives an empty one; columns other than the two named are not look
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.common import slices
 
-#: Pre-tokens kept with their ids, per Python worker, and the longest kept; the rest is encoded anew.
-CACHE, CACHED_CHARS = 200_000, 48
+#: Pre-tokens of long texts kept with their ids, per Python worker, and the longest kept; the rest is encoded anew.
+CACHE, CACHED_CHARS = 50_000, 48
 
 
 class Codec:
@@ -42,8 +43,8 @@ class Codec:
         self.split = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.table = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], pa.large_binary())
-        core = tiktoken.Encoding("halyard", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        one = core.encode_single_piece
+        encoding = tiktoken.Encoding("halyard", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ordinary, one = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
 
         class Known(dict):
             def __missing__(self, piece: str) -> list[int]:
@@ -57,7 +58,8 @@ class Codec:
         self.known = Known()
 
     def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.split.findall(text))), np.int32)
+        """The ids of a text that is one chunk."""
+        return np.array(self.ordinary(text), np.int32)
 
     def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the pre-tokens and the text's end, how many ids each has, and all ids."""
@@ -117,42 +119,56 @@ def stitch(chunks: list[Chunk], c: Codec) -> np.ndarray:
     return np.concatenate([*done, ids])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15, overlap: int = 1 << 9) -> DataFrame:
-    """(id, ids array<int>) of each row of `docs`; `ranks_path` must exist on every executor."""
+def _as_lists(parts: list[np.ndarray]) -> list[pa.Array]:
+    return [_lists(parts, np.int32)]
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15, overlap: int = 1 << 9,
+    shape: Callable[[list[np.ndarray]], list[pa.Array]] = _as_lists, columns: str = "ids array<int>",
+) -> DataFrame:
+    """(id, ids array<int>) of each row of `docs`; `ranks_path` must exist on every executor.
+
+    `shape` may turn the ids of a batch of texts into other `columns` (a schema text) where they were made.
+    """
     if not 0 < overlap <= chunk_chars:
         raise ValueError("overlap must be from 1 to chunk_chars")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), _lists([c.ids(t) for t in b.column("text").to_pylist()], np.int32)], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *shape([c.ids(t) for t in b.column("text").to_pylist()])], names)
 
-    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, f"id {kind}, ids array<int>")
+    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, f"id {kind}, {columns}")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c, z = codec(ranks_path, pattern), zstandard.ZstdCompressor(3)
         for b in slices(batches, "text"):
-            at, out = b.column("at").to_pylist(), [c.pieces(t) for t in b.column("text").to_pylist()]
-            new = [_lists([a + x for a, (x, _, _) in zip(at, out)], np.int64), _lists([x for _, x, _ in out], np.int32), _lists([x for _, _, x in out], np.int32)]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("id", "hash", "at", "end")), *new], ["id", "hash", "at", "end", "starts", "counts", "ids"])
+            packed = []
+            for t in b.column("text").to_pylist():
+                starts, counts, ids = c.pieces(t)
+                packed.append(z.compress(np.concatenate([[len(counts)], starts, counts, ids]).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("id", "hash", "at", "end")), pa.array(packed, pa.binary())], ["id", "hash", "at", "end", "pieces"])
 
     def joined(t: pa.Table) -> pa.Table:
-        c, chunks, copies = codec(ranks_path, pattern), {}, 0
-        for i in range(t.num_rows):
-            at = t.column("at")[i].as_py()
+        c, z, chunks, copies = codec(ranks_path, pattern), zstandard.ZstdDecompressor(), {}, 0
+        for at, end, packed in zip(*(t.column(x).to_pylist() for x in ("at", "end", "pieces"))):
             copies += at == 0
-            chunks[at] = (at, t.column("end")[i].as_py(), *(t.column(x)[i].values.to_numpy() for x in ("starts", "counts", "ids")))
+            x = np.frombuffer(z.decompress(packed), "<u4").astype(np.int64)
+            n = int(x[0])
+            chunks[at] = (at, end, at + x[1 : n + 2], x[n + 2 : 2 * n + 2], x[2 * n + 2 :].astype(np.int32))
         ids = stitch([chunks[a] for a in sorted(chunks)], c)
-        return pa.table([pa.concat_arrays([t.column("id").combine_chunks().slice(0, 1)] * copies), _lists([ids] * copies, np.int32)], ["id", "ids"])
+        return pa.table([pa.concat_arrays([t.column("id").combine_chunks().slice(0, 1)] * copies), *shape([ids] * copies)], names)
 
     size = F.length("text")
     long = rows.where(size > chunk_chars).select("id", F.sha2("text", 256).alias("hash"), "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk_chars))).alias("k"))
     at = F.col("k") * chunk_chars
     long = long.select("id", "hash", at.cast("bigint").alias("at"), F.least(at + chunk_chars + overlap, size).cast("bigint").alias("end"), F.expr(f"substring(text, cast(k * {chunk_chars} + 1 as int), {chunk_chars + overlap})").alias("text"))
-    long = long.repartition("id", "at").mapInArrow(part, f"id {kind}, hash string, at bigint, end bigint, starts array<bigint>, counts array<int>, ids array<int>")
-    return short.unionByName(long.groupBy("id", "hash").applyInArrow(joined, f"id {kind}, ids array<int>")).withColumnRenamed("id", id_col)
+    long = long.repartition("id", "at").mapInArrow(part, f"id {kind}, hash string, at bigint, end bigint, pieces binary")
+    return short.unionByName(long.groupBy("id", "hash").applyInArrow(joined, f"id {kind}, {columns}")).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", keep: tuple[str, ...] = ("ids",)) -> DataFrame:

@@ -46,23 +46,20 @@ def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _cut(encoded: DataFrame, length: int, pad: int) -> DataFrame:
+def _cut(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: int) -> DataFrame:
     """(id, key, n, data): each document's number of sequences and their bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                b = batch.slice(lo, 1024)
-                n, data = [], []
-                for x in b.column("ids"):
-                    ids = x.values.to_numpy()
-                    n.append(-(-len(ids) // length))
-                    block = np.full(n[-1] * length, pad, "<u2")
-                    block[: len(ids)] = ids
-                    data.append(block.tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["id", "n", "data"])
+    def blocks(parts: list[np.ndarray]) -> list[pa.Array]:
+        n, data = [], []
+        for ids in parts:
+            n.append(-(-len(ids) // length))
+            block = np.full(n[-1] * length, pad, "<u2")
+            block[: len(ids)] = ids
+            data.append(block.tobytes())
+        return [pa.array(n, pa.int64()), pa.array(data, pa.binary())]
 
-    return encoded.mapInArrow(run, "id bigint, n bigint, data binary").where("n > 0").select("id", F.xxhash64("data").alias("key"), "n", "data")
+    cut = bpe.encode(docs, ranks_path, pattern, id_col="id", shape=blocks, columns="n bigint, data binary")
+    return cut.where("n > 0").select("id", F.xxhash64("data").alias("key"), "n", "data")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -87,8 +84,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, path: str, *, ranks_path: str, pattern: str, pad: int, key: int, length: int = 512, stride: int = 512, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the shards (shard, first_slot, sequences, tokens but for padding, payload) of `docs` to `path`, by rising shard."""
-    encoded = bpe.encode(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), ranks_path, pattern, id_col="id")
-    cut = materialise(_cut(encoded, length, pad), "cut")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    cut = materialise(_cut(rows, ranks_path, pattern, length, pad), "cut")
     numbers = materialise(_numbered(cut.select("id", "key", "n")), "firsts")
     total = numbers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     small = numbers.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
@@ -131,7 +128,7 @@ def write(docs: DataFrame, path: str, *, ranks_path: str, pattern: str, pad: int
         if held:
             yield shard()
 
-    slots.mapInArrow(pack, "shard bigint, first_slot bigint, sequences bigint, tokens bigint, payload binary").write.parquet(path)
+    slots.mapInArrow(pack, "shard bigint, first_slot bigint, sequences bigint, tokens bigint, payload binary").write.option("compression", "zstd").parquet(path)
     discard(cut, numbers)
 
 
