@@ -37,20 +37,35 @@ SUPPORT, CONFIDENCE, ROUNDS = 5, 0.6, 3
 #: Contexts that are broadcast at most (some 20 bytes each); beyond, both sides are shuffled.
 BROADCAST_CONTEXTS = 1 << 17
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: The last two words of what stands before a token, and the space behind them.
+_CONTEXT = r"(?<!\S)(\S++\s++\S++)\s++\z"
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before>> of a pattern's matches; `before` is the end of what precedes each."""
+def _placed(text: Column, pattern: str, *, context: bool = False) -> Column:
+    """array<struct<start, end, value, before>> of a pattern's matches.
+
+    With `context`, for matches behind white space, `before` is what stands before each from the second last word
+    on, whole and across matches; else it is empty.
+    """
+
+    def before(acc: Column, x: Column) -> Column:
+        if not context:
+            return F.lit("")
+        tail = F.concat(acc["last"], x["gap"])
+        two = F.regexp_extract(tail, _CONTEXT, 0)
+        return F.when(two == "", tail).otherwise(two)
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     none = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
+    # A match's `before` and its value hold the last two words before the next gap.
     step = F.aggregate(
         F.arrays_zip(between.alias("gap"), found.alias("value")),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            x["value"].alias("last"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"), F.right(F.concat(acc["last"], x["gap"]), F.lit(80)).alias("before")))).alias("out"),
+            (F.concat(before(acc, x), x["value"]) if context else F.lit("")).alias("last"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"), before(acc, x).alias("before")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
@@ -101,9 +116,9 @@ def in_order(spans: Column) -> Column:
 
 def _tokens(rows: DataFrame) -> DataFrame:
     """A row for each identifier-shaped token with two words before it: context, value, kind (null: unknown), place."""
-    t = rows.select("id", "key", "spans", F.explode(_placed(F.col("text"), _TOKEN)).alias("t"))
+    t = rows.select("id", "key", "spans", F.explode(_placed(F.col("text"), _TOKEN, context=True)).alias("t"))
     over = F.filter("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    t = t.select("id", "key", "t", over.alias("over"), F.lower(F.regexp_extract("t.before", r"(\S+\s+\S+)\s+$", 1)).alias("context"))
+    t = t.select("id", "key", "t", over.alias("over"), F.lower(F.regexp_extract("t.before", _CONTEXT, 1)).alias("context"))
     head = F.length(F.regexp_extract("t.value", r"^[^\p{L}\p{N}+]*", 0))
     core = F.regexp_extract("t.value", r"^[^\p{L}\p{N}+]*(.*?)[^\p{L}\p{N}]*$", 1)
     seed = F.when(F.size("over") > 0, F.col("over")[0])

@@ -74,6 +74,23 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert found == {(100, "jane42(at)mail", "email"), (101, "jane42(at)mail", "email"), (None, "k9-at-home", "email")}
 
 
+def test_contexts_behind_digits_and_very_long_words(spark):
+    long = "w" * 120
+    rows = [(i, f"so mail line2 user{i}@mail.example.com soon, then {long} {long} host{i}@mail.example.com or 7 @ me{i}@mail.example.com") for i in range(12)]
+    rows += [(100, "again mail line2 jane42(at)mail soon"), (101, f"and {long}\t{long}  k9-at-home soon"), (102, "try 7 @ joe55(at)mail"), (103, "line2 jane43(at)mail"), (104, "7 @"), (105, "not line2 kim77(at)mail")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, s.value, s.kind) for r in pii.find(docs).collect() for s in r.spans[len(r.base) :] if len(r.spans) > len(r.base)}
+    assert found == {(100, "jane42(at)mail", "email"), (101, "k9-at-home", "email"), (102, "joe55(at)mail", "email")}
+
+
+def test_two_whole_words_before_each_token(spark):
+    texts = ["a1 b2 c3", "x  y\tz9 1\n2 @ q", "é" * 300 + " " + "v" * 90 + " a@b", "7 " * 300, "s " + "d5" * 40_000 + " " + "e6" * 40_000 + " f7", " 1", "one 2", "\u2028 \x85 3 4\u2028 5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in docs.select("i", pii._placed(F.col("text"), pii._TOKEN, context=True).alias("t")).collect():
+        want = [(m.start(), re.split("[ \t\n\x0b\f\r]+", texts[r.i][: m.start()].strip(" \t\n\x0b\f\r"))[-2:]) for m in re.finditer(r"(?<![^ \t\n\x0b\f\r])[^ \t\n\x0b\f\r0-9@]*[0-9@][^ \t\n\x0b\f\r]*", texts[r.i])]
+        assert [(x.start, re.split("[ \t\n\x0b\f\r]+", x.before.strip(" \t\n\x0b\f\r"))[-2:]) for x in r.t] == want
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cc or 1.2.3.4, é"), (2, "none"), (3, "")], "doc_id bigint, text string")
     got = docs.select("doc_id", pii.redact(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).collect()
