@@ -382,7 +382,7 @@ def remove(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q34_tombstones", _with("tomb", "phys") + f"SELECT key FROM tomb UNION SELECT key FROM phys WHERE shard <> {ACTIVE} AND key % 11 = 0")
 def tombstones(spark: SparkSession, sf: str) -> DataFrame:
-    removed = spark.range(0, 100_000, 11).toDF("key")
+    removed = embeddings(spark, sf).where("key % 11 = 0").select("key")
     return lsm.buried(tombs(spark, sf), removed, physical(spark, sf), ACTIVE)
 
 
