@@ -168,7 +168,7 @@ def _index(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
 
 def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, z): one text, compressed, of each wanted node."""
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("id"))
+    places = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("place"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
@@ -177,8 +177,9 @@ def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, id_col:
             found = ngram_sets(texts, n)
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in found], pa.int64()), pa.array([z.compress((t or "").encode()) for t in texts], pa.binary())], ["node", "z"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return join_size_checked(rows, ids, "id", BROADCAST_IDS).select("text").mapInArrow(pack, "node bigint, z binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # A place is never null, as an id may be; what else has the same hash is left out by its node.
+    rows = docs.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("place"), F.col(text_col).alias("text"))
+    return join_size_checked(rows, places, "place", BROADCAST_IDS).select("text").mapInArrow(pack, "node bigint, z binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _sets_of(packed: list[bytes], n: int) -> list[np.ndarray]:
@@ -263,7 +264,8 @@ def _families(frequent: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, pe
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(id, key, n_grams, class) of each row; class is null for an empty set."""
     rows = materialise(sets(docs, n, id_col=id_col, text_col=text_col), "sets")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_grams").alias("n"))
+    place = F.xxhash64("id", "key")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.coalesce(F.min_by(place, "id"), F.min(place)).alias("rep"), F.max("n_grams").alias("n"))
     group = Window.partitionBy("sig")
     shared = _index(docs, n, percent, text_col).repartition("sig").withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group), "cnt": F.count(F.lit(1)).over(group)})
     shared = materialise(shared.where("least < most").select("sig", "node", "tag", "cnt").distinct(), "shared")

@@ -97,6 +97,29 @@ def test_families_of_near_copies_in_blocks(spark, monkeypatch):
     assert got(jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"))) == want
 
 
+@pytest.mark.parametrize("ids", ["bigint", "string"])
+def test_near_copies_with_null_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    base, other = [f"w{i}" for i in range(150)], [f"u{i}" for i in range(60)]
+    rows = [(500, " ".join(other)), (None, " ".join(other[:-1])), (None, " ".join(other[2:])), (None, " ".join(other[:-1]))]  # small
+    rows += [(None, "p q r s t u v w x y z"), (None, "p q r s t u v w x y z a"), (600, "unlike any other")]
+    for i in range(60):  # a family, most of it without ids
+        words = list(base)
+        for j in r.integers(0, 150, r.integers(0, 4)):
+            words[j] = f"x{r.integers(0, 30)}"
+        rows.append((700 + i if i % 20 == 3 else None, " ".join(words)))
+    if ids == "string":
+        rows = [(None if i is None else str(i), t) for i, t in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {ids}, text string")
+    want = brute(rows)
+    assert got(jaccard.join(docs)) == want
+    kept = [(x.doc_id, x.text) for x in jaccard.unique(docs).collect()]
+    # One row of each class: the two with ids, the pair without, and the one that is like none.
+    assert len(kept) == 4 and {i for i, _ in kept if i is not None} == {c for *_, c in want if c is not None}
+
+
+
 def test_components_of_a_long_path(spark):
     n = 3000
     order = np.random.default_rng(0).permutation(n).tolist()
