@@ -66,8 +66,12 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, id, distance) of the k nearest rows of each query; products choose, differences measure."""
+    """(place of the query, id, distance) of the k nearest ids of each query, by their nearest rows; products choose, differences measure."""
     places, found, scores = [], [], []
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    last = min(k, len(first)) - 1
     norms, largest = (rows * rows).sum(1), None
     for lo in range(0, len(queries), 128):
         part = queries[lo : lo + 128]
@@ -75,12 +79,17 @@ def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndar
         rough = size[:, None] + norms[None] - 2 * part @ rows.T
         rough[own[lo : lo + 128, None] == ids[None]] = np.inf
         largest = 1e-9 * (size + norms.max())
-        kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        # The k-th nearest id, not row: copies of one id must not use up the places of others.
+        each = rough if len(first) == len(ids) else np.minimum.reduceat(rough, first, axis=1)
+        kth = np.partition(each, last, axis=1)[:, last]
         for i, limit in enumerate(np.where(np.isfinite(kth), kth + largest, np.finfo(float).max)):
             near = np.flatnonzero(rough[i] <= limit)
             # Running sums add in the components' order, as a plain loop would.
             d = np.sqrt(((rows[near] - part[i]) ** 2).cumsum(1)[:, -1])
-            best = np.lexsort((ids[near], d))[:k]
+            best = np.lexsort((ids[near], d))
+            if len(first) < len(ids):
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+            best = best[:k]
             places.append(np.full(len(best), lo + i))
             found.append(ids[near][best])
             scores.append(d[best])

@@ -62,3 +62,30 @@ def test_clusters_ties_and_unusable_vectors(spark, monkeypatch):
     assert curves.search(table.where("vec_id < 0"), F.lit(True)).where("id <> -500").count() == 0
     assert lists(curves.search(table.where("vec_id in (5, 6)"), F.lit(True))).keys() == {5, 6}
     assert curves.search(table.where("false"), F.lit(True)).count() == 0
+
+
+def brute_ids(rows, asked, k=10):
+    """As brute, where ids repeat: the distance of two ids is that of their nearest rows."""
+    by = {}
+    for i, v in rows:
+        by.setdefault(i, []).append(np.array(v, np.float64))
+    d = lambda a, b: min(float(np.sqrt(((y - x) ** 2).cumsum()[-1])) for x in by[a] for y in by[b])
+    return {i: [(j, s) for s, j in sorted((d(i, j), j) for j in by if j != i)[:k]] for i in by if asked(i)}
+
+
+@pytest.mark.parametrize("block", [4096, 32])
+def test_repeated_ids_leave_room_for_others(spark, monkeypatch, block):
+    monkeypatch.setattr(curves, "BLOCK", block)
+    monkeypatch.setattr(curves, "WINDOW", 16)
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(size=6).round(3).tolist()) for i in range(120)]
+    rows += rows * 11 + [rows[7]] * 40  # copies, also of the queries
+    rows += [(i, r.normal(size=6).round(3).tolist()) for i in range(0, 120, 3)]  # other vectors of the same ids
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert lists(curves.search(table, F.col("id") % 5 == 0)) == brute_ids(rows, lambda i: i % 5 == 0)
+
+
+def test_nearest_counts_ids():
+    rows = np.array([[1.0], [1.0], [1.0], [2.0], [3.0], [1.5]])
+    at, ids, d = curves.nearest(np.array([[0.0]]), np.array([9]), rows, np.array([4, 4, 4, 2, 3, 2]), 3)
+    assert (at.tolist(), ids.tolist(), d.tolist()) == ([0, 0, 0], [4, 2, 3], [1.0, 1.5, 3.0])
