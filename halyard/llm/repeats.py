@@ -101,7 +101,10 @@ def picks(w: np.ndarray, width: int) -> np.ndarray:
         for j in range(width):
             at = (slack >= j) & (lo - j >= 0) & (lo - j < n)
             if not at.any():
-                break
+                # Symbols at a slice's end belong to windows that start further ahead of them only.
+                if not (slack >= j).any():
+                    break
+                continue
             np.maximum.at(best, lo[at] - j, key[at])
     bare = np.flatnonzero(whole & (best == 0))
     if len(bare):

@@ -45,6 +45,17 @@ def test_equal_windows_pick_equal_symbols(core, before, after, width):
         assert (best[i] == 0) == any(j in edges for j in range(i, i + width))
 
 
+def test_texts_pick_alone_what_they_pick_among_others():
+    r = np.random.default_rng(11)
+    texts = [" ".join(f"v{i}" for i in r.integers(0, 1000, n)) for n in [*[13] * 150, *range(13, 40)]]
+    w, starts, counts = repeats.tokens([*texts, "tail " * 50])
+    among = repeats.picks(w, 13)
+    for t, s, c in zip(texts, starts, counts):
+        x, (at, *_), _ = repeats.tokens([t])
+        assert (repeats.picks(x, 13)[at : at + c - 12] == among[s : s + c - 12]).all()
+
+
+
 @pytest.mark.parametrize("limit", [1 << 18, 0])
 def test_odd_tables(spark, monkeypatch, limit):
     monkeypatch.setattr(repeats, "BROADCAST_ROWS", limit)
