@@ -15,22 +15,44 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from halyard.sources import files
 
 MAGIC, VERSION = b"HBLM", 1
 _HEAD, _LAYER = struct.Struct("<4sIQddI"), struct.Struct("<QdQQ")
 
 
-def _raw(key: int | bytes) -> bytes:
-    return bytes(key) if isinstance(key, bytes | bytearray) else int(key).to_bytes(9, "little", signed=True)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
 
-def _places(keys: Iterable[int | bytes], bits: int, hashes: int) -> np.ndarray:
-    """The bit places of each key, a row for each."""
-    h = [xxhash.xxh3_128_intdigest(_raw(k)) for k in keys]
-    a = np.array([x & (1 << 64) - 1 for x in h], np.uint64)[:, None]
-    b = np.array([x >> 64 for x in h], np.uint64)[:, None] | np.uint64(1)
-    return (a + b * np.arange(hashes, dtype=np.uint64)) % np.uint64(bits)
+def hashes(keys: Iterable[int | bytes] | np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each key, a row for each: whole numbers of 64 bits in one step, bytes and larger ones one by one."""
+    if not isinstance(keys, np.ndarray):
+        keys = list(keys)
+        try:
+            keys = np.array(keys, np.int64) if not any(isinstance(k, bytes | bytearray) for k in keys) else keys
+        except OverflowError:
+            pass
+    if isinstance(keys, np.ndarray) and keys.dtype == np.int64:
+        x = keys.view(np.uint64)
+        return np.stack([_mix(x + np.uint64(0x9E3779B97F4A7C15)), _mix(x ^ np.uint64(0xD1B54A32D192ED03))], axis=1)
+    out = np.zeros((len(keys), 2), np.uint64)
+    for i, k in enumerate(keys):
+        if not isinstance(k, bytes | bytearray) and -(1 << 63) <= k < 1 << 63:
+            out[i] = hashes(np.array([k], np.int64))[0]
+        else:
+            h = xxhash.xxh3_128_intdigest(bytes(k) if isinstance(k, bytes | bytearray) else int(k).to_bytes(17, "little", signed=True))
+            out[i] = h & (1 << 64) - 1, h >> 64
+    return out
+
+
+def _places(h: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The bit places of each key's hashes, a row for each."""
+    return (h[:, :1] + (h[:, 1:] | np.uint64(1)) * np.arange(count, dtype=np.uint64)) % np.uint64(bits)
 
 
 @dataclass
@@ -52,13 +74,14 @@ class Layer:
     def hashes(self) -> int:
         return max(1, round(-math.log2(self.rate)))
 
-    def add(self, keys: list) -> None:
-        p = _places(keys, self.bits, self.hashes).ravel()
+    def set(self, h: np.ndarray) -> None:
+        """Add keys by their hashes."""
+        p = _places(h, self.bits, self.hashes).ravel()
         np.bitwise_or.at(self.words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-        self.count += len(keys)
+        self.count += len(h)
 
-    def contains(self, keys: list) -> np.ndarray:
-        p = _places(keys, self.bits, self.hashes)
+    def has(self, h: np.ndarray) -> np.ndarray:
+        p = _places(h, self.bits, self.hashes)
         return ((self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
@@ -77,14 +100,15 @@ class ScalableBloom:
         self.add_batch([key])
 
     def add_batch(self, keys: Iterable[int | bytes]) -> None:
-        keys = list(keys)
-        while keys:
-            room = self.layers[-1].capacity - self.layers[-1].count
-            if room <= 0:
-                self._grow()
-                continue
-            self.layers[-1].add(keys[:room])
-            keys = keys[room:]
+        """Add keys: all are hashed in one pass, and each layer takes the slice that its room allows."""
+        h, old = hashes(keys), len(self.layers) - 1
+        room = self.layers[-1].capacity - self.layers[-1].count
+        while room < len(h):
+            self._grow()
+            room += self.layers[-1].capacity
+        ends = np.minimum(np.cumsum([x.capacity - x.count for x in self.layers[old:]]), len(h)).tolist()
+        for layer, first, end in zip(self.layers[old:], [0, *ends], ends):
+            layer.set(h[first:end])
 
     def contains(self, key: int | bytes) -> bool:
         return bool(self.contains_batch([key])[0])
@@ -92,12 +116,8 @@ class ScalableBloom:
     __contains__ = contains
 
     def contains_batch(self, keys: Iterable[int | bytes]) -> np.ndarray:
-        keys = list(keys)
-        out = np.zeros(len(keys), bool)
-        for layer in reversed(self.layers):
-            if len(keys):
-                out |= layer.contains(keys)
-        return out
+        h = hashes(keys)
+        return np.logical_or.reduce([x.has(h) for x in self.layers]) if len(h) else np.zeros(0, bool)
 
     def clear(self) -> None:
         self.layers = [Layer(self.first, self.rate)]
@@ -140,20 +160,36 @@ class ScalableBloom:
             at += 8 * words
         return out
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the filter to a file, in place of what is there."""
+        files.write(spark, path, self.to_bytes())
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ScalableBloom:
+        """The filter of a file; ValueError where there is none, or another thing."""
+        try:
+            data = files.read(spark, path)
+            return cls.from_bytes(data or b"")
+        except (OSError, struct.error) as e:
+            raise ValueError(f"no whole filter at {path}") from e
+
     @classmethod
     def build(cls, keys: DataFrame, rate: float = 0.01, growth: float = 2.0) -> ScalableBloom:
-        """A filter of one layer of all `key`s; its words come to the driver, some 10 bits for each key."""
+        """A filter of one layer of all `key`s.
+
+        Tasks hold a batch's own words only; what comes to the driver, which keeps the filter, is some 10 bits for each
+        key. Where that is too much, let Parquet's own filters answer, as the store's lookups do.
+        """
         n = keys.count()
         out = cls(max(1, n), rate, growth)
-        bits, hashes = out.layers[0].bits, out.layers[0].hashes
+        bits, count = out.layers[0].bits, out.layers[0].hashes
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Layer(max(1, n), rate)
             for b in batches:
-                p = _places(b.column("key").to_pylist(), bits, hashes).ravel()
-                np.bitwise_or.at(held.words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-            at = np.flatnonzero(held.words)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held.words[at].view(np.int64))], ["at", "word"])
+                p = np.sort(_places(hashes(_keys(b)), bits, count).ravel())
+                at, first = np.unique(p >> np.uint64(6), return_index=True)
+                own = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first) if len(p) else p
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(own.view(np.int64))], ["at", "word"])
 
         got = keys.select("key").mapInArrow(words, "at bigint, word bigint").groupBy("at").agg({"word": "bit_or"}).toPandas()
         out.layers[0].words[got["at"].to_numpy()] = got["bit_or(word)"].to_numpy().view(np.uint64)
@@ -165,6 +201,11 @@ class ScalableBloom:
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(self.contains_batch(b.column("key").to_pylist())))
+                yield b.filter(pa.array(self.contains_batch(_keys(b))))
 
         return rows.mapInArrow(keep, rows.schema)
+
+
+def _keys(b: pa.RecordBatch) -> np.ndarray | list:
+    c = b.column("key")
+    return c.to_numpy(zero_copy_only=False).astype(np.int64) if pa.types.is_integer(c.type) and not c.null_count else c.to_pylist()

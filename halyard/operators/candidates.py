@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.functions.metrics import cos, hamming
-from halyard.operators.search import top
+from halyard.operators.search import BROADCAST_QUERIES, _kernel, blocks, top
 
 
 def bands(code: F.Column, radius: int, bits: int) -> F.Column:
@@ -48,14 +52,49 @@ def cells(items: DataFrame, count: int, seed: int = 0, sample: int = 10_000) ->
     return centres
 
 
-def _nearest(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    table = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(v)) for v in c]).alias("centre")) for i, c in enumerate(centres)])
-    by = F.transform(table, lambda t: F.struct(cos(F.col("vec"), t["centre"]).alias("d"), t["cell"].alias("cell")))
-    return rows.withColumn("cell", F.explode(F.slice(F.array_sort(by), 1, probes))).withColumn("cell", F.col("cell.cell"))
+def assign(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """`rows` (with `vec`) once for each of their `probes` nearest cells, with column `cell`; rows without a direction are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                b = batch.slice(lo, 4096)
+                own = blocks(b.column("vec"), "cos").get(centres.shape[1])
+                if own is None:
+                    continue
+                there = own.size > 0
+                near = own.data[there] @ centres.T
+                at = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                out = b.take(pa.array(np.repeat(own.rows[there], at.shape[1])))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at.ravel().astype(np.int32))], [*out.schema.names, "cell"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
 def knn_cells(queries: DataFrame, items: DataFrame, centres: np.ndarray, count: int = 10, probes: int = 4) -> DataFrame:
-    """As `knn` under cos, only within the `probes` cells nearest to each query: approximate, its recall grows with `probes`."""
-    q = _nearest(queries.select("query_id", "vec"), centres, probes).withColumnRenamed("vec", "_query")
-    near = _nearest(items.select("key", "vec"), centres, 1).join(q, "cell").select("query_id", "key", cos(F.col("_query"), F.col("vec")).alias("distance"))
-    return top(near.where("distance is not null"), count).select("query_id", "rank", "key", "distance")
+    """As `knn` under cos, only within the `probes` cells nearest to each query: approximate, its recall grows with `probes`.
+
+    Items may bring a column `cell` (of `assign`); if that is what their files are partitioned by, only the cells
+    that queries ask for are read. Up to BROADCAST_QUERIES queries go to every task; more are joined by cell.
+    """
+    q = assign(queries.select("query_id", "vec"), centres, probes)
+    rows = items if "cell" in items.columns else assign(items.select("key", "vec"), centres)
+    held = q.limit(probes * BROADCAST_QUERIES + 1).toArrow()
+    if held.num_rows > probes * BROADCAST_QUERIES:
+        near = rows.join(q.withColumnRenamed("vec", "_query"), "cell").select("query_id", "key", F.explode(F.array(cos(F.col("_query"), F.col("vec")))).alias("distance"))
+        return top(near.where("distance is not null"), count).select("query_id", "rank", "key", "distance")
+    held = held.combine_chunks().to_batches()[0] if held.num_rows else None
+    asked = np.unique(held.column("cell").to_numpy()).tolist() if held else []
+    run = _kernel("cos", ["key"], count, None, None, False)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = held.column("cell").to_numpy()
+        for b in batches:
+            own = b.column("cell").to_numpy()
+            for c in np.unique(own):
+                part = held.take(pa.array(np.flatnonzero(cells == c)))
+                yield from run(b.take(pa.array(np.flatnonzero(own == c))), blocks(part.column("vec"), "cos"), part.column("query_id"))
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {items.schema['key'].dataType.simpleString()}, distance double"
+    found = rows.where(F.col("cell").isin(asked)).select("key", "vec", "cell").mapInArrow(search, kinds)
+    return top(found, count).select("query_id", "rank", "key", "distance")

@@ -6,16 +6,29 @@ that were removed from views; they never hide rows of the active shard.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys that are broadcast at most, counted before; beyond, both sides of a join are shuffled.
+BROADCAST_KEYS = 1 << 17
+
+
+def _checked(keys: DataFrame) -> DataFrame:
+    """`keys`, to be broadcast if there are few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def narrowed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of some keys: what a lookup asks for, before anything is shuffled, sorted or ranked."""
+    return rows.join(_checked(keys.select("key")), "key", "left_semi")
+
 
 def visible(rows: DataFrame, tombstones: DataFrame | None, active: int) -> DataFrame:
-    """The physical rows that tombstones don't hide."""
+    """The physical rows that tombstones don't hide, in one pass over them."""
     if tombstones is None:
         return rows
-    views = rows.where(F.col("shard_id") != active).join(tombstones.select("key").distinct(), "key", "left_anti")
-    return rows.where(F.col("shard_id") == active).unionByName(views)
+    gone = tombstones.select(F.col("key").alias("_gone"))
+    return rows.join(gone, (F.col("key") == F.col("_gone")) & (F.col("shard_id") != active), "left_anti")
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -38,7 +51,7 @@ def last_of_batch(batch: DataFrame) -> DataFrame:
     return _one(batch, F.col("seq").desc())
 
 
-def _one(batch: DataFrame, order: F.Column) -> DataFrame:
+def _one(batch: DataFrame, order: Column) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("key").orderBy(order))
     return batch.withColumn("_n", n).where("_n = 1").drop("_n")
 
@@ -55,6 +68,11 @@ def to_add_once(batch: DataFrame, live_rows: DataFrame) -> DataFrame:
     return first_of_batch(batch).join(live_rows.select("key"), "key", "left_anti")
 
 
+def removed(live_rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """What a removal leaves."""
+    return live_rows.join(_checked(gone.select("key")), "key", "left_anti")
+
+
 def cleared(tombstones: DataFrame, added: DataFrame) -> DataFrame:
     """The tombstones that stay when keys are added again."""
     return tombstones.join(added.select("key"), "key", "left_anti")
@@ -73,6 +91,22 @@ def changes(batch: DataFrame, live_rows: DataFrame) -> DataFrame:
     return last_of_batch(batch).join(old, "key", "left").select("key", kind.alias("change"), "vec")
 
 
+def compacted(rows: DataFrame, tombstones: DataFrame | None, active: int) -> DataFrame:
+    """(key, shard_id, seq) of the rows that a compaction keeps; vectors don't travel to find them."""
+    return live(rows.select("key", "shard_id", "seq"), tombstones, active)
+
+
+def stats(rows: DataFrame, tombstones: DataFrame, active: int) -> DataFrame:
+    """One row: total, shards, tombstones, size (live) and size_estimate (total less tombstones), all bigint."""
+    n = F.count(F.lit(1))
+    out = rows.agg(n.alias("total"), F.count_distinct("shard_id").alias("shards"))
+    out = out.crossJoin(tombstones.agg(n.alias("tombstones"))).crossJoin(compacted(rows, tombstones, active).agg(n.alias("size")))
+    return out.withColumn("size_estimate", F.greatest(F.lit(0), F.col("total") - F.col("tombstones")).cast("bigint"))
+
+
+# Lookups: narrow the rows to the asked keys first
+
+
 def get(keys: DataFrame, live_rows: DataFrame) -> DataFrame:
     """(pos, key, vec) of each asked key (pos, key), null where it isn't there; a key with several vectors has a row for each."""
     return keys.join(live_rows.select("key", "vec"), "key", "left").select("pos", "key", "vec")
@@ -90,6 +124,45 @@ def count(keys: DataFrame, visible_rows: DataFrame) -> DataFrame:
     return keys.join(n, "key", "left").select("pos", "key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+# Places
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """A double that rises with a whole number, text or bytes."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind in ("binary", "string"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 8)), 16, "0"), 16, 10).cast("double")
+    return F.col(column).cast("double")
+
+
+def numbered(rows: DataFrame, key: str = "key", *, within: str | None = None, size: int = 100_000) -> DataFrame:
+    """`rows` with `pos`: each row's place, from 0, in the order of `within` (if given) and `key`.
+
+    Quantiles cut the order into runs of about `size` rows; only rows of one run are ranked together.
+    """
+    groups = [within] if within else []
+    runs = min(1000, -(-rows.count() // size))
+    if runs > 1:
+        at = _number(rows, key)
+        cuts = rows.groupBy(*groups).agg(F.percentile_approx(at, [i / runs for i in range(1, runs)], 10 * runs).alias("_cuts"))
+        rows = rows.join(F.broadcast(cuts), groups) if groups else rows.crossJoin(F.broadcast(cuts))
+        rows = rows.withColumn("_run", F.size(F.filter("_cuts", lambda c: c <= at))).drop("_cuts")
+    else:
+        rows = rows.withColumn("_run", F.lit(0))
+    where = [*groups, "_run"]
+    # A row for each run.
+    sizes = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(*where).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).drop("_size")
+    inside = F.row_number().over(Window.partitionBy(*where).orderBy(key))
+    return rows.join(F.broadcast(sizes), where).withColumn("pos", (F.col("_before") + inside - 1).cast("bigint")).drop("_run", "_before")
+
+
+def auto_keys(batch: DataFrame, first: int, order: str) -> DataFrame:
+    """`batch` with a bigint `key`: numbers from `first` on, in the order of column `order`."""
+    return numbered(batch, order).withColumn("key", F.col("pos") + F.lit(first)).drop("pos")
+
+
 def positions(rows: DataFrame, first: int, end: int) -> DataFrame:
     """(pos, key) of the keys at places first to end - 1 in the order of shard and key.
 
@@ -97,7 +170,10 @@ def positions(rows: DataFrame, first: int, end: int) -> DataFrame:
     """
     sizes = rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = sizes.withColumn("before", before).where((F.col("before") < end) & (F.col("before") + F.col("n") > first))
-    inside = F.row_number().over(Window.partitionBy("shard_id").orderBy("key"))
-    placed = rows.join(F.broadcast(met.drop("n")), "shard_id").withColumn("pos", (F.col("before") + inside - 1).cast("bigint"))
-    return placed.where((F.col("pos") >= first) & (F.col("pos") < end)).select("pos", "key")
+    met = sizes.withColumn("before", before).where((F.col("before") < end) & (F.col("before") + F.col("n") > first)).collect()
+    if not met:
+        return rows.sparkSession.createDataFrame([], f"pos bigint, key {rows.schema['key'].dataType.simpleString()}")
+    skipped = min(r.before for r in met)
+    inside = numbered(rows.where(F.col("shard_id").between(min(r.shard_id for r in met), max(r.shard_id for r in met))).select("shard_id", "key"), within="shard_id")
+    placed = inside.select((F.col("pos") + skipped).cast("bigint").alias("pos"), "key")
+    return placed.where((F.col("pos") >= first) & (F.col("pos") < end))

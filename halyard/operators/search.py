@@ -2,22 +2,36 @@
 
 Results have a row for each match: query_id, rank, key, distance. Ties go to the smaller key. A query without
 matches has no row; nothing is padded.
+
+The named distances run block by block in numpy, inside Spark's tasks: up to BROADCAST_QUERIES queries (counted)
+go to every task and meet the items where these lie; more are dealt, like the items, to a grid of blocks of
+bounded size, each pair of blocks compared in one task. A distance of your own is a Column expression over a
+cross join with the queries, evaluated once for each pair. A vector that is null or holds a null, NaN or
+infinite component has no distance to anything, nor have vectors of different lengths to each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.functions import metrics
 from halyard.functions.metrics import Metric, metric
 
-#: Queries whose side is broadcast at most; more are joined in blocks of this many.
+#: Queries that go to every task at most.
 BROADCAST_QUERIES = 20_000
+#: Beyond, queries and items of a pair of blocks; where all pairs within a radius are wanted, smaller ones.
+GRID, RADIUS_GRID = (20_000, 65_536), (2_048, 8_192)
+#: Queries and items of one numpy step.
+STEP = (256, 2_048)
+#: Distances that run in blocks.
+BLOCKS = {metrics.cos: "cos", metrics.l2sq: "l2sq", metrics.hamming: "hamming", metrics.nphd: "nphd"}
 
 
 def check_count(count: int) -> None:
@@ -25,16 +39,172 @@ def check_count(count: int) -> None:
         raise ValueError(f"`count` must be >= 1, got {count}")
 
 
-def pairs(queries: DataFrame, items: DataFrame, which: str | Metric, *, radius: float | None = None, digits: int | None = None) -> DataFrame:
-    """(query_id, key, distance) of all pairs of queries (query_id, vec) and items (key, vec, ...) within `radius`, inclusive."""
+# Blocks
+
+
+@dataclass
+class Block:
+    """Vectors or codes of one block, as arrays; `rows` says which of the block's rows they are."""
+
+    rows: np.ndarray
+    data: np.ndarray
+    #: Sums of squares, or numbers of bits.
+    size: np.ndarray
+
+
+def blocks(column: pa.Array, which: str) -> dict[int, Block]:
+    """The usable vectors of a column by length (codes: all under 0)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    column = column.take(pa.array(there))
+    if which in ("hamming", "nphd"):
+        words = column.field("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 4)
+        return {0: Block(there, words, column.field("bits").to_numpy(zero_copy_only=False).astype(np.int64))} if len(there) else {}
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    found = {}
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        own = np.flatnonzero(lengths == n)
+        x = column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        good = np.isfinite(x).all(axis=1)
+        found[n] = Block(there[own[good]], x[good], (x[good] ** 2).sum(axis=1))
+    return found
+
+
+def distances(q: Block, x: Block, which: str) -> np.ndarray:
+    """The distance of each query to each item; NaN where there is none."""
+    if which == "cos":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1 - q.data @ x.data.T / (np.sqrt(q.size)[:, None] * np.sqrt(x.size)[None])
+    if which == "l2sq":
+        return np.maximum(q.size[:, None] + x.size[None] - 2 * q.data @ x.data.T, 0)
+    out = np.zeros((len(q.data), len(x.data)))
+    if which == "hamming":
+        for w in range(4):
+            out += np.bitwise_count(q.data[:, None, w] ^ x.data[None, :, w])
+        return out
+    for bits in np.unique(q.size):
+        own = np.flatnonzero(q.size == bits)
+        common = np.minimum(bits, x.size)
+        part = np.zeros((len(own), len(x.data)))
+        for w in range(4):
+            here = np.clip(common - 64 * w, 0, 64)
+            # A shift by 64 is undefined, so a word outside the prefix has a mask of its own.
+            mask = np.where(here > 0, np.uint64(0xFFFFFFFFFFFFFFFF) << (64 - np.maximum(here, 1)).astype(np.uint64), np.uint64(0))
+            part += np.bitwise_count((q.data[own, None, w] ^ x.data[None, :, w]) & mask[None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[own] = part / common[None]
+    return out
+
+
+def _matches(q: dict[int, Block], x: dict[int, Block], which: str, first: np.ndarray | None, count: int | None, radius: float | None, digits: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of the query, row of the item, distance), step by step: the `count` nearest, or all within `radius`.
+
+    Items lie in the order of their keys. `first` has, for a step's items, the place of each key's first row:
+    then a key counts by its nearest row, and the `count` nearest keys' rows come out.
+    """
+    for n in q.keys() & x.keys():
+        for lo in range(0, len(x[n].rows), STEP[1]):
+            items = Block(*(a[lo : lo + STEP[1]] for a in (x[n].rows, x[n].data, x[n].size)))
+            for at in range(0, len(q[n].rows), STEP[0]):
+                asked = Block(*(a[at : at + STEP[0]] for a in (q[n].rows, q[n].data, q[n].size)))
+                d = distances(asked, items, which)
+                d = np.where(np.isfinite(d), d, np.inf)
+                # Products choose, differences measure; both and the rounding may move the border by this much.
+                loose = 1e-9 * (1 + (asked.size[:, None] if which == "l2sq" else 0) + (items.size.max() if which == "l2sq" else 0)) + (10.0**-digits if digits is not None else 0)
+                near = np.isfinite(d) if radius is None else d <= radius + loose
+                if count is not None:
+                    each = d if first is None else np.minimum.reduceat(d, np.flatnonzero(np.concatenate([[True], np.diff(first[items.rows]) != 0])), axis=1)
+                    kth = np.partition(each, min(count, each.shape[1]) - 1, axis=1)[:, min(count, each.shape[1]) - 1, None]
+                    near &= d <= kth + loose
+                r, c = np.nonzero(near)
+                own = ((asked.data[r] - items.data[c]) ** 2).sum(axis=1) if which == "l2sq" else d[r, c]
+                own = (np.floor(own * 10**digits + 0.5) / 10**digits if digits is not None else own) + 0.0
+                keep = np.ones(len(r), bool) if radius is None else own <= radius
+                if count is not None and first is None:
+                    order = np.lexsort((c, own, r))
+                    order = order[keep[order]]
+                    start = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+                    place = np.arange(len(order)) - np.repeat(start, np.diff([*start, len(order)]))
+                    order = order[place < count]
+                else:
+                    order = np.flatnonzero(keep)
+                yield asked.rows[r[order]], items.rows[c[order]], own[order]
+
+
+def _kernel(which: str, names: list[str], count: int | None, radius: float | None, digits: int | None, multi: bool) -> Callable[[pa.Table | pa.RecordBatch, dict[int, Block], pa.Array], Iterator[pa.RecordBatch]]:
+    """Batches (query_id, the items' columns `names`, distance) of one batch of items and the queries' blocks."""
+
+    def run(items: pa.Table | pa.RecordBatch, asked: dict[int, Block], ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        if "key" in names:
+            items = items.take(pc.sort_indices(items.column("key")))
+        first = None
+        if multi:
+            key = items.column("key").combine_chunks() if isinstance(items, pa.Table) else items.column("key")
+            first = np.concatenate([[0], np.cumsum(pc.not_equal(key.slice(1), key.slice(0, max(0, len(key) - 1))).to_numpy(zero_copy_only=False))]) if len(key) else np.zeros(0, np.int64)
+        for r, c, d in _matches(asked, blocks(items.column("vec"), which), which, first, count, radius, digits):
+            if len(r):
+                cols = [items.column(n).take(pa.array(c)) for n in names]
+                cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), *cols, pa.array(d)], ["query_id", *names, "distance"])
+
+    return run
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs (by the optimizer's estimate), which may lie in one split, over all cores; large ones stay as they are."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(parts) if size <= parts << 27 else df
+
+
+def _in_blocks(queries: DataFrame, items: DataFrame, which: str, *, count: int | None = None, radius: float | None = None, digits: int | None = None, multi: bool = False) -> DataFrame:
+    """(query_id, items' columns but vec, distance): of each pair of blocks the `count` nearest, or all within `radius`."""
+    names = [c for c in items.columns if c != "vec"]
+    q = queries.select("query_id", "vec")
+    kind = ", ".join([f"query_id {q.schema['query_id'].dataType.simpleString()}", *(f"{n} {items.schema[n].dataType.simpleString()}" for n in names), "distance double"])
+    run = _kernel(which, names, count, radius, digits, multi)
+    held = q.limit(BROADCAST_QUERIES + 1).toArrow()
+    if held.num_rows <= BROADCAST_QUERIES:
+        ids, vectors = held.column("query_id").combine_chunks(), held.column("vec").combine_chunks()
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = blocks(vectors, which)
+            for b in batches:
+                yield from run(b, asked, ids)
+
+        return spread(items).mapInArrow(here, kind)
+    wide, deep = GRID if count is not None else RADIUS_GRID
+    g, h = -(-q.count() // wide), max(1, -(-items.count() // deep))
+    left = q.select("query_id", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("query_id", "vec"), F.lit(g)).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("_h"))
+    right = items.withColumn("_h", F.pmod(F.xxhash64(*names, "vec"), F.lit(h)).cast("int")).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(g - 1).cast("bigint"))))
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = [a.schema.field("query_id"), *(b.schema.field(n) for n in names), pa.field("distance", pa.float64())]
+        found = run(b, blocks(a.column("qvec"), which), a.column("query_id").combine_chunks()) if a.num_rows and b.num_rows else ()
+        return pa.Table.from_batches(list(found), pa.schema(empty))
+
+    return left.groupBy("_g", "_h").cogroup(right.groupBy("_g", "_h")).applyInArrow(pair, kind)
+
+
+def _by_column(queries: DataFrame, items: DataFrame, which: Metric, radius: float | None, digits: int | None) -> DataFrame:
     q = queries.select("query_id", F.col("vec").alias("_query"))
     few = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    d = metric(which)(F.col("_query"), F.col("vec"))
+    d = which(F.col("_query"), F.col("vec"))
     d = (F.round(d, digits) if digits is not None else d) + F.lit(0.0)
-    out = items.crossJoin(F.broadcast(q) if few else q).withColumn("distance", d).where(F.col("distance").isNotNull())
+    # Exploded, so that no condition on the distance is pushed below it and evaluated again.
+    out = spread(items).crossJoin(F.broadcast(q) if few else q).withColumn("distance", F.explode(F.array(d))).where(F.col("distance").isNotNull())
     return (out if radius is None else out.where(F.col("distance") <= radius)).drop("_query", "vec")
 
 
+def pairs(queries: DataFrame, items: DataFrame, which: str | Metric, *, radius: float | None = None, digits: int | None = None) -> DataFrame:
+    """(query_id, key, ..., distance) of all pairs of queries (query_id, vec) and items (key, vec, ...) within `radius`, inclusive."""
+    found = metric(which)
+    if found in BLOCKS:
+        return _in_blocks(queries, items, BLOCKS[found], radius=radius, digits=digits)
+    return _by_column(queries, items, found, radius, digits)
+
+
 def top(matches: DataFrame, count: int) -> DataFrame:
     """The `count` nearest of each query; Spark limits each group before and after the shuffle."""
     check_count(count)
@@ -45,7 +215,11 @@ def top(matches: DataFrame, count: int) -> DataFrame:
 def knn(queries: DataFrame, items: DataFrame, which: str | Metric = "cos", count: int = 10, *, radius: float | None = None, digits: int | None = None, multi: bool = False) -> DataFrame:
     """(query_id, rank, key, distance): the `count` nearest items of each query; with `multi`, a key counts by its nearest vector."""
     check_count(count)
-    found = pairs(queries, items, which, radius=radius, digits=digits)
+    kind = BLOCKS.get(metric(which))
+    if kind:
+        found = _in_blocks(queries, items.select("key", "vec"), kind, count=count, radius=radius, digits=digits, multi=multi)
+    else:
+        found = _by_column(queries, items.select("key", "vec"), metric(which), radius, digits)
     if multi:
         found = found.groupBy("query_id", "key").agg(F.min("distance").alias("distance"))
     return top(found, count).select("query_id", "rank", "key", "distance")
@@ -53,7 +227,31 @@ def knn(queries: DataFrame, items: DataFrame, which: str | Metric = "cos", count
 
 def range_search(queries: DataFrame, items: DataFrame, which: str | Metric, radius: float, *, digits: int | None = None) -> DataFrame:
     """(query_id, key, distance) of all items within `radius` of each query."""
-    return pairs(queries, items, which, radius=radius, digits=digits).select("query_id", "key", "distance")
+    return pairs(queries, items.select("key", "vec"), which, radius=radius, digits=digits).select("query_id", "key", "distance")
+
+
+def range_pairs(items: DataFrame, which: str, radius: float, *, digits: int | None = None, block: int = RADIUS_GRID[0]) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of items (key, vec) within `radius`: each pair of blocks once, none the other way round."""
+    name = BLOCKS[metric(which)]
+    n = max(1, -(-items.count() // block))
+    rows = items.select("key", "vec", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = rows.select("key", "vec", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    run = _kernel(name, ["key"], None, radius, digits, False)
+
+    def compare(t: pa.Table) -> pa.Table:
+        lo, hi = t.filter(pc.equal(t.column("own"), t.column("lo"))), t.filter(pc.equal(t.column("own"), t.column("hi")))
+        kind = t.schema.field("key").type
+        found = pa.Table.from_batches(list(run(hi, blocks(lo.column("vec"), name), lo.column("key").combine_chunks())), pa.schema([("query_id", kind), ("key", kind), ("distance", pa.float64())]))
+        a, b, d = found.columns
+        swap = pc.greater(a, b)
+        found = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": d})
+        # Within one block, each pair came in both orders.
+        once = pc.and_(pc.not_equal(a, b), pc.invert(swap)) if lo.num_rows and lo.column("own")[0].as_py() == lo.column("hi")[0].as_py() else pc.not_equal(a, b)
+        return found.filter(once)
+
+    kind = items.schema["key"].dataType.simpleString()
+    return rows.groupBy("lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, distance double")
 
 
 def merge(parts: DataFrame, count: int) -> DataFrame:
@@ -62,37 +260,8 @@ def merge(parts: DataFrame, count: int) -> DataFrame:
 
 
 def knn_dense(queries: DataFrame, items: DataFrame, which: str = "cos", count: int = 10, *, radius: float | None = None) -> DataFrame:
-    """As `knn` for dense vectors under cos or l2sq, by matrix products over blocks of items.
-
-    The queries, at most BROADCAST_QUERIES of them (else `knn` is used), go to every task; each block yields its
-    own nearest, which are then merged.
-    """
-    check_count(count)
-    held = queries.select("query_id", "vec").limit(BROADCAST_QUERIES + 1).toPandas() if which in ("cos", "l2sq") else None
-    if held is None or len(held) > BROADCAST_QUERIES:
-        return knn(queries, items, which, count, radius=radius)
-    ids = held.query_id.to_numpy()
-    q = np.stack([np.asarray(v, np.float64) for v in held.vec]) if len(held) else np.zeros((0, 1))
-    kind = items.schema["key"].dataType.simpleString()
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows if len(q) else 0, 2048):
-                b = batch.slice(lo, 2048)
-                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                if which == "cos":
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = 1 - (q @ x.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None]
-                else:
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-                d = np.where(np.isfinite(d) if radius is None else d <= radius, d, np.inf)
-                k = min(count, d.shape[1])
-                limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                at, col = np.nonzero((d <= limit) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), b.column("key").take(pa.array(col)), pa.array(d[at, col])], ["query_id", "key", "distance"])
-
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    return merge(items.select("key", "vec").mapInArrow(block, f"query_id {qkind}, key {kind}, distance double"), count)
+    """`knn` under one of the distances that run in blocks."""
+    return knn(queries, items, which, count, radius=radius)
 
 
 @dataclass

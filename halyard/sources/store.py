@@ -7,16 +7,22 @@ exist, so a job that dies leaves the store as it was. One writer at a time, as m
     store = VectorStore.create(spark, path, kind="varbits", key_type="uuid16")
     store.add(df)                                                          # key, vec [, seq]
     store.search(queries, count=10)                                        # query_id, rank, key, distance
+
+Rows of version v and shard s lie in rows/v=v/shard_id=s and are read as one partitioned table. No write but
+`compact` touches rows that are there: a removal from the active shard is a file of struck keys, with the
+version up to which it strikes, one from an older shard a tombstone. Parquet's own Bloom filters on `key` let
+lookups of a few keys skip what can't hold them, and the manifest has each folder's least and largest key.
+`vacuum` deletes what no manifest names any more.
 """
 
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +30,15 @@ from pyspark.sql import types as T
 
 from halyard.functions import codes
 from halyard.functions.metrics import Metric
-from halyard.operators import lsm, search
+from halyard.operators import candidates, lsm, search
 from halyard.operators.bloom import ScalableBloom
+from halyard.sources import files
 
 KEY_TYPES = {"long": T.LongType(), "uuid16": T.BinaryType()}
 KINDS = {"dense": T.ArrayType(T.DoubleType()), "bits": T.BinaryType(), "varbits": T.BinaryType()}
 DEFAULT_METRIC = {"dense": "cos", "bits": "hamming", "varbits": "nphd"}
+#: Asked keys up to which they stand in the scan's filter too, where Parquet's Bloom filters meet them.
+FILTER_KEYS = 10
 
 
 @dataclass(frozen=True)
@@ -41,9 +50,13 @@ class Config:
     key_type: str = "long"
     metric: str = "cos"
     multi: bool = False
+    #: A shard is full, and the next one begun, at so many rows or bytes.
     shard_rows: int = 10_000_000
+    shard_bytes: int | None = None
     #: False: one shard for good, in which several vectors for a key can be removed and equal vectors are left alone.
     sharded: bool = True
+    #: False: no key is ever found, counted or removed.
+    key_lookups: bool = True
     connectivity: int = 16
     expansion_add: int = 128
     expansion_search: int = 64
@@ -52,20 +65,27 @@ class Config:
 @dataclass(frozen=True)
 class State:
     version: int = 0
-    #: By shard: its folders and their rows, oldest first.
-    shards: dict[int, list[tuple[str, int]]] = field(default_factory=dict)
+    #: By shard: the versions of its folders, oldest first, with their rows, bytes, least and largest key (as text).
+    shards: dict[int, list[tuple]] = field(default_factory=dict)
     active: int = 0
     tombstones: str | None = None
     tombstone_count: int = 0
+    #: Folders of (key, shard_id, upto): rows of a shard up to a version that are gone, and how many.
+    strikes: tuple[tuple[str, int], ...] = ()
     #: Whether a key may lie in several shards.
     needs_dedup: bool = False
+    #: Commit ids; of those that end in a number, such as a stream's, only the last ones and, by name, the highest forgotten.
     commits: tuple[str, ...] = ()
+    forgotten: dict[str, int] = field(default_factory=dict)
+    #: The version that the kept filter and cells are of.
+    bloom: int | None = None
+    cells: dict | None = None
 
 
 class VectorStore:
     """Add, look up, search, remove and compact keyed vectors."""
 
-    #: Commit ids remembered for replays.
+    #: Numbered commit ids that are kept one by one.
     REMEMBERED = 1000
 
     def __init__(self, spark: SparkSession, path: str, config: Config, state: State, *, read_only: bool = False, metric: Metric | None = None) -> None:
@@ -75,7 +95,7 @@ class VectorStore:
     # Opening
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, ndim: int | None = None, *, kind: str = "dense", key_type: str = "long", metric: str | Metric | None = None, multi: bool = False, shard_rows: int = 10_000_000, sharded: bool = True, **hints: int) -> VectorStore:
+    def create(cls, spark: SparkSession, path: str, ndim: int | None = None, *, kind: str = "dense", key_type: str = "long", metric: str | Metric | None = None, multi: bool = False, shard_rows: int = 10_000_000, shard_bytes: int | None = None, sharded: bool = True, key_lookups: bool = True, **hints: int) -> VectorStore:
         """A new store at `path`, or the one that is there, if its schema agrees."""
         if kind not in KINDS or key_type not in KEY_TYPES:
             raise ValueError(f"kind must be one of {[*KINDS]} and key_type one of {[*KEY_TYPES]}")
@@ -83,9 +103,9 @@ class VectorStore:
             ndim = 256 if ndim is None else ndim
             if ndim % 8 or not 8 <= ndim <= 256:
                 raise ValueError("ndim of variable-length codes must be a multiple of 8, from 8 to 256 bits")
-        if shard_rows < 1:
-            raise ValueError("shard_rows must be >= 1")
-        if _exists(spark, f"{path}/manifest.json"):
+        if shard_rows < 1 or shard_bytes is not None and shard_bytes < 1:
+            raise ValueError("shard_rows and shard_bytes must be >= 1")
+        if files.exists(spark, f"{path}/manifest.json"):
             found = cls.open(spark, path, metric=metric if callable(metric) else None)
             if (found.config.kind, found.config.key_type) != (kind, key_type) or ndim not in (None, found.config.ndim):
                 raise ValueError(f"the store at {path} has another schema: {found.config}")
@@ -93,20 +113,21 @@ class VectorStore:
         if ndim is None:
             raise ValueError("ndim is needed for a new store")
         name = metric if isinstance(metric, str) else DEFAULT_METRIC[kind] if metric is None else "custom"
-        store = cls(spark, path, Config(ndim, kind, key_type, name, multi, shard_rows, sharded, **hints), State(), metric=metric if callable(metric) else None)
+        config = Config(ndim, kind, key_type, name, multi, shard_rows, shard_bytes, sharded, key_lookups, **hints)
+        store = cls(spark, path, config, State(), metric=metric if callable(metric) else None)
         store._commit(store.state)
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, *, read_only: bool = False, metric: Metric | None = None) -> VectorStore:
         """The store at `path`; ValueError where there is none."""
-        text = _read(spark, f"{path.rstrip('/')}/manifest.json")
+        text = files.read(spark, f"{path.rstrip('/')}/manifest.json")
         if text is None:
             raise ValueError(f"no store at {path}")
         m = json.loads(text)
-        shards = {int(k): [tuple(x) for x in v] for k, v in m["state"].pop("shards").items()}
-        commits = tuple(m["state"].pop("commits"))
-        return cls(spark, path, Config(**m["config"]), State(**m["state"], shards=shards, commits=commits), read_only=read_only, metric=metric)
+        s = m["state"]
+        s |= {"shards": {int(k): [tuple(x) for x in v] for k, v in s["shards"].items()}, "commits": tuple(s["commits"]), "strikes": tuple(map(tuple, s["strikes"]))}
+        return cls(spark, path, Config(**m["config"]), State(**s), read_only=read_only, metric=metric)
 
     @classmethod
     def restore(cls, spark: SparkSession, path: str) -> VectorStore | None:
@@ -119,14 +140,15 @@ class VectorStore:
     @staticmethod
     def metadata(spark: SparkSession, path: str) -> dict | None:
         """The schema of the store at `path`; None where there is none."""
-        text = _read(spark, f"{path.rstrip('/')}/manifest.json")
+        text = files.read(spark, f"{path.rstrip('/')}/manifest.json")
         return json.loads(text)["config"] if text else None
 
     def copy(self, path: str) -> VectorStore:
         """An independent store at `path` with the same visible rows."""
-        other = VectorStore.create(self.spark, path, self.config.ndim, kind=self.config.kind, key_type=self.config.key_type, metric=self._metric, multi=self.config.multi, shard_rows=self.config.shard_rows, sharded=self.config.sharded)
+        c = self.config
+        other = VectorStore.create(self.spark, path, c.ndim, kind=c.kind, key_type=c.key_type, metric=self._metric, multi=c.multi, shard_rows=c.shard_rows, shard_bytes=c.shard_bytes, sharded=c.sharded, key_lookups=c.key_lookups)
         if self.size:
-            other._append(self.live().select("key", "seq", "vec"), other.state, 0)
+            other._append(self.live().select("key", "seq", "vec"), other.state, None)
         return other
 
     def close(self) -> None:
@@ -144,32 +166,66 @@ class VectorStore:
     def _schema(self) -> T.StructType:
         return T.StructType([T.StructField("key", KEY_TYPES[self.config.key_type]), T.StructField("seq", T.LongType()), T.StructField("vec", KINDS[self.config.kind])])
 
+    def _read(self, places: list[tuple[int, int]]) -> DataFrame:
+        """key, seq, vec, v, shard_id of some folders (version, shard): one scan, however many there are."""
+        schema = T.StructType([*self._schema.fields, T.StructField("v", T.LongType()), T.StructField("shard_id", T.IntegerType())])
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.option("basePath", f"{self.path}/rows").schema(schema).parquet(*[f"{self.path}/rows/v={v}/shard_id={s}" for v, s in places])
+
+    def _places(self, shards: Iterable[int] | None = None) -> list[tuple[int, int]]:
+        return [(x[0], s) for s, own in self.state.shards.items() if shards is None or s in shards for x in own]
+
+    def _unstruck(self, rows: DataFrame) -> DataFrame:
+        """Rows without those that later removals and upserts struck from their shard."""
+        if not self.state.strikes:
+            return rows
+        schema = T.StructType([T.StructField("_key", KEY_TYPES[self.config.key_type]), T.StructField("_shard", T.IntegerType()), T.StructField("_upto", T.LongType())])
+        gone = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f, _ in self.state.strikes])
+        few = sum(n for _, n in self.state.strikes) <= lsm.BROADCAST_KEYS
+        return rows.join(F.broadcast(gone) if few else gone, (F.col("key") == F.col("_key")) & (F.col("shard_id") == F.col("_shard")) & (F.col("v") <= F.col("_upto")), "left_anti")
+
     def rows(self) -> DataFrame:
         """All physical rows: key, seq, vec, shard_id."""
-        out = self.spark.createDataFrame([], T.StructType([*self._schema.fields, T.StructField("shard_id", T.IntegerType())]))
-        for shard, folders in self.state.shards.items():
-            if folders:
-                out = out.unionByName(self.spark.read.schema(self._schema).parquet(*[f"{self.path}/{f}" for f, _ in folders]).withColumn("shard_id", F.lit(shard)))
-        return out
+        return self._unstruck(self._read(self._places())).drop("v")
 
     def tombstones(self) -> DataFrame:
         keys = T.StructType(self._schema.fields[:1])
-        return self.spark.read.schema(keys).parquet(f"{self.path}/{self.state.tombstones}") if self.state.tombstones else self.spark.createDataFrame([], keys)
+        if not self.state.tombstones:
+            return self.spark.createDataFrame([], keys)
+        found = self.spark.read.schema(keys).parquet(f"{self.path}/{self.state.tombstones}")
+        return F.broadcast(found) if self.state.tombstone_count <= lsm.BROADCAST_KEYS else found
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        return lsm.visible(rows, self.tombstones() if self.state.tombstones else None, self.state.active)
 
     def visible(self) -> DataFrame:
-        return lsm.visible(self.rows(), self.tombstones() if self.state.tombstones else None, self.state.active)
+        return self._visible(self.rows())
 
-    def live(self) -> DataFrame:
-        """What reads see; the plain union where no key can lie in several shards."""
-        seen = self.visible()
+    def _newest(self, seen: DataFrame) -> DataFrame:
         return lsm.newest(seen) if self.state.needs_dedup and not self.config.multi else seen
 
+    def live(self) -> DataFrame:
+        """What reads see; the plain scan where no key can lie in several shards."""
+        return self._newest(self.visible())
+
     def keys(self) -> DataFrame:
         return self.live().select("key")
 
     def vectors(self) -> DataFrame:
         return self.live().select("key", "vec")
 
+    def positions(self, first: int, end: int) -> DataFrame:
+        """(pos, key) of the live keys at places first to end - 1, by shard and key."""
+        return lsm.positions(self.live(), first, end)
+
+    def key_at(self, i: int) -> object:
+        """The live key at a place, from the end if negative; IndexError where there is none."""
+        n = self.size
+        if not -n <= i < n:
+            raise IndexError(f"place {i} of {n}")
+        return self.positions(i % n, i % n + 1).first().key
+
     # Lookups
 
     def _asked(self, keys: DataFrame | Iterable) -> DataFrame:
@@ -187,16 +243,32 @@ class VectorStore:
             raise ValueError("keys must be whole numbers")
         return int(key)
 
-    def get(self, keys: DataFrame | Iterable) -> DataFrame:
-        """(pos, key, vec) for each asked key, vec null where it isn't there."""
-        return lsm.get(self._asked(keys), self.live())
+    def _found(self, asked: DataFrame, given: DataFrame | Iterable) -> DataFrame:
+        """The visible rows (with their shard) of asked keys: narrowed to them where they are read."""
+        if not self.config.key_lookups:
+            return self._read([])
+        rows = self._read(self._places())
+        if not isinstance(given, DataFrame) and len(given := [self._key(k) for k in given]) <= FILTER_KEYS:
+            rows = rows.where(F.col("key").isin(*map(F.lit, given))) if given else rows.where("false")
+        return self._visible(self._unstruck(lsm.narrowed(rows, asked)).drop("v"))
+
+    def get(self, keys: DataFrame | Iterable, dtype: str | None = None) -> DataFrame:
+        """(pos, key, vec) for each asked key, vec null where it isn't there; `dtype` casts a dense vector's components."""
+        keys = keys if isinstance(keys, DataFrame) else [*keys]
+        asked = self._asked(keys)
+        found = lsm.get(asked, self._newest(self._found(asked, keys)))
+        return found if dtype is None else found.withColumn("vec", F.col("vec").cast(f"array<{dtype}>"))
 
     def contains(self, keys: DataFrame | Iterable) -> DataFrame:
-        return lsm.contains(self._asked(keys), self.visible())
+        keys = keys if isinstance(keys, DataFrame) else [*keys]
+        asked = self._asked(keys)
+        return lsm.contains(asked, self._found(asked, keys))
 
     def count(self, keys: DataFrame | Iterable) -> DataFrame:
         """(pos, key, n): physical rows by key, so that an upserted key may count twice until compaction."""
-        return lsm.count(self._asked(keys), self.visible())
+        keys = keys if isinstance(keys, DataFrame) else [*keys]
+        asked = self._asked(keys)
+        return lsm.count(asked, self._found(asked, keys))
 
     def __contains__(self, key: object) -> bool:
         return self.contains([key]).first().found
@@ -215,13 +287,32 @@ class VectorStore:
     def _codes(self, df: DataFrame) -> DataFrame:
         return df if self.config.kind == "dense" else df.withColumn("vec", codes.pack(F.col("vec")))
 
-    def search(self, queries: DataFrame, count: int = 10, *, radius: float | None = None, where: F.Column | None = None) -> DataFrame:
-        """(query_id, rank, key, distance): the nearest of each query (query_id, vec); `where` is an optional condition on keys."""
+    def search(self, queries: DataFrame, count: int = 10, *, radius: float | None = None, where: F.Column | None = None, exact: bool = True, probes: int = 4) -> DataFrame:
+        """(query_id, rank, key, distance): the nearest of each query (query_id, vec); `where` is an optional condition on keys.
+
+        Not `exact`: only the `probes` cells nearest to a query are searched, once `build_cells` has dealt the rows.
+        """
         search.check_count(count)
+        if not exact and self.state.cells and self.state.cells["version"] == self.state.version:
+            centres = np.array(self.state.cells["centres"])
+            items = self.spark.read.schema(T.StructType([*self._schema.fields[::2], T.StructField("cell", T.IntegerType())])).parquet(f"{self.path}/{self.state.cells['folder']}")
+            items = items if where is None else items.where(where)
+            found = candidates.knn_cells(queries, items, centres, count, probes)
+            return found if radius is None else found.where(F.col("distance") <= radius)
         items = self.live().select("key", "vec")
         items = items if where is None else items.where(where)
         return search.knn(self._codes(queries), self._codes(items), self._metric, count, radius=radius, multi=self.config.multi)
 
+    def build_cells(self, count: int, seed: int = 0) -> None:
+        """Deal the live rows to `count` cells around centres, for approximate searches by cos until the next write."""
+        self._writable()
+        if self.config.kind != "dense" or self._metric != "cos" or self.config.multi:
+            raise ValueError("cells are for dense vectors by cos, one for each key")
+        centres = candidates.cells(self.live(), count, seed)
+        folder = f"cells/{uuid.uuid4().hex}"
+        candidates.assign(self.live().select("key", "vec"), centres).repartition("cell").write.partitionBy("cell").parquet(f"{self.path}/{folder}")
+        self._commit(replace(self.state, cells={"version": self.state.version + 1, "folder": folder, "centres": centres.tolist()}))
+
     def search_counted(self, queries: DataFrame, count: int = 10) -> tuple[DataFrame, Observation]:
         """As `search`, with an observation whose `pairs` is the number of distances computed, once the result was read."""
         search.check_count(count)
@@ -256,9 +347,13 @@ class VectorStore:
         return self.spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(zip(keys, vectors))], self._schema)
 
     def _batch(self, df: DataFrame) -> DataFrame:
-        """A checked batch: key, seq, vec; without seq, rows keep the order they are read in."""
+        """A checked batch: key, seq, vec; without seq, rows keep the order they are read in, without key, they get the next free numbers."""
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.monotonically_increasing_id())
+        if "key" not in df.columns:
+            if self.config.key_type != "long":
+                raise ValueError("16-byte keys must be given")
+            df = lsm.auto_keys(df, self.physical_rows, "seq")
         df = df.select(F.col("key").cast(KEY_TYPES[self.config.key_type]), F.col("seq").cast("bigint"), F.col("vec").cast(KINDS[self.config.kind]))
         size = F.size("vec") if self.config.kind == "dense" else F.length("vec")
         want = {"dense": size == self.config.ndim, "bits": size == -(-self.config.ndim // 8), "varbits": F.lit(True)}[self.config.kind]
@@ -269,52 +364,108 @@ class VectorStore:
             df = df.withColumn("vec", F.substring("vec", 1, self.config.ndim // 8))
         return df.withColumn("vec", F.when(sound, F.col("vec")).otherwise(F.raise_error("a row has no key, a key of another length, or a vector of another size").cast(KINDS[self.config.kind])))
 
-    def _folder(self, df: DataFrame, name: str) -> tuple[str, int]:
-        folder = f"{name}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
-        return folder, self.spark.read.parquet(f"{self.path}/{folder}").count()
+    @staticmethod
+    def _writer(df: DataFrame):  # noqa: ANN205
+        return df.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true")
+
+    def _written(self, v: int) -> dict[int, tuple]:
+        """What a version's folders hold, by shard: version, rows, bytes, least and largest key."""
+        root, out = f"{self.path}/rows/v={v}", {}
+        shards = [int(x.split("=")[1]) for x in files.folders(self.spark, root) if x.startswith("shard_id=")]
+        if not shards:
+            return out
+        text = lambda c: (F.col(c).cast("string") if self.config.key_type == "long" else F.hex(c)).alias(c)
+        each = self._read([(v, s) for s in shards]).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        for r in each.select("shard_id", "n", text("lo"), text("hi")).collect():
+            out[r.shard_id] = (v, r.n, files.size(self.spark, f"{root}/shard_id={r.shard_id}"), r.lo, r.hi)
+        return out
+
+    def _apart(self, a: tuple, b: tuple) -> bool:
+        """Whether the keys of two folders can't meet."""
+        (alo, ahi), (blo, bhi) = [map(int, x[3:]) if self.config.key_type == "long" else x[3:] for x in (a, b)]
+        return ahi < blo or bhi < alo
 
     def _append(self, new: DataFrame, state: State, commit: int | str | None) -> int:
-        """Write rows to the active shard, clear their tombstones, and go on to a new shard when it is full."""
-        folder, n = self._folder(new.select("key", "seq", "vec"), f"shard_id={state.active:06d}")
+        """Write rows to the active shard, clear their tombstones, and go on to new shards as they fill up."""
+        c, v = self.config, state.version + 1
+        new = new.select("key", "seq", "vec")
+        self._writer(new).parquet(f"{self.path}/rows/v={v}/shard_id={state.active}")
+        got = self._written(v)
+        n = sum(x[1] for x in got.values())
         if not n:
             return 0
-        written = self.spark.read.schema(self._schema).parquet(f"{self.path}/{folder}")
-        views = self.rows().where(F.col("shard_id") != state.active)
+        held = sum(x[1] for x in state.shards.get(state.active, []))
+        if c.sharded and held + n > c.shard_rows:
+            placed = lsm.numbered(self._read([(v, state.active)]).drop("v", "shard_id"))
+            shard = F.lit(state.active) + F.floor((F.col("pos") + held) / c.shard_rows).cast("int")
+            v += 1
+            self._writer(placed.withColumn("shard_id", shard).drop("pos")).partitionBy("shard_id").parquet(f"{self.path}/rows/v={v}")
+            files.delete(self.spark, f"{self.path}/rows/v={v - 1}")
+            got = self._written(v)
+        written = self._read([(v, s) for s in got])
         dedup = state.needs_dedup
-        if not self.config.multi and any(v for k, v in state.shards.items() if k != state.active) and not dedup:
-            dedup = not views.join(written.select("key"), "key", "left_semi").isEmpty()
-        shards = state.shards | {state.active: [*state.shards.get(state.active, []), (folder, n)]}
-        state = replace(state, shards=shards, needs_dedup=dedup)
+        if not c.multi and not dedup:
+            # Only older shards whose keys may meet the new ones are asked.
+            near = [(x[0], s) for s, own in state.shards.items() if s != state.active for x in own if not all(self._apart(x, y) for y in got.values())]
+            dedup = bool(near) and not lsm.narrowed(self._read(near).select("key"), written.select("key")).isEmpty()
+        shards = dict(state.shards)
+        for s, x in sorted(got.items()):
+            shards[s] = [*shards.get(s, []), x]
+        state = replace(state, shards=shards, needs_dedup=dedup, version=v - 1)
         if state.tombstones:
             state = self._bury(lsm.cleared(self.tombstones(), written), state)
             # A key that comes back may still have an older row in a view.
             state = replace(state, needs_dedup=True)
-        if self.config.sharded and sum(n for _, n in shards[state.active]) >= self.config.shard_rows:
-            state = replace(state, active=state.active + 1)
+        last = max(got)
+        rows, size = (sum(x[i] for x in shards[last]) for i in (1, 2))
+        full = rows >= c.shard_rows or c.shard_bytes is not None and size >= c.shard_bytes
+        if c.sharded:
+            state = replace(state, active=last + full)
         self._commit(state, commit)
         self.dirty += n
         return n
 
+    def _keys(self, keys: DataFrame, name: str) -> tuple[str, int]:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        keys.write.parquet(f"{self.path}/{folder}")
+        return folder, self.spark.read.schema(keys.schema).parquet(f"{self.path}/{folder}").count()
+
     def _bury(self, keys: DataFrame, state: State) -> State:
-        folder, n = self._folder(keys, "tombstones")
+        folder, n = self._keys(keys.select("key"), "tombstones")
         return replace(state, tombstones=folder if n else None, tombstone_count=n)
 
+    def _strike(self, keys: DataFrame, state: State) -> State:
+        """Strike keys from the active shard, as far as it has them; what commits it comes later."""
+        own = self._places([state.active])
+        if not own:
+            return state
+        there = self._unstruck(lsm.narrowed(self._read(own).select("key", "v", "shard_id"), keys))
+        gone = there.select(F.col("key").alias("_key"), F.col("shard_id").alias("_shard"), F.lit(state.version).cast("bigint").alias("_upto"))
+        folder, n = self._keys(gone, "strikes")
+        return replace(state, strikes=(*state.strikes, (folder, n))) if n else state
+
     def _done(self, commit: str | None) -> bool:
         self._writable()
-        return commit is not None and str(commit) in self.state.commits
+        if commit is None:
+            return False
+        name, _, number = str(commit).rpartition("-")
+        return str(commit) in self.state.commits or number.isdigit() and int(number) <= self.state.forgotten.get(name, -1)
 
     def add(self, batch: DataFrame, *, commit: str | None = None) -> int:
         """Append what the active shard lacks (all of it with `multi`); the number of rows added. Older shards aren't asked."""
         if self._done(commit):
             return 0
-        return self._append(lsm.to_add(self._batch(batch), self.rows(), self.state.active, multi=self.config.multi), self.state, commit)
+        own = self._unstruck(self._read(self._places([self.state.active]))) if not self.config.multi else None
+        new = self._batch(batch)
+        new = new if own is None else lsm.to_add(new, own, self.state.active) if self._places([self.state.active]) else lsm.first_of_batch(new)
+        return self._append(new, self.state, commit)
 
     def add_once(self, batch: DataFrame, *, commit: str | None = None) -> int:
         """Append the keys that no shard has; the number of rows added."""
         if self._done(commit):
             return 0
-        return self._append(lsm.to_add_once(self._batch(batch), self.live()), self.state, commit)
+        batch = self._batch(batch)
+        return self._append(lsm.to_add_once(batch, self._visible(self._unstruck(lsm.narrowed(self._read(self._places()).select("key", "v", "shard_id"), batch)))), self.state, commit)
 
     def upsert(self, batch: DataFrame, *, commit: str | None = None) -> int:
         """Write the last vector of each key, whatever was there; the number of rows written.
@@ -327,8 +478,13 @@ class VectorStore:
             raise ValueError("a store of several vectors for a key has no upsert")
         new = lsm.last_of_batch(self._batch(batch))
         if not self.config.sharded:
-            new = lsm.changes(new, self.live()).where("change <> 'same'").select("key", F.lit(0).cast("bigint").alias("seq"), "vec")
-        return self._append(new, self._without(new.select("key"), self.state), commit)
+            new = self._changed(new)
+        return self._append(new, self._strike(new.select("key"), self.state), commit)
+
+    def _changed(self, batch: DataFrame) -> DataFrame:
+        """Of a batch, the rows that differ from what is there."""
+        there = self._newest(self._visible(self._unstruck(lsm.narrowed(self._read(self._places()), batch)).drop("v")))
+        return lsm.changes(batch, there).where("change <> 'same'").select("key", F.lit(0).cast("bigint").alias("seq"), "vec")
 
     def upsert_changed(self, batch: DataFrame, *, commit: str | None = None) -> int:
         """As `upsert`, but vectors equal to the present ones aren't written."""
@@ -336,19 +492,7 @@ class VectorStore:
             return 0
         if self.config.multi:
             raise ValueError("a store of several vectors for a key has no upsert")
-        wanted = lsm.changes(self._batch(batch), self.live()).where("change <> 'same'")
-        return self.upsert(wanted.select("key", F.lit(0).alias("seq"), "vec"), commit=commit)
-
-    def _without(self, keys: DataFrame, state: State) -> State:
-        """The active shard written anew without the keys; what commits it comes later."""
-        own = state.shards.get(state.active, [])
-        if not own:
-            return state
-        rows = self.spark.read.schema(self._schema).parquet(*[f"{self.path}/{f}" for f, _ in own])
-        if rows.join(keys, "key", "left_semi").isEmpty():
-            return state
-        folder, n = self._folder(rows.join(keys, "key", "left_anti"), f"shard_id={state.active:06d}")
-        return replace(state, shards=state.shards | {state.active: [(folder, n)] if n else []})
+        return self.upsert(self._changed(self._batch(batch)), commit=commit)
 
     def remove(self, keys: DataFrame | Iterable, *, compact: bool = False) -> int:
         """Remove keys (missing ones are ignored); the number of keys that were there."""
@@ -356,34 +500,64 @@ class VectorStore:
         if self.config.multi and self.config.sharded:
             raise ValueError("a sharded store of several vectors for a key has no remove")
         gone = self._asked(keys).select("key").distinct()
-        there = self.visible().join(gone, "key", "left_semi").select("key").distinct().count()
+        there = self._found(gone, gone).select("key").distinct().count()
         if there:
-            state = self._without(gone, self.state)
-            self._commit(self._bury(lsm.buried(self.tombstones(), gone, self.rows(), self.state.active), state))
+            state = self._strike(gone, self.state)
+            views = lsm.narrowed(self._read([x for x in self._places() if x[1] != self.state.active]).select("key", "shard_id"), gone)
+            if self.state.tombstones or not views.isEmpty():
+                state = self._bury(lsm.buried(self.tombstones(), gone, views, self.state.active), state)
+            self._commit(state)
             self.dirty += there
         if compact:
             self.compact()
         return there
 
     def compact(self) -> int:
-        """Keep of each key the newest row, drop tombstones and emptied shards; the number of rows dropped."""
+        """Keep of each key the newest row, drop tombstones and emptied shards; the number of rows dropped.
+
+        One window over keys finds what stays; only shards that lose rows are written anew, all in one job.
+        """
         self._writable()
-        before, rows, shards = self.physical_rows, self.visible(), {}
-        last = rows if self.config.multi else lsm.newest(rows)
-        for shard, folders in self.state.shards.items():
-            if folders:
-                folder, n = self._folder(last.where(F.col("shard_id") == shard).select("key", "seq", "vec"), f"shard_id={shard:06d}")
-                if n:
-                    shards[shard] = [(folder, n)]
-        self._commit(replace(self.state, shards=shards, tombstones=None, tombstone_count=0, needs_dedup=False))
+        before, v = self.physical_rows, self.state.version + 1
+        keys = ["key", "shard_id", "seq", "v"]
+        last = self._newest(self._visible(self._unstruck(self._read(self._places()).select(*keys))))
+        stay = {r.shard_id: r["count"] for r in last.groupBy("shard_id").count().collect()}
+        shards = {s: own for s, own in self.state.shards.items() if own and stay.get(s) == sum(x[1] for x in own)}
+        lost = [s for s in self.state.shards if s not in shards and stay.get(s)]
+        if lost:
+            rows = self._read(self._places(lost))
+            if self.config.multi:
+                rows = self._visible(self._unstruck(rows))
+            else:
+                rows = rows.join(last.where(F.col("shard_id").isin(lost)), keys, "left_semi")
+            self._writer(rows.drop("v").repartition("shard_id", F.pmod(F.xxhash64("key"), F.lit(16)))).partitionBy("shard_id").parquet(f"{self.path}/rows/v={v}")
+            shards |= {s: [x] for s, x in self._written(v).items()}
+        self._commit(replace(self.state, shards=dict(sorted(shards.items())), tombstones=None, tombstone_count=0, strikes=(), needs_dedup=False))
         return before - self.physical_rows
 
+    def vacuum(self) -> int:
+        """Delete folders that the manifest doesn't name; their number. Readers of older manifests lose them, too."""
+        self._writable()
+        s, gone = self.state, 0
+        kept = {f"rows/v={v}/shard_id={n}" for v, n in self._places()} | {s.tombstones, *(f for f, _ in s.strikes), s.cells and s.cells["folder"]}
+        found = [f"rows/{v}/{n}" for v in files.folders(self.spark, f"{self.path}/rows") for n in files.folders(self.spark, f"{self.path}/rows/{v}") if n.startswith("shard_id=")]
+        found += [f"{d}/{x}" for d in ("tombstones", "strikes", "cells") for x in files.folders(self.spark, f"{self.path}/{d}")]
+        for x in found:
+            if x not in kept:
+                files.delete(self.spark, f"{self.path}/{x}")
+                gone += 1
+        return gone
+
     def rotate(self) -> None:
         """Close the active shard and go on in a new one."""
         self._writable()
         if self.config.sharded and self.state.shards.get(self.state.active):
             self._commit(replace(self.state, active=self.state.active + 1))
 
+    def drain(self) -> int:
+        """Commits are synchronous, so nothing is ever pending; the version that holds everything written so far."""
+        return self.state.version
+
     def reset(self) -> None:
         """Start over in this object; the files stay until the next commit replaces the manifest."""
         self._writable()
@@ -395,16 +569,38 @@ class VectorStore:
         self.dirty = 0
 
     def _commit(self, state: State, commit: int | str | None = None) -> None:
-        commits = state.commits if commit is None else (*state.commits, str(commit))[-self.REMEMBERED :]
-        state = replace(state, version=state.version + 1, commits=commits)
+        commits, forgotten = [*state.commits], dict(state.forgotten)
+        if commit is not None:
+            commits.append(str(commit))
+            numbered = [x for x in commits if x.rpartition("-")[2].isdigit()]
+            for x in numbered[: -self.REMEMBERED]:
+                name, _, number = x.rpartition("-")
+                forgotten[name] = max(int(number), forgotten.get(name, -1))
+                commits.remove(x)
+        state = replace(state, version=state.version + 1, commits=tuple(commits), forgotten=forgotten)
         _swap(self.spark, f"{self.path}/manifest.json", json.dumps({"config": asdict(self.config), "state": asdict(state)}))
         self.state = state
 
     # Membership and buffers
 
     def bloom(self, rate: float = 0.01) -> ScalableBloom:
-        """A Bloom filter of all physical keys."""
-        return ScalableBloom.build(self.rows().select("key"), rate)
+        """A Bloom filter of all physical keys: the kept one, or one built anew where that is missing, broken or outdated."""
+        if self.state.bloom == self.state.version:
+            try:
+                found = ScalableBloom.load(self.spark, f"{self.path}/bloom")
+                if found.rate == rate:
+                    return found
+            except ValueError:
+                pass
+        return self.rebuild_bloom(rate) if not (self.read_only or self.closed) else ScalableBloom.build(self.rows().select("key"), rate)
+
+    def rebuild_bloom(self, rate: float = 0.01) -> ScalableBloom:
+        """Build the filter of all physical keys and keep it beside the manifest."""
+        self._writable()
+        found = ScalableBloom.build(self.rows().select("key"), rate)
+        found.save(self.spark, f"{self.path}/bloom")
+        self._commit(replace(self.state, bloom=self.state.version + 1))
+        return found
 
     def to_bytes(self) -> bytes:
         """The live rows as one Arrow stream: for stores that fit the driver."""
@@ -428,6 +624,14 @@ class VectorStore:
     def metric(self) -> str:
         return self.config.metric
 
+    @property
+    def metric_kind(self) -> str:
+        return self.config.metric.upper()
+
+    @property
+    def dtype(self) -> str:
+        return {"dense": "double", "bits": "binary", "varbits": "binary"}[self.config.kind]
+
     @property
     def multi(self) -> bool:
         return self.config.multi
@@ -438,7 +642,19 @@ class VectorStore:
 
     @property
     def physical_rows(self) -> int:
-        return sum(n for folders in self.state.shards.values() for _, n in folders)
+        return sum(x[1] for own in self.state.shards.values() for x in own) - sum(n for _, n in self.state.strikes)
+
+    @property
+    def serialized_length(self) -> int:
+        """Bytes of all shards' files."""
+        return sum(x[2] for own in self.state.shards.values() for x in own)
+
+    memory_usage = serialized_length
+
+    @property
+    def capacity(self) -> int:
+        """Rows that fit before the next shard is begun."""
+        return self.config.shard_rows * (self.state.active + 1)
 
     @property
     def size(self) -> int:
@@ -455,8 +671,10 @@ class VectorStore:
         return sum(bool(x) for x in self.state.shards.values())
 
     def stats(self) -> dict:
+        """The schema and, from the manifest alone, all figures; `rows_by_shard` and `bytes_by_shard` include struck rows."""
         c, s = self.config, self.state
-        return asdict(c) | {"path": self.path, "version": s.version, "shards": self.shard_count, "active_shard": s.active, "rows": self.physical_rows, "rows_by_shard": {k: sum(n for _, n in v) for k, v in s.shards.items()}, "size_estimate": self.size_estimate, "tombstones": s.tombstone_count, "needs_dedup": s.needs_dedup, "dirty": self.dirty, "read_only": self.read_only}
+        by = lambda i: {k: sum(x[i] for x in v) for k, v in s.shards.items()}
+        return asdict(c) | {"path": self.path, "version": s.version, "shards": self.shard_count, "active_shard": s.active, "views": self.shard_count - bool(s.shards.get(s.active)), "rows": self.physical_rows, "rows_by_shard": by(1), "bytes": self.serialized_length, "bytes_by_shard": by(2), "struck": sum(n for _, n in s.strikes), "capacity": self.capacity, "size_estimate": self.size_estimate, "tombstones": s.tombstone_count, "needs_dedup": s.needs_dedup, "bloom_kept": s.bloom == s.version, "dirty": self.dirty, "read_only": self.read_only, "closed": self.closed}
 
     def _unsupported(self, *_: object, **__: object) -> None:
         raise NotImplementedError("a sharded store can't do this")
@@ -464,35 +682,5 @@ class VectorStore:
     rename = join = cluster = pairwise_distance = clear = _unsupported
 
 
-def _fs(spark: SparkSession, path: str) -> tuple:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _read(spark: SparkSession, path: str) -> str | None:
-    p, fs = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
 def _swap(spark: SparkSession, path: str, text: str) -> None:
-    """Write `text` beside `path` and rename it into place, over what is there."""
-    jvm = spark._jvm
-    new, fs = _fs(spark, f"{path}.{time.time_ns()}")
-    stream = fs.create(new, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(new, jvm.org.apache.hadoop.fs.Path(path), options)
+    files.write(spark, path, text.encode())

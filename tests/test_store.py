@@ -246,3 +246,145 @@ def test_streams_commit_once(spark, store, tmp_path):
     ingest(stream, store, str(tmp_path / "cp")).awaitTermination()
     assert store.size == 4 and len(store.state.commits) == 3
     assert store.add_once(store.frame([99], eye(4)[:1]), commit="ingest-0") == 0 and store.size == 4
+
+
+def test_lookups_narrow_rows_before_anything_is_shuffled(spark, store):
+    for i in range(3):
+        store.upsert(store.frame(range(i, 40), [[i + 1.0, 1, 1, 1]] * (40 - i)))
+        store.rotate()
+    assert store.state.needs_dedup
+    for df in (store.get(range(10)), store.contains(range(10)), store.count(range(10)), store.get(store.keys().where("key < 12"))):
+        df.collect()  # so that the plan is the final one
+        # Of the plan's tree: what stands between the stored rows and the join that narrows them.
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n== Initial")[0].split("\n")
+        semi = next(i for i, x in enumerate(lines) if "LeftSemi" in x)
+        at = next(i for i, x in enumerate(lines) if i > semi and "FileScan" in x)
+        assert "BroadcastHashJoin" in lines[semi] and not any("Exchange" in x and "Broadcast" not in x or "Window" in x or "Sort" in x for x in lines[semi:at])
+    assert {r.key: r.vec[0] for r in store.get(range(4)).collect()} == {0: 1, 1: 2, 2: 3, 3: 3}
+
+
+def test_grid_of_blocks_equals_one_block(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select((F.col("vec_id") % 60).alias("key"), F.col("embedding").alias("vec"), "label")
+    q = e.where("key % 9 = 0").withColumn("query_id", F.monotonically_increasing_id())
+    wanted = lambda: [sorted(map(tuple, df.collect())) for df in (search.knn(q, e, "l2sq", 5, digits=9), search.knn(q, e, "cos", 4, digits=9, multi=True), search.range_search(q, e, "cos", 0.8, digits=9), search.pairs(q, e, "cos", digits=9))]
+    one = wanted()
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 7)
+    monkeypatch.setattr(search, "GRID", (11, 70))
+    monkeypatch.setattr(search, "RADIUS_GRID", (13, 90))
+    monkeypatch.setattr(search, "STEP", (5, 33))
+    assert wanted() == one and len(one[3]) == q.count() * 500
+    d = search.knn(q, e, lambda a, b: metrics.l2sq(a, b), 5, digits=9)
+    assert sorted(map(tuple, d.collect())) == one[0]
+
+
+def test_pairs_within_a_radius_come_once(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")).where("key < 120")
+    q = e.select(F.col("key").alias("query_id"), "vec")
+    want = sorted(map(tuple, search.range_search(q, e, "cos", 0.9, digits=6).where("query_id < key").collect()))
+    assert want and all(sorted(map(tuple, search.range_pairs(e, "cos", 0.9, digits=6, block=n).collect())) == want for n in (17, 1000))
+
+
+def test_odd_vectors_have_no_distance(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, []), (7, [0.0, 0.0]), (8, [1.0, 1.0])]
+    items = spark.createDataFrame(rows, "key long, vec array<double>")
+    q = items.select(F.col("key").alias("query_id"), "vec")
+    assert {(r.query_id, r.key) for r in search.knn(q, items, "cos", 9).collect()} == {(1, 1), (1, 8), (8, 1), (8, 8), (5, 5)}
+    assert {(r.query_id, r.key) for r in search.knn(q, items, "l2sq", 1).collect()} == {(1, 1), (8, 8), (7, 7), (5, 5)}
+
+
+def test_places_in_several_runs(spark):
+    from halyard.operators import lsm
+
+    for keys in ([7, -3, 2**60, 5, 5, -(2**61), 0, 1], [bytes([i, 255 - i]) for i in (9, 200, 3, 128)], ["b", "a", "é", ""]):
+        df = spark.createDataFrame([(i % 2, k) for i, k in enumerate(keys)], f"g int, key {'long' if isinstance(keys[0], int) else 'binary' if isinstance(keys[0], bytes) else 'string'}")
+        want = sorted((k if isinstance(k, int) else bytes(k, "utf8") if isinstance(k, str) else k) for k in keys)
+        got = sorted((r.pos, r.key if isinstance(r.key, int) else bytes(r.key, "utf8") if isinstance(r.key, str) else bytes(r.key)) for r in lsm.numbered(df, size=2).collect())
+        assert got == list(enumerate(want))
+        got = sorted((r.pos, r.g) for r in lsm.numbered(df, within="g", size=1).collect())
+        assert got == list(enumerate(sorted(i % 2 for i in range(len(keys)))))
+
+
+def test_places_types_and_closed_lookups(spark, store, tmp_path):
+    store.add(store.frame([5, 1, 9], eye(4)[:3]))
+    assert (store.key_at(0), store.key_at(-1), [r.key for r in store.positions(1, 9).orderBy("pos").collect()]) == (1, 9, [5, 9])
+    for i in (3, -4):
+        with pytest.raises(IndexError):
+            store.key_at(i)
+    assert store.get([5], dtype="float").schema["vec"].dataType.simpleString() == "array<float>"
+    s = VectorStore.create(spark, str(tmp_path / "k"), ndim=4, key_lookups=False)
+    s.add(s.frame([1], eye(4)[:1]))
+    assert 1 not in s and s[1] is None and s.count([1]).first().n == 0 and s.remove([1]) == 0 and s.size == 1
+
+
+def test_large_batches_fill_shards_and_bytes_rotate(spark, tmp_path):
+    s = VectorStore.create(spark, str(tmp_path / "l"), ndim=2, shard_rows=4)
+    assert s.add(s.frame(range(10), [[i, 1] for i in range(10)])) == 10
+    assert {r.shard_id: r["count"] for r in s.rows().groupBy("shard_id").count().collect()} == {0: 4, 1: 4, 2: 2} and s.state.active == 2
+    b = VectorStore.create(spark, str(tmp_path / "b"), ndim=2, shard_bytes=1)
+    b.add(b.frame([1], [[1, 1]]))
+    b.add(b.frame([2], [[1, 1]]))
+    assert b.shard_count == 2 and b.serialized_length > 0 and not b.state.needs_dedup  # the key ranges don't meet
+
+
+def test_writes_leave_rows_and_vacuum_deletes_what_is_left(spark, store):
+    store.add(store.frame(range(6), [[i, 1, 1, 1] for i in range(6)]))
+    first = store.state.shards[0]
+    store.upsert(store.frame([1], [[9] * 4]))
+    store.remove([2])
+    assert store.state.shards[0][:1] == first and store.physical_rows == 5 and store.stats()["struck"] == 2
+    store.rotate()
+    store.add(store.frame([7], eye(4)[:1]))
+    want, kept = rows(store.live()), store.state.shards[1]
+    assert store.compact() == 0 and store.state.shards[1] == kept and store.state.shards[0] != first and not store.state.strikes
+    assert store.vacuum() >= 3 and rows(store.live()) == rows(VectorStore.open(spark, store.path).live()) == want and store.vacuum() == 0
+
+
+def test_replays_of_long_ago(spark, store, monkeypatch):
+    monkeypatch.setattr(VectorStore, "REMEMBERED", 2)
+    for i in range(5):
+        store.upsert(store.frame([1], [[i + 1.0] * 4]), commit=f"s-{i}")
+    store.upsert(store.frame([1], [[50.0] * 4]), commit="by hand")
+    store.upsert(store.frame([1], [[60.0] * 4]), commit="t-0")
+    again = VectorStore.open(spark, store.path)
+    for c in ("s-0", "s-2", "s-4", "by hand", "t-0"):
+        assert again.upsert(again.frame([1], [[0.5] * 4]), commit=c) == 0
+    assert len(again.state.commits) == 3 and list(again[1]) == [60.0] * 4
+
+
+def test_kept_filters(spark, store):
+    store.add(store.frame([1, 2], eye(4)[:2]))
+    assert 1 in store.rebuild_bloom() and store.state.bloom == store.state.version
+    version = store.state.version
+    assert 2 in VectorStore.open(spark, store.path).bloom() and store.state.version == version
+    store.add(store.frame([3], eye(4)[:1]))
+    assert 3 in store.bloom() and store.state.bloom == store.state.version  # outdated, so built anew
+    with open(store.path + "/bloom", "wb") as f:
+        f.write(b"HBLM")
+    assert 3 in store.bloom()
+    with pytest.raises(ValueError):
+        ScalableBloom.load(spark, store.path + "/none")
+
+
+def test_bloom_hashes_don_t_depend_on_the_batch():
+    from halyard.operators.bloom import hashes
+
+    mixed = [1, -5, b"x", 2**70, -(2**63)]
+    assert hashes(mixed).tolist() == [hashes([k])[0].tolist() for k in mixed] and hashes([1, -5]).tolist() == hashes(mixed)[:2].tolist()
+    b = ScalableBloom(10, 0.01)
+    b.add_batch(range(95))
+    assert [x.count for x in b.layers] == [10, 20, 40, 25] and all(b.contains_batch(range(95))) and not len(b.contains_batch([]))
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from halyard.sources import files
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        files.shared(Session)
