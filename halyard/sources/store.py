@@ -366,7 +366,8 @@ class VectorStore:
 
     @staticmethod
     def _writer(df: DataFrame):  # noqa: ANN205
-        return df.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true")
+        # Adaptive: a filter as large as the keys need it, so that small files stay small.
+        return df.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
 
     def _written(self, v: int) -> dict[int, tuple]:
         """What a version's folders hold, by shard: version, rows, bytes, least and largest key."""
@@ -530,7 +531,7 @@ class VectorStore:
                 rows = self._visible(self._unstruck(rows))
             else:
                 rows = rows.join(last.where(F.col("shard_id").isin(lost)), keys, "left_semi")
-            self._writer(rows.drop("v").repartition("shard_id", F.pmod(F.xxhash64("key"), F.lit(16)))).partitionBy("shard_id").parquet(f"{self.path}/rows/v={v}")
+            self._writer(rows.drop("v").hint("rebalance", "shard_id")).partitionBy("shard_id").parquet(f"{self.path}/rows/v={v}")
             shards |= {s: [x] for s, x in self._written(v).items()}
         self._commit(replace(self.state, shards=dict(sorted(shards.items())), tombstones=None, tombstone_count=0, strikes=(), needs_dedup=False))
         return before - self.physical_rows
