@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from halyard.sources import files
 
 #: A word is a run of characters other than space and the ASCII controls 0x09 to 0x0D.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -22,15 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it is unset (tests), a temporary one of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found or tempfile.mkdtemp(prefix="halyard-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def col(name: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: The cluster's shared folder.
+scratch = files.shared
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -49,9 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialise` wrote, once nothing that is still to be computed reads them."""
     for t in tables:
-        spark = t.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(t.halyard_path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        files.delete(t.sparkSession, t.halyard_path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -79,7 +77,5 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def join_size_checked(big: DataFrame, ids: DataFrame, key: str, limit: int, how: str = "left_semi") -> DataFrame:
     """Join on `key`; broadcast `ids` only if its counted rows stay within `limit`, else shuffle both sides."""
-    from pyspark.sql import functions as F
-
     small = ids.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)

@@ -7,20 +7,26 @@ before ordinary words included; an instance's score is 1 for a base span, else 1
 (1 - confidence) over the trusted patterns it stands in. A few rounds of this run on the aggregated graph.
 Unknown tokens behind a trusted pattern become spans of its kind.
 
-Everything is DataFrame expressions: positions follow from the lengths of what lies between matches.
-The regular expressions below match what the plain forms match, but can't backtrack: a run of characters
-is tried at its first position only, or where the match before ended.
+Everything is DataFrame expressions. Positions are running sums of the lengths of what lies between matches,
+made by doubling steps over whole arrays, so a text's cost grows as n log n with its matches. Tokens are looked
+for in a copy of the text in which each span is masked, length by length, by characters of its kind: a token's
+own mask says whether and of what kind it is known. The regular expressions below match what the plain forms
+match, but can't backtrack: a run of characters is tried at its first position only, or where the match before
+ended. Texts are scanned for spans and tokens once; the result is written out.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows and ids each keep their row;
-positions are code points, ends exclusive; columns other than the two named are not looked at.
+positions are code points, ends exclusive; other columns, whatever their names, are not looked at, and
+`scrub` passes them through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import join_size_checked, materialise
+from halyard.llm.common import col, join_size_checked, materialise
 
 #: Kinds in their order, with the pattern of each.
 KINDS = {
@@ -32,44 +38,111 @@ KINDS = {
 #: A cheap condition that every text with a match of the kind meets.
 _HINT = {"email": "@", "phone": "+"}
 SPAN = "struct<start:bigint,end:bigint,kind:string,value:string>"
-#: Words of context, the least number of different instances, the least confidence and the rounds.
+#: The least number of different values and the least confidence of a trusted context, and the rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.6, 3
-#: Contexts that are broadcast at most (some 20 bytes each); beyond, both sides are shuffled.
+#: Contexts or rows of new spans that are broadcast at most, counted before; beyond, both sides are shuffled.
 BROADCAST_CONTEXTS = 1 << 17
-_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Masks: a span's first character and its other ones, by kind. The same characters of a text itself count as "?".
+_HEAD, _REST = ({k: chr(0xE000 + first + i) for i, k in enumerate(KINDS)} for first in (4, 0))
+_MASK = r"\uE000-\uE007"
+_TOKEN = rf"(?<!\S)[^\s0-9@{_MASK}]*+[0-9@{_MASK}]\S*+"
 #: The last two words of what stands before a token, and the space behind them.
 _CONTEXT = r"(?<!\S)(\S++\s++\S++)\s++\z"
+#: Characters of a piece of text, from which parts are cut without counting from the text's start.
+PIECE = 1024
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f refers to it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """The running sums (or maxima, none below 0) of an array of numbers: at step k, each takes in what lies 2**k before it."""
+    n, zero = F.size(values), F.lit(0).cast("bigint")
+    steps = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        wide = F.least(F.pow(F.lit(2.0), k).cast("int"), n)
+        return F.zip_with(F.concat(F.array_repeat(zero, wide), F.slice(acc, F.lit(1), n - wide)), acc, both).cast("array<bigint>")
+
+    return F.aggregate(steps, values.cast("array<bigint>"), step)
+
+
+def _shifted(values: Column, by: int) -> Column:
+    """An array moved on by some places, filled up with empty texts."""
+    return F.slice(F.concat(F.array_repeat(F.lit(""), by), values), F.lit(1), F.size(values))
 
 
 def _placed(text: Column, pattern: str, *, context: bool = False) -> Column:
     """array<struct<start, end, value, before>> of a pattern's matches.
 
-    With `context`, for matches behind white space, `before` is what stands before each from the second last word
-    on, whole and across matches; else it is empty.
+    With `context`, for matches that are whole words, `before` is what stands before each from the second last
+    word on, whole and across matches; else it is empty.
     """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def before(acc: Column, x: Column) -> Column:
-        if not context:
-            return F.lit("")
-        tail = F.concat(acc["last"], x["gap"])
-        two = F.regexp_extract(tail, _CONTEXT, 0)
-        return F.when(two == "", tail).otherwise(two)
+    def places(p: Column) -> Column:
+        gap = F.slice(p["parts"], F.lit(1), F.size(p["found"]))
+        ends = _running(F.zip_with(gap, p["found"], lambda g, v: (F.length(g) + F.length(v)).cast("bigint")), lambda x, y: x + y)
+        more = [_shifted(p["found"], 2).alias("v2"), _shifted(gap, 1).alias("g1"), _shifted(p["found"], 1).alias("v1"), gap.alias("g0")] if context else []
+        every = F.arrays_zip(p["found"].alias("value"), ends.alias("end"), *more)
+
+        def one(x: Column) -> Column:
+            # The two words before a match lie in the gap before it or, as far as that lacks them, in what comes next.
+            before = _let(F.concat(x["v2"], x["g1"], x["v1"], x["g0"]), lambda t: _let(F.regexp_extract(t, _CONTEXT, 0), lambda w: F.when(w == "", t).otherwise(w))) if context else F.lit("")
+            return F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), before.alias("before"))
+
+        return F.transform(every, one)
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
+    return F.coalesce(F.when(text.rlike(pattern), _let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("parts")), places)), none)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, first: Column, end: Column) -> Column:
+    """The characters first to end - 1 of a text, from its pieces."""
+
+    def parts(x: Column) -> Column:
+        i, j, a, n = x["i"], x["j"], x["a"], x["n"]
+        head = F.substring(F.get(pieces, i), a + 1, F.least(n, F.lit(PIECE)))
+        rest = F.concat(head, F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(pieces, j), F.lit(1), a + n - (j - i) * PIECE))
+        return F.when(n <= 0, "").when(i == j, head).otherwise(rest)
+
+    i, j = (first / PIECE).cast("int"), ((end - 1) / PIECE).cast("int")
+    return _let(F.struct(i.alias("i"), j.alias("j"), (first % PIECE).cast("int").alias("a"), (end - first).cast("int").alias("n")), parts)
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
-    # A match's `before` and its value hold the last two words before the next gap.
-    step = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            (F.concat(before(acc, x), x["value"]) if context else F.lit("")).alias("last"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"), before(acc, x).alias("before")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.coalesce(F.when(text.rlike(pattern), step).otherwise(none), F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>"))
+
+def _spliced(text: Column, spans: Column, new: Callable[[Column, Column, Column], Column], kept: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The text with each of its spans (by start) replaced by new(span, end of those before, pieces), the rest by kept(rest)."""
+
+    def splice(p: Column) -> Column:
+        ends = _running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        zero = F.array(F.lit(0).cast("bigint"))
+        every = F.arrays_zip(spans.alias("s"), F.slice(F.concat(zero, ends), F.lit(1), F.size(spans)).alias("at"))
+        parts = F.transform(every, lambda x: F.concat(kept(_cut(p, x["at"], x["s"]["start"])), new(x["s"], x["at"], p)))
+        return F.concat(F.array_join(parts, ""), kept(_cut(p, F.array_max(ends), F.length(text).cast("bigint"))))
+
+    return F.when(F.size(spans) > 0, _let(_pieces(text), splice)).otherwise(kept(text))
+
+
+def _by_kind(kind: Column, given: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), kind)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each span's characters replaced by those of its kind; its length stays."""
+
+    def mask(s: Column, at: Column, _: Column) -> Column:
+        rest = _by_kind(s["kind"], _REST)
+        whole = F.concat(_by_kind(s["kind"], _HEAD), F.repeat(rest, (s["end"] - s["start"] - 1).cast("int")))
+        return F.when(s["start"] >= at, whole).otherwise(F.repeat(rest, F.greatest(s["end"] - at, F.lit(0)).cast("int")))
+
+    odd = "".join([*_HEAD.values(), *_REST.values()])
+    return _spliced(text, spans, mask, lambda x: F.translate(x, odd, "?" * len(odd)))
 
 
 def _digits(value: Column) -> Column:
@@ -114,21 +187,37 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """A row for each identifier-shaped token with two words before it: context, value, kind (null: unknown), place."""
-    t = rows.select("id", "key", "spans", F.explode(_placed(F.col("text"), _TOKEN, context=True)).alias("t"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    t = t.select("id", "key", "t", over.alias("over"), F.lower(F.regexp_extract("t.before", _CONTEXT, 1)).alias("context"))
-    head = F.length(F.regexp_extract("t.value", r"^[^\p{L}\p{N}+]*", 0))
-    core = F.regexp_extract("t.value", r"^[^\p{L}\p{N}+]*(.*?)[^\p{L}\p{N}]*$", 1)
-    seed = F.when(F.size("over") > 0, F.col("over")[0])
-    t = t.where("context <> ''").select(
-        "id", "key", F.regexp_replace("context", r"\s+", " ").alias("context"),
-        F.coalesce(seed["value"], core).alias("value"), seed["kind"].alias("kind"),
-        F.coalesce(seed["start"], F.col("t.start") + head).alias("start"), F.coalesce(seed["end"], F.col("t.start") + head + F.length(core)).alias("end"), F.col("t.start").alias("at"),
-    )
-    # Of a span of several tokens only the first counts; unknown ones must be long enough to identify someone.
-    return t.where("(kind is not null and start >= at) or (kind is null and length(value) >= 5)").drop("at")
+TOKEN = "struct<context:string,value:string,kind:string,start:bigint,end:bigint>"
+
+
+def tokens(text: Column, spans: Column) -> Column:
+    """array<struct> of the identifier-shaped tokens with two words before them: context, value, kind (null: unknown), place.
+
+    A span within a token stands for it; unknown ones must be long enough to identify someone.
+    """
+
+    def one(t: Column, pieces: Column) -> Column:
+        run = F.regexp_extract(t["value"], f"[{''.join(_HEAD.values())}][{''.join(_REST.values())}]*", 0)
+        core = F.regexp_extract(t["value"], r"^[^\p{L}\p{N}+]*(.*?)[^\p{L}\p{N}]*$", 1)
+        context = F.regexp_replace(F.lower(F.regexp_extract(t["before"], _CONTEXT, 1)), r"\s+", " ")
+
+        def placed(x: Column) -> Column:
+            known = x["run"] != ""
+            head = F.when(known, F.regexp_extract(t["value"], f"^[^{''.join(_HEAD.values())}]*", 0)).otherwise(F.regexp_extract(t["value"], r"^[^\p{L}\p{N}+]*", 0))
+            kind = F.when(known, _by_kind(F.substring(x["run"], 1, 1), {v: k for k, v in _HEAD.items()}))
+            return F.struct(known.alias("known"), kind.alias("kind"), x["core"].alias("core"), (t["start"] + F.length(head)).alias("start"), F.length(F.when(known, x["run"]).otherwise(x["core"])).alias("n"))
+
+        def token(x: Column) -> Column:
+            end = x["start"] + x["n"]
+            value = F.when(x["known"], _cut(pieces, x["start"], end)).otherwise(x["core"])
+            return F.struct(context.alias("context"), value.alias("value"), x["kind"].alias("kind"), x["start"].cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+
+        return _let(F.struct(run.alias("run"), core.alias("core")), lambda x: _let(placed(x), token))
+
+    found = _placed(masked(text, spans), _TOKEN, context=True)
+    found = _let(found, lambda ts: F.when(F.size(ts) > 0, _let(_pieces(text), lambda p: F.transform(ts, lambda t: one(t, p)))))
+    kept = F.filter(found, lambda t: (t["context"] != "") & (t["kind"].isNotNull() | (F.length(t["value"]) >= 5)))
+    return F.coalesce(kept, F.array().cast(f"array<{TOKEN}>"))
 
 
 def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -140,7 +229,11 @@ def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
         w = F.split(F.lower("text"), r"\s+")
         pair = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
         pairs = part.select(w.alias("w")).select(F.explode(pair).alias("context"))
-        return join_size_checked(pairs, contexts, "context", BROADCAST_CONTEXTS).groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+        n = F.count(F.lit(1)).alias("total")
+        if contexts.limit(BROADCAST_CONTEXTS + 1).count() <= BROADCAST_CONTEXTS:
+            return pairs.join(F.broadcast(contexts), "context", "left_semi").groupBy("context").agg(n)
+        # Counted before they are shuffled to meet the contexts, so that a frequent pair is one row of each task.
+        return pairs.groupBy("context").agg(n).join(contexts, "context", "left_semi")
 
     # What a context occurs in a part of the texts is a lower bound of its total: where even all its tokens are
     # too few against that, no round can come to trust it, and the count over all texts leaves it out.
@@ -148,7 +241,7 @@ def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     wide = materialise(wide.join(some, "context", "left").where(F.col("most") >= CONFIDENCE * F.coalesce("total", F.lit(0))).select("context"), "wide")
     totals = occurrences(rows, wide)
     totals = materialise(totals, "totals")
-    graph = graph.join(totals, "context")
+    graph = join_size_checked(graph, totals, "context", BROADCAST_CONTEXTS, "inner")
     known = graph.where("kind is not null").select("context", "value", "kind", "n", F.lit(1.0).alias("score"))
     trusted = None
     for i in range(ROUNDS):
@@ -157,46 +250,52 @@ def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
         by = by.where((F.col("confidence") >= CONFIDENCE) & (F.col("values") >= SUPPORT))
         best = by.groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("best"))
         trusted = materialise(best.select("context", "best.kind", "best.confidence"), "trusted")
-        if i + 1 < ROUNDS:
+        # Where nothing is trusted, or nothing new stands in what is, further rounds change nothing.
+        if i + 1 < ROUNDS and not trusted.isEmpty():
             # Unknown values score by the trusted patterns they stand in, wherever else they stand too.
-            fresh = graph.where("kind is null").drop("kind").join(trusted, "context")
-            scored = fresh.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
-            grown = graph.where("kind is null").drop("kind").join(scored, "value").select("context", "value", "kind", "n", "score")
+            fresh = join_size_checked(graph.where("kind is null").drop("kind"), trusted, "context", BROADCAST_CONTEXTS, "inner")
+            scored = materialise(fresh.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score")), "scored")
+            if scored.isEmpty():
+                break
+            grown = join_size_checked(graph.where("kind is null").drop("kind"), scored, "value", BROADCAST_CONTEXTS, "inner").select("context", "value", "kind", "n", "score")
             known = materialise(graph.where("kind is not null").select("context", "value", "kind", "n", F.lit(1.0).alias("score")).unionByName(grown), "known")
+        else:
+            break
     return trusted
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The base spans of each row (id, key, spans) and, for rows with such, the spans that contexts add (id2, key2, more)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    with_spans = rows.withColumn("spans", base_spans(F.col("text")))
-    tokens = materialise(_tokens(with_spans), "tokens")
-    trusted = trusted_contexts(rows, tokens)
-    fresh = tokens.where("kind is null").drop("kind").join(trusted, "context").select("id", "key", F.struct("start", "end", "kind", "value").alias("s"))
-    return with_spans.select("id", "key", "spans"), fresh.distinct().groupBy("id", "key").agg(F.collect_list("s").alias("more")).withColumnsRenamed({"id": "id2", "key": "key2"})
+def _found(docs: DataFrame, id_col: str, text_col: str, *, rows: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, key, spans, and with `rows` the whole row) of each row, and (id, key, more) of those to which contexts add spans; both written out."""
+    text = F.coalesce(col(text_col), F.lit(""))
+    named = docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *([F.struct(*map(col, docs.columns)).alias("row")] if rows else []))
+    every = named.withColumn("spans", base_spans(F.col("text"))).withColumn("tokens", tokens(F.col("text"), F.col("spans")))
+    every = materialise(every.drop("text"), "spans")
+    each = every.select("id", "key", F.explode("tokens").alias("t")).select("id", "key", "t.*")
+    trusted = trusted_contexts(named.select("key", "text"), each)
+    fresh = join_size_checked(each.where("kind is null").drop("kind"), trusted, "context", BROADCAST_CONTEXTS, "inner").select("id", "key", F.struct("start", "end", "kind", "value").alias("s"))
+    return every.drop("tokens"), materialise(fresh.distinct().groupBy("id", "key").agg(F.collect_list("s").alias("more")), "fresh")
 
 
-def _all(spans: Column) -> Column:
-    return in_order(F.concat(spans, F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
+def _joined(every: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows with all their spans in `every`."""
+    small = fresh.limit(BROADCAST_CONTEXTS + 1).count() <= BROADCAST_CONTEXTS
+    fresh = fresh.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "more")
+    both = every.join(F.broadcast(fresh) if small else fresh, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
+    more = F.coalesce("more", F.array().cast(f"array<{SPAN}>"))
+    return both.withColumn("every", F.when(F.size(more) > 0, in_order(F.concat("spans", more))).otherwise(F.col("spans")))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) of each row: arrays of (start, end, kind, value), the base spans and all spans."""
-    base, fresh = _found(docs, id_col, text_col)
-    both = materialise(base, "base").join(fresh, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
-    return both.select(F.col("id").alias(id_col), F.col("spans").alias("base"), _all(F.col("spans")).alias("spans"))
+    both = _joined(*_found(docs, id_col, text_col, rows=False))
+    return both.select(F.col("id").alias(id_col), F.col("spans").alias("base"), F.col("every").alias("spans"))
 
 
 def scrub(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with each span of its texts replaced by its kind in angle brackets; a null text stays null."""
-    fresh = materialise(_found(docs, id_col, text_col)[1], "fresh")
-    small = fresh.limit(BROADCAST_CONTEXTS + 1).count() <= BROADCAST_CONTEXTS
-    text = F.col(f"d.`{text_col}`")
-    here = F.col(f"d.`{id_col}`").eqNullSafe(F.col("id2")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("key2"))
-    both = docs.alias("d").join(F.broadcast(fresh) if small else fresh, here, "left")
-    both = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != text_col], text.alias(text_col), _all(base_spans(text)).alias("\u0000spans"))
-    clean = both.withColumn(text_col, redact(F.col(text_col), F.col("\u0000spans")))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    both = _joined(*_found(docs, id_col, text_col, rows=True)).select("row", "every")
+    field = F.col("row").getField
+    return both.select(*[(redact(field(c), F.col("every")) if c == text_col else field(c)).alias(c) for c in docs.columns])
 
 
 def written(spans: Column) -> Column:
@@ -206,9 +305,4 @@ def written(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans make one."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.when(s["start"] < acc["at"], "").otherwise(F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))))).alias("out"))
-    )
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _spliced(text, spans, lambda s, at, _: F.when(s["start"] >= at, F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))

@@ -1,6 +1,9 @@
 import hashlib
 import re
+import time
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -95,3 +98,84 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cc or 1.2.3.4, é"), (2, "none"), (3, "")], "doc_id bigint, text string")
     got = docs.select("doc_id", pii.redact(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).collect()
     assert [r.t for r in sorted(got)] == ["mail <email> or <ip>, é", "none", ""]
+
+
+def test_many_matches_in_one_text_take_no_quadratic_time(spark):
+    texts = [" ".join(f"user{i}@b.cc" for i in range(90_000)), "x " * 100_000 + "1.2.3.4 " + "+12345678901 " * 40_000, "a@b.c" * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pii.find(docs.limit(1)).collect()
+    began = time.perf_counter()
+    got = dict(base(pii.find(docs)))
+    assert time.perf_counter() - began < 60
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_clashing_and_dotted_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", "m", 5, 7, "s", "t"), (None, None, None, None, None, None, None), (1, "mail a@b.cc now", "m", 5, 7, "s", "t")], "`doc.id` bigint, `the.text` string, more string, id2 int, key2 int, spans string, `tokens.x` string")
+    got = pii.scrub(docs, id_col="doc.id", text_col="the.text")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "mail <email> now", "m", 5, 7, "s", "t")] * 2 + [(None,) * 7], key=str)
+    assert pii.find(docs, id_col="doc.id", text_col="the.text").columns == ["doc.id", "base", "spans"]
+    assert pii.scrub(docs.where("false"), id_col="doc.id", text_col="the.text").count() == 0
+
+
+def brute_graph(docs):
+    """The spans that contexts add, by plain dictionaries: seeds, confidences over all occurrences, scores, rounds."""
+    space = "[ \t\n\x0b\f\r]+"
+    rows, total = [], Counter()
+    for doc, text in docs:
+        words = [(m.start(), m.group()) for m in re.finditer("[^ \t\n\x0b\f\r]+", text)]
+        low = re.split(space, text.lower())
+        total.update(f"{a} {b}" for a, b in zip(low, low[1:]))
+        spans, at = brute(text), 0
+        for i, (start, word) in enumerate(words):
+            if start < at or not re.search("[0-9@]", word):
+                continue
+            own = [s for s in spans if start <= s[0] < start + len(word)]
+            if own:
+                at, value, kind, place = own[0][1], text[own[0][0] : own[0][1]], own[0][2], own[0][:2]
+            else:
+                head = len(re.match(r"[^\w+]*", word.replace("_", " ")).group())
+                core = re.sub(r"[\W_]*$", "", word[head:])
+                value, kind, place = core, None, (start + head, start + head + len(core))
+                if len(core) < 5:
+                    continue
+            if i >= 2:
+                rows.append((doc, " ".join(w.lower() for _, w in words[i - 2 : i]), value, kind, place))
+    graph, score, trusted = Counter((c, v, k) for _, c, v, k, _ in rows), {}, {}
+    for _ in range(pii.ROUNDS):
+        mass, values = Counter(), {}
+        for (c, v, k), n in graph.items():
+            for kind, s in [(k, 1.0)] if k else [(kind, s) for (val, kind), s in score.items() if val == v]:
+                mass[c, kind] += n * s
+                values.setdefault((c, kind), set()).add(v)
+        found = {}
+        for (c, k), m in mass.items():
+            confidence = min(1.0, m / total[c])
+            if confidence >= pii.CONFIDENCE and len(values[c, k]) >= pii.SUPPORT:
+                found[c] = max(found.get(c, (0, "")), (confidence, k))
+        trusted, score, left = found, {}, {}
+        for c, v, k in graph:
+            if k is None and c in trusted:
+                confidence, kind = trusted[c]
+                left[v, kind] = left.get((v, kind), 1.0) * max(1 - confidence, 1e-6)
+        score = {vk: 1 - x for vk, x in left.items()}
+    return sorted({(doc, *place, trusted[c][1]) for doc, c, _, k, place in rows if k is None and c in trusted})
+
+
+def test_graph_against_brute_force(spark):
+    """Contexts of several kinds and strengths, shared by known and unknown values, some trusted in a later round only."""
+    r = np.random.default_rng(5)
+    say, docs = ["write to", "mail or", "call me", "from host", "not at", "id no"], []
+    for i in range(400):
+        parts = []
+        for _ in range(r.integers(1, 5)):
+            c = say[r.integers(len(say))]
+            known = {"write to": f"u{r.integers(99)}@x.org", "mail or": f"v{r.integers(9)}@x.org", "call me": f"+4912345{r.integers(10_000, 99_999)}", "from host": f"10.0.{r.integers(9)}.{r.integers(9)}"}.get(c, "nothing")
+            value = [known, f"handle{r.integers(30)}-x", "soon"][r.choice(3, p=[0.75, 0.2, 0.05] if c != "mail or" else [0.45, 0.5, 0.05])]
+            parts.append(f"{'so ' * r.integers(0, 3)}{c} {value}{['', ',', ' then'][r.integers(3)]}")
+        docs.append((i, " ".join(parts)))
+    want = brute_graph(docs)
+    got = pii.find(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, s.start, s.end, s.kind) for x in got for s in x.spans if s not in x.base) == want
+    assert len({k for *_, k in want}) >= 2 and len(want) > 50
