@@ -11,10 +11,12 @@ The costs of all strings seen in training are tabled over all languages at once,
 array look-ups a byte, however many languages there are; bytes seen in no language fall back, together,
 through the shorter orders.
 
-Sample bound: `per_lang` texts of at most `max_chars` characters for each language, the first by a hash
-of id and text. Defined cases: a null text or one without a letter is `und` with score 0, as is every text
-where nothing could be learned; rows with a null language or text aren't learned from; repeated rows count
-as often as they are there (within the sample); long texts are scored whole.
+Sample bound: `per_lang` different texts of at most `max_chars` characters for each language, the first by a hash
+of id and text; tables, and the model's size, grow with the number of languages, not with the texts. Defined
+cases: a null text or one without a letter is `und` with score 0, as is every text where nothing could be
+learned (an empty table has no rows); rows with a null language or text aren't learned from; rows alike in id
+and text count once in the sample; long texts are scored whole; other columns, whatever their names, are not
+looked at, and kept ones pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import slices
+from halyard.llm.common import col, slices
 
 ORDER = 3
 #: Stands before each text, so that its first bytes have a context.
@@ -143,7 +145,6 @@ class Scorer:
         return np.where((ends - ORDER > starts)[:, None], np.add.reduceat(np.concatenate([bits, bits[:1] * 0]), starts, axis=0, dtype=np.float64), 0)
 
 
-
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -156,12 +157,17 @@ def _scorer(model: Model) -> Scorer:
 
 def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_chars: int = 20_000) -> Model:
     """Fit on at most `per_lang` texts for each language, of the rows where `usable` holds."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
-    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    first = Window.partitionBy("lang").orderBy("h")
-    # Names only: the sample's ids are ranked without their texts, then joined to them.
-    ranked = rows.select(F.col(lang_col).alias("lang"), order.alias("h")).distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
-    sample = rows.select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text")).join(F.broadcast(ranked.select("lang", "h")), ["lang", "h"])
+    text = col(text_col)
+    rows = docs.where(usable & col(lang_col).isNotNull() & text.isNotNull() & (F.length(text) <= max_chars))
+    named = rows.select(col(lang_col).alias("lang"), F.xxhash64(col(id_col).cast("string"), text).alias("h"), text.alias("text"))
+    # Hashes are even, so of n different ones the first per_lang lie, all but certainly, below the limit of four times as many:
+    # what is ranked is a few thousand rows a language, whatever the table's size.
+    sizes = named.select("lang", "h").groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    limits = sizes.select("lang", (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4.0 * per_lang + 100) / F.col("n"))).alias("limit"))
+    near = named.select("lang", "h").join(F.broadcast(limits), "lang").where(F.col("h").cast("double") <= F.col("limit")).select("lang", "h").distinct()
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang)
+    # Names only are ranked, and then joined to the texts.
+    sample = named.join(F.broadcast(ranked.select("lang", "h")), ["lang", "h"])
     texts: dict[str, list[str]] = {}
     for r in sample.dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():
         texts.setdefault(r.lang, []).append(r.text)
@@ -170,7 +176,7 @@ def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col:
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score (the language's share of the posterior, 0 to 1) of each row."""
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    rows = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], col(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

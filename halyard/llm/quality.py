@@ -4,9 +4,11 @@ Texts become two dozen statistics (shares of byte classes, word and line lengths
 Trees of equal depth are grown by histograms of 64 quantile bins with logistic loss, and kept as flat
 arrays: a tree's nodes lie level by level, so that a batch goes down all trees by array arithmetic.
 
-Sample bound: at most `max_rows` labelled rows, the first by a hash of id and text. Defined cases: a null
-text counts as empty and gets a score like any other; rows with a null label aren't learned from; repeated
-rows and ids each keep their row; without two classes to learn from, every score is the smoothed share of 1.
+Sample bound: at most `max_rows` labels, the first by a hash of the id; where several rows have a labelled id, the
+one with the least hash of its text is learned from. Defined cases: a null text counts as empty and gets a score
+like any other; rows with a null label aren't learned from; repeated rows and ids each keep their row; without
+two classes to learn from (an empty table, for one), every score is the smoothed share of 1; other columns,
+whatever their names, are not looked at, and kept ones pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import slices
+from halyard.llm.common import col, slices
 
 _CLASSES = np.zeros((256, 8))
 for _i, _chars in enumerate([b" ", b"\n\r", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 256)), b".,;:!?", b"#$%&*@^~|<>{}\\=+_/[]"]):
@@ -130,24 +132,25 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: Column | None = None, max_rows: int = 20_000) -> Trees:
     """Fit on at most `max_rows` labelled rows; `usable` is a condition on the labels' rows."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    known = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull())
     known = known if usable is None else known.where(usable)
-    ids = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    ids = known.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(ids), "id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in _featurise(batches):
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("h"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "h", "x"])
 
-    got = rows.select("id", "y", "text").mapInArrow(measure, f"id {ids.schema['id'].dataType.simpleString()}, y int, x array<double>")
-    got = got.orderBy(F.xxhash64("id"), "id", "y", "x").limit(2 * max_rows).toPandas()
+    got = rows.select("id", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(measure, f"id {ids.schema['id'].dataType.simpleString()}, y int, h bigint, x array<double>")
+    # One row for each label, so no more than the labels' bound come to the driver.
+    got = got.groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("m")).select("id", "y", "m.x").orderBy(F.xxhash64("id"), "id", "y").toPandas()
     return boost(np.stack(got.x) if len(got) else np.zeros((0, N_FEATURES)), got.y.to_numpy(float))
 
 
 def score(docs: DataFrame, trees: Trees, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out_col: str = "score") -> DataFrame:
     """The kept columns and each row's score (0 to 1, higher: label 1 likelier)."""
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    rows = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], col(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

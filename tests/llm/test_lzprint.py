@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,18 +32,53 @@ def test_fingerprints_estimate_the_likeness_of_phrase_sets():
     assert lzprint.likeness(lzprint.fingerprint("a"), lzprint.fingerprint("")) == 0
 
 
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for _ in range(2):
+        x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & M
+    return x ^ x >> 32
+
+
+def plain_print(text):
+    """The fingerprint of a text by the definition, phrase by phrase, in plain whole numbers."""
+    raw = text.encode()
+    if not raw:
+        return ""
+    value = lambda b: plain_mix((b + 1) * 0xC2B2AE3D27D4EB4F & M)
+    hashes = [plain_mix(sum(value(b) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(p)) & M) for p in phrases(raw)]
+    least = {}
+    for h in hashes:
+        least[h >> 56] = min(h, least.get(h >> 56, h))
+    out = []
+    for i in range(256):
+        away = next(d for d in range(256) if (i + d) % 256 in least)
+        out.append(plain_mix((least[(i + away) % 256] + away * 0x9E3779B97F4A7C15) & M) & 255)
+    return bytes(out).hex()
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    a, b = bytes.fromhex(a), bytes.fromhex(b)
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 256) / (1 - 1 / 256))
+
+
 def check(rows, got):
+    """Every column of every row against plain code of its own."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     for i, (doc, text) in enumerate(order):
         text, nxt = text or "", order[(i + 1) % len(order)][1] or ""
-        keep, new = lzprint.edited(text, nxt)
+        cut = len(text) // 3
+        changed = text[: len(text) - cut] + nxt[:cut]
         r = by[doc]
-        own, other, following = (lzprint.fingerprint(t) for t in (text, keep + new, nxt))
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256((keep + new).encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (own.hex(), other.hex())
-        assert (r.near_edited, r.near_next) == (lzprint.likeness(own, other), lzprint.likeness(own, following))
+        own, other, following = map(plain_print, (text, changed, nxt))
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (own, other)
+        assert r.near_edited == pytest.approx(plain_likeness(own, other), abs=1e-12) and r.near_next == pytest.approx(plain_likeness(own, following), abs=1e-12)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 60])
@@ -54,14 +90,38 @@ def test_small_tables(spark, n):
     check(rows, lzprint.with_next(docs).collect())
 
 
-def test_repeated_ids_and_rows(spark):
+@pytest.mark.parametrize("limit", [0, 100])
+def test_repeated_ids_and_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(lzprint, "BROADCAST_TWINS", limit)
     rows = [(1, "aaa bbb ccc"), (1, "ddd eee fff"), (1, "ddd eee fff"), (2, "ggg"), (0, "hhh iii")]
+    rows += [(None, f"null {i % 40} text {i % 7}") for i in range(120)] + [(5, f"five {i}") for i in range(60)] + [(6, "six of one")] * 50
     got = lzprint.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r.doc_id, r.n_chars) for r in got) == sorted((d, len(t)) for d, t in rows)
+    assert Counter((r.doc_id, r.n_chars, r.fingerprint) for r in got) == Counter((d, len(t), plain_print(t)) for d, t in rows)
+    # Rows alike follow each other, so each but the last has itself as its next.
+    alike = Counter(rows)
+    for (d, t), n in alike.items():
+        own = [r for r in got if r.doc_id == d and r.fingerprint == plain_print(t)]
+        same = hashlib.sha256((t[: len(t) - len(t) // 3] + t[: len(t) // 3]).encode()).hexdigest()
+        assert sum(r.edited_sha256 == same for r in own) >= n - 1
+    # All in all, the order is one circle: each text but for copies is the next of one row.
+    cuts = Counter()
+    for r in got:
+        cuts[r.edited_sha256] += 1
+    assert sum(cuts.values()) == len(rows)
+
+
+def test_a_very_long_text_and_dotted_columns(spark):
+    rows = [(3, "ab" * 150_000 + "é"), (2, "x" * 100_000), (1, "short")]
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "`doc.id` bigint, `a.text` string, range string, n int")
+    got = lzprint.with_next(docs, id_col="doc.id", text_col="a.text").withColumnRenamed("doc.id", "doc_id").collect()
+    for (d, t), (_, nxt) in zip(rows, [*rows[1:], rows[0]]):
+        r = next(r for r in got if r.doc_id == d)
+        cut = len(t) // 3
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest() and r.fingerprint == plain_print(t)
 
 
 def test_documents(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.op2_lz_fingerprint(spark, sf).collect()
     check(rows, got)

@@ -93,3 +93,35 @@ def test_quality_edge_cases(spark, labelled):
     got = quality.score(docs, quality.train(docs, labels)).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(docs.where("false"), quality.train(docs, labels)).count() == 0
+
+
+def test_dotted_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the one", "en", 0.5, "k"), (2, "der eine", "de", 0.1, "k"), (None, None, None, None, None)], "`doc.id` bigint, `a.text` string, `l.ang` string, `sc.ore` double, k0 string")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x")], "`doc.id` bigint, `q.y` int, text string")
+    model = langid.train(docs, F.lit(True), id_col="doc.id", text_col="a.text", lang_col="l.ang")
+    got = langid.predict(docs, model, text_col="a.text", keep=("doc.id", "sc.ore", "k0"))
+    assert got.columns == ["doc.id", "sc.ore", "k0", "lang_pred", "score"] and {r[3] for r in got.collect()} == {"en", "de", "und"}
+    trees = quality.train(docs, labels, id_col="doc.id", text_col="a.text", label_col="q.y")
+    got = quality.score(docs, trees, text_col="a.text", keep=tuple(docs.columns))
+    assert got.columns == [*docs.columns, "score"] and got.count() == 3
+
+
+def test_samples_are_the_first_by_hash_whatever_repeats(spark):
+    rows = [(i, f"text number {i}", "en") for i in range(900)] + [(7, "text number 7", "en")] * 3000 + [(i, f"texte {i}", "fr") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    first = lambda lang: [r.text for r in docs.where(F.col("lang") == lang).distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text")).limit(30).collect()]
+    model = langid.train(docs, F.lit(True), per_lang=30)
+    want = langid.fit({"en": first("en"), "fr": first("fr")})
+    assert model.langs == want.langs
+    probe = [b"text number 123", b"texte 3", b"zq"]
+    assert np.allclose(langid.Scorer(model).code_lengths(probe), langid.Scorer(want).code_lengths(probe))
+
+
+def test_quality_learns_one_row_for_each_label(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good words here")] * 500 + [(1, "other"), (2, "$$$"), (3, "more good words")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "boost", lambda x, y: seen.append((x, y)))
+    quality.train(docs, labels, max_rows=3)
+    ((x, y),) = seen
+    assert len(x) == len(y) == 3
