@@ -79,3 +79,17 @@ def join_size_checked(big: DataFrame, ids: DataFrame, key: str, limit: int, how:
     """Join on `key`; broadcast `ids` only if its counted rows stay within `limit`, else shuffle both sides."""
     small = ids.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
+
+
+#: Keys that `frequent` gives at most.
+FREQUENT_KEYS = 1 << 16
+
+
+def frequent(sample: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """(key): the keys of `least` rows of a sample or more, and of a FREQUENT_KEYSth of all; so there are no more than FREQUENT_KEYS.
+
+    For dealing hot keys apart: what is found here changes where rows go, never what comes out.
+    """
+    counts = materialise(sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") >= total / FREQUENT_KEYS).select(key)

@@ -6,21 +6,29 @@ neighbours; each band pair has a scheme with one bound t for all its pairs. A sc
 into segments and allots each a number of differences, so that the numbers add up to more than t: then at
 least one segment of two linked sets differs by less than its number. `allot` picks the cheaper form:
 
-* large sets: t + 1 + slack segments of number 1, indexed by their exact content. A linked pair agrees on
-  more than `slack` of them, so a set may leave out up to `slack` segments and still meet its partners:
-  the empty ones and those whose content very many sets share (cost-based allocation: a set whose empty
-  and frequent segments exceed the slack keeps all of them).
-* small sets: half as many segments of number 2, indexed by content and by all one-deletion neighbours.
+* t + 1 + slack segments of number 1, indexed by their exact content. A linked pair agrees on more than `slack`
+  of them, so a set may leave out up to `slack` segments and still meet its partners: the empty ones and those
+  whose content very many sets share (a set whose empty and frequent segments exceed the slack keeps all).
+* half as many segments of number 2, indexed by content and by all one-deletion neighbours.
+
+The cost of a form is its entries, each with the sets expected to meet it by chance, which fall with the elements
+that an entry holds; small sets come out at the second form, large ones at the first.
 
 Sets that share an indexed content are candidates. Contents of few sets give all their pairs, counted: a
 linked pair agrees on more of them than the slack that either set has left, so chance meetings fall out.
-Contents of many sets matter only between sets beyond their slack: these gather at a hub and are compared
-exactly, block by block, on the n-grams themselves; what is linked in two blocks leaves as a star. So each
-link between different texts is found, and neither copies nor families of near copies expand into pairs.
+Contents of many sets matter only between sets beyond their slack: these gather at a hub. A gathering is a
+family of near copies as a rule, so all of it is compared with one member, then what isn't linked to that with
+another one, a few times: every text is sent once for each. What still stands outside the gathering's largest
+class, little in a family, is then compared exactly with all of it, block by block on the n-grams themselves;
+what is linked in two blocks leaves as a star. So each link between different texts is found or follows from
+others, and neither copies nor families of near copies expand into pairs.
+
+Contents that a share of a sample of the sets have are dealt by set, so that no task holds all of one.
 
 Defined cases: a text with fewer than n words is one n-gram of all its words; one without words (or null)
 has an empty set, no links and its own id as its component; a null id is kept and never is a component's
-name unless nothing else is; repeated rows and ids are each kept. Hashes have 64 bits, by XXH3.
+name unless nothing else is; repeated rows and ids are each kept; an empty table gives an empty one; long texts
+are read whole; other columns, whatever their names, are not looked at. Hashes have 64 bits, by XXH3.
 """
 
 from __future__ import annotations
@@ -31,22 +39,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import discard, join_size_checked, materialise, mix, slices
+from halyard.llm.common import col, discard, frequent, join_size_checked, materialise, mix, slices
 from halyard.llm.components import components
 
 #: Contents that more sets than this share are frequent.
 FREQUENT = 4
 #: Sets of a block that is compared in one task, at most, and their elements.
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 20
-#: Sets smaller than this are indexed with one-deletion neighbours.
-SMALL = 24
+#: For the cost of an entry: the share of n-grams that some other text has too, and what a set that meets it by chance costs.
+SHARED, CHANCE = 0.5, 20
+#: Members that a gathering is compared with before its rest is.
+PIVOTS = 3
+#: One set in so many is looked at to find the frequent entries that are dealt by set.
+SAMPLE = 64
 #: Ids that are broadcast at most (8 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 1 << 20
+#: Gatherings, or frequent entries with their hub, that are broadcast at most.
+BROADCAST_HUBS = 1 << 18
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -90,14 +105,19 @@ def bound(largest: int, percent: int) -> int:
 
 
 def allot(least: int, largest: int, percent: int) -> tuple[int, int, int]:
-    """(segments, number of each, slack) of the scheme whose smaller sets have `least` to `largest` elements."""
+    """(segments, number of each, slack) of the cheaper scheme for pairs whose smaller sets have `least` to `largest` elements."""
     t = bound(largest, percent)
     if t == 0:
         return 0, 0, 0
-    if least < SMALL:
-        return (t + 2) // 2, 2, 0
     slack = 2 + (8 * (t + 1) + 99) // 100
-    return t + 1 + slack, 1, slack
+    forms = [(t + 1 + slack, 1, slack), ((t + 2) // 2, 2, 0)]
+
+    def cost(form: tuple[int, int, int]) -> float:
+        segments, number, _ = form
+        entries, held = (segments, least / segments) if number == 1 else (segments + least, max(0.0, least / segments - 1))
+        return entries * (1 + CHANCE * SHARED**held)
+
+    return min(forms, key=cost)
 
 
 def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,52 +243,127 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _families(frequent: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): pairs that connect whatever is linked among the sets that share an entry of `frequent` (sig, node, passed).
+def _star(rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what the matrix `linked` of nodes `rows` and `cols` connects."""
+    node, at = np.unique(np.concatenate([rows, cols]), return_inverse=True)
+    a, b = at[: len(rows)], at[len(rows) :]
+    label = np.arange(len(node))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, np.where(linked, label[b][None], len(node)).min(axis=1, initial=len(node)))
+        np.minimum.at(new, b, np.where(linked, label[a][:, None], len(node)).min(axis=0, initial=len(node)))
+        new = new[new]
+        if (new == label).all():
+            away = label != np.arange(len(node))
+            return node[label[away]], node[away]
+        label = new
+
+
+def _pivot_links(dealt: DataFrame, pivots: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): the pivots a of gatherings (hub, pivot) and the members b of `dealt` (hub, part, node, z) that are linked to them."""
+    chosen = dealt.join(F.broadcast(pivots) if pivots.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else pivots, "hub")
+    # A pivot's text goes to each part of its gathering.
+    own = chosen.where(F.col("node") == F.col("pivot")).select("hub", "parts", F.col("z").alias("zp")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = chosen.where(F.col("node") != F.col("pivot")).select("hub", "part", "pivot", "node", "z").join(own, ["hub", "part"])
 
-    The sets of an entry gather at the one with most frequent entries, so that sets sharing many entries gather
-    once. A gathering is split into blocks of bounded size by hash, each pair of blocks is compared exactly in one
-    task, and what is linked there leaves as a star: no pairs are written out.
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in batches:
+            for b in slices([batch], "z", 1 << 20):
+                good = []
+                for p, zp, y in zip(b.column("pivot").to_pylist(), b.column("zp"), _sets_of(b.column("z").to_pylist(), n)):
+                    if p != last:
+                        last, x = p, _sets_of([zp.as_py()], n)[0]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([b.column("pivot").filter(pa.array(good, pa.bool_())), b.column("node").filter(pa.array(good, pa.bool_()))], ["a", "b"])
+
+    return both.select("pivot", "node", "z", "zp").mapInArrow(check, "a bigint, b bigint")
+
+
+def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): pairs that connect whatever is linked among the sets that share an entry of `crowd` (sig, node, passed).
+
+    The sets of an entry gather at the one with most frequent entries, so that sets sharing many entries gather once.
+    """
+    hubs = crowd.groupBy("sig").agg(F.max(F.struct("passed", "node")).alias("h")).select("sig", F.col("h.node").alias("hub"))
+    hubs = F.broadcast(hubs) if hubs.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else hubs
+    members = materialise(crowd.select("sig", "node").join(hubs, "sig").select("hub", "node").distinct(), "members")
+    sized = members.join(nodes.select("node", "n"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n")).where("size > 1")
+    block = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_ELEMENTS} div n")))
+    sized = materialise(sized.select("hub", F.ceil(F.col("size") / block).cast("int").alias("parts"), block.cast("int").alias("block")), "hubs")
+    few = sized.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
+
+    def with_hub(rows: DataFrame, more: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(more) if few else more, "hub")
+
+    texts = _texts(members.select("node").distinct(), docs, nodes, n, id_col, text_col)
+    dealt = with_hub(members, sized).join(texts, "node").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts", "block", "node", "z")
+    dealt = materialise(dealt, "dealt")
+    links = materialise(_pivot_links(dealt, sized.select("hub", F.col("hub").alias("pivot")), n, percent), "links")
+    for i in range(PIVOTS):
+        comp = materialise(components(links), "component")
+        labelled = members.join(comp, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
+        # The largest class of each gathering, and the members outside it.
+        sizes = labelled.groupBy("hub", "label").count()
+        giants = sizes.groupBy("hub").agg(F.max(F.struct("count", "label")).alias("g")).select("hub", F.col("g.label").alias("giant"))
+        labelled = with_hub(labelled, sized).join(giants, "hub")
+        outside = materialise(labelled.where(F.col("label") != F.col("giant")).select("hub", "node", "label", "block"), "outside")
+        if i + 1 == PIVOTS or outside.isEmpty():
+            break
+        # The next member to compare with: of each gathering whose rest is more than a block, one of the rest.
+        pivots = outside.groupBy("hub", "block").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct(F.xxhash64("node"), "node")).alias("m")).where(F.col("left") > F.col("block")).select("hub", F.col("m.node").alias("pivot"))
+        if pivots.isEmpty():
+            break
+        links = materialise(links.unionByName(_pivot_links(dealt, pivots, n, percent)), "links")
+
+    # The rest against everyone, by blocks of both: a text goes once for each block of its gathering's rest.
+    rest = outside.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.max("block")).cast("int").alias("k"))
+    own = dealt.join(outside.select("hub", "node", "label"), ["hub", "node"])
+    own = with_hub(own, rest).select("hub", F.pmod(F.xxhash64(F.lit(1), "node"), "k").cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "label", "z", F.lit(True).alias("rest"))
+    every = with_hub(dealt, rest).join(comp, "node", "left").select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), "part", "node", F.coalesce("component", "node").alias("label"), "z", F.lit(False).alias("rest"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        left, right = t.filter(t.column("rest")), t.filter(pc.invert(t.column("rest")))
+        (la, a, sa), (lb, b, sb) = ((x.column("label").to_numpy(), x.column("node").to_numpy(), _sets_of(x.column("z").to_pylist(), n)) for x in (left, right))
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = common_counts(sa, sb).astype(np.int64)
+        size = [np.array([len(s) for s in x]) for x in (sa, sb)]
+        # What is one class already needs no link.
+        linked = (100 * both >= percent * (size[0][:, None] + size[1][None] - both)) & (la[:, None] != lb[None])
+        x, y = _star(a, b, linked)
+        return pa.table({"a": x, "b": y})
+
+    more = own.unionByName(every).groupBy("hub", "at", "part").applyInArrow(compare, "a bigint, b bigint")
+    return links.unionByName(more)
+
+
+def _dealt(index: DataFrame, sample: DataFrame) -> DataFrame:
+    """The index entries (sig, node, tag) that several sets have, with their number cnt.
+
+    Frequent entries, by a sample, are first dealt by set, counted in parts, and summed up by entry then; the
+    others meet in one step. Which are called frequent makes no difference to the result.
     """
-    hubs = frequent.groupBy("sig").agg(F.max(F.struct("passed", "node")).alias("h")).select("sig", F.col("h.node").alias("hub"))
-    members = materialise(frequent.select("sig", "node").join(hubs, "sig").select("hub", "node").distinct(), "members")
-    sized = members.join(nodes.select("node", "n"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"))
-    blocks = sized.where("size > 1").select("hub", F.ceil(F.col("size") / F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_ELEMENTS} div n")))).cast("int").alias("k"))
-    texts = materialise(_texts(members.select("node").distinct(), docs, nodes, n, id_col, text_col), "texts")
-    dealt = members.join(blocks, "hub").join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "z")
-
-    def links(t: pa.Table) -> pa.Table:
-        node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
-        found = _sets_of(t.column("z").to_pylist(), n)
-        a, b = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
-        size = np.array([len(s) for s in found])
-        both = common_counts([found[i] for i in a], [found[i] for i in b]).astype(np.int64)
-        linked = 100 * both >= percent * (size[a][:, None] + size[b][None] - both)
-        label = np.arange(len(node))
-        while True:
-            new = label.copy()
-            new[a] = np.minimum(new[a], np.where(linked, new[b][None], len(node)).min(axis=1))
-            new[b] = np.minimum(new[b], np.where(linked, new[a][:, None], len(node)).min(axis=0))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        away = label != np.arange(len(node))
-        return pa.table({"a": node[label[away]], "b": node[away]})
-
-    return dealt.groupBy("hub", "lo", "hi").applyInArrow(links, "a bigint, b bigint")
+    hot = frequent(sample, "sig")
+    rows = index.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(4096))).otherwise(0))
+    group = Window.partitionBy("sig", "salt")
+    rows = rows.repartition("sig", "salt").withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group), "cnt": F.count(F.lit(1)).over(group)})
+    rows = materialise(rows.where("least < most or hot").select("sig", "node", "tag", "cnt", "hot").distinct(), "shared")
+    # At most a row for each entry of `hot`, which is bounded.
+    whole = rows.where("hot").groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("all"))
+    rows = rows.join(F.broadcast(whole), "sig", "left").where("hot is null or least < most")
+    return rows.select("sig", "node", "tag", F.coalesce("all", "cnt").alias("cnt"))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(id, key, n_grams, class) of each row; class is null for an empty set."""
+    docs, id_col, text_col = docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text"
     rows = materialise(sets(docs, n, id_col=id_col, text_col=text_col), "sets")
     place = F.xxhash64("id", "key")
     nodes = rows.where("node is not null").groupBy("node").agg(F.coalesce(F.min_by(place, "id"), F.min(place)).alias("rep"), F.max("n_grams").alias("n"))
-    group = Window.partitionBy("sig")
-    shared = _index(docs, n, percent, text_col).repartition("sig").withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group), "cnt": F.count(F.lit(1)).over(group)})
-    shared = materialise(shared.where("least < most").select("sig", "node", "tag", "cnt").distinct(), "shared")
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
+    shared = _dealt(_index(docs, n, percent, text_col), _index(some, n, percent, text_col).select("sig", "node"))
     few = F.col("cnt") <= FREQUENT
     passed = materialise(shared.where(~few).groupBy("node", "tag").agg(F.count(F.lit(1)).alias("passed")), "passed")
 
@@ -287,10 +382,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # Sets beyond their slack meet in the frequent entries.
     beyond = passed.where("passed >= shiftright(tag, 1)")
-    frequent = materialise(shared.where(~few).join(beyond, ["node", "tag"]).select("sig", "node", "passed"), "frequent")
-    discard(shared, passed)
-    comp = components(linked.unionByName(_families(frequent, nodes, docs, n, percent, id_col, text_col)))
-    discard(frequent, linked)
+    crowd = materialise(shared.where(~few).join(beyond, ["node", "tag"]).select("sig", "node", "passed"), "frequent")
+    discard(passed)
+    comp = components(linked.unionByName(_families(crowd, nodes, docs, n, percent, id_col, text_col)))
+    discard(crowd, linked)
     return rows.join(comp, "node", "left").select("id", "key", "n_grams", F.coalesce("component", "node").alias("class"))
 
 
@@ -310,7 +405,7 @@ def unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     found = found.where("class is not null").withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     first = found.groupBy("class").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     both = materialise(found.join(first, "class").select("id", "key", F.col("place").eqNullSafe(F.col("first")).alias("stays")), "places")
-    here = [F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.id")), F.xxhash64(f"d.`{text_col}`") == F.col("x.key")]
+    here = [F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.id")), F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("x.key")]
 
     def without(rows: DataFrame, out: DataFrame, how: str) -> DataFrame:
         small = out.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

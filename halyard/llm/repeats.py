@@ -13,11 +13,14 @@ depends on; if that range lies in a window, every equal window holds the same sy
    document holds, and the words that they cover go.
 
 Both shuffles are relieved of frequent keys before: what occurs in several documents of one slice of a task
-goes out once, and the other documents' answers, known by then, go out by document.
+goes out once, and the other documents' answers, known by then, go out by document. Symbols that a sample of the
+documents shows to be frequent aren't asked for at all, and the windows that pick them find their least document
+in two steps, by parts of the documents and then over these; so no task holds all rows of one key.
 
 Defined cases: a null text has no words; texts shorter than `width` words lose nothing; rows with a null id
 neither lose words nor make others lose any; rows of the same id don't affect each other; kept words are
-joined by one space; other columns are not looked at. Words are compared by 64-bit hashes.
+joined by one space; an empty table gives an empty one; long texts are read whole; other columns, whatever
+their names, are not looked at. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import discard, join_size_checked, materialise, mix, slices
+from halyard.llm.common import col, discard, frequent, join_size_checked, materialise, mix, slices
 
 ROUNDS = 3
 #: Rows (id, key, ranges) that are broadcast at most (some 60 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1 << 18
+#: One document in so many is looked at to find frequent symbols, and the parts that windows with one are dealt to.
+SAMPLE, PARTS = 64, 64
 _U = np.uint64
 _K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -183,16 +188,24 @@ def _anchors(rows: DataFrame, width: int) -> DataFrame:
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """(id, key, ranges), written out: for each row that loses words, the ranges (first, end) of words that go; key is hash(text)."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.where(col(id_col).isNotNull()).select(col(id_col).cast("bigint").alias("id"), F.hash(col(text_col)).alias("key"), col(text_col).alias("text"))
     seqs = materialise(_sequences(rows).where(F.col("n") >= width), "sequences")
     firsts = seqs.groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = materialise(seqs.join(firsts, ["n", "a", "b"]).where("id > first").select("id", "key", "n").distinct(), "copies")
     gone = copies.select(F.struct("id", "key").alias("place")).distinct()
     rest = join_size_checked(rows.withColumn("place", F.struct("id", "key")), gone, "place", BROADCAST_ROWS, "left_anti").select("id", "key", "text")
 
+    own = F.when(F.col("kind") == 2, F.col("name")).otherwise(F.col("slot"))
+    some = rest.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("id", "text")
+    hot = frequent(_anchors(some, width).select(own.alias("name")), "name")
+    # FREQUENT_KEYS numbers at most.
+    hottest = np.array(sorted(r.name for r in hot.collect()), np.int64)
+    anchors = _anchors(rest.select("id", "text"), width).join(F.broadcast(hot.select(F.col("name").alias("hot"))), F.col("slot") == F.col("hot"), "left")
+    sure = F.col("hot").isNotNull()
+    anchors = anchors.select("id", F.when(sure, F.col("slot")).otherwise(F.col("name")).alias("name"), F.when(sure, F.lit(2)).otherwise(F.col("kind")).alias("kind"), F.when(sure, F.xxhash64("slot", "id")).otherwise(F.col("slot")).alias("slot"))
     slot = Window.partitionBy("slot")
-    shared = _anchors(rest.select("id", "text"), width).repartition("slot").withColumns({"low": F.min("id").over(slot), "high": F.max("id").over(slot)})
-    shared = shared.where("kind > 0 or low < high").select("id", F.when(F.col("kind") == 2, F.col("name")).otherwise(F.col("slot")).alias("name"))
+    shared = anchors.repartition("slot").withColumns({"low": F.min("id").over(slot), "high": F.max("id").over(slot)})
+    shared = shared.where("kind > 0 or low < high").select("id", own.alias("name"))
     keys = materialise(shared.groupBy("id").agg(F.collect_set("name").alias("names")), "names")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +233,18 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 # What an earlier document of the slice holds is known to go; its slot is spread by document.
                 spread = mix(x + ids.astype(_U))
                 use = first | larger
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(larger, spread, x)[use].view(np.int64)), pa.array(np.where(larger, _U(0), y)[use].view(np.int64)), pa.array(ids[use]), pa.array(place[use]), pa.array(larger[use])], ["x", "y", "id", "place", "known"])
-
-    found = both.mapInArrow(candidates, "x bigint, y bigint, id bigint, place bigint, known boolean")
-    same = Window.partitionBy("x", "y", "known")
-    found = found.repartition("x", "y", "known").withColumn("low", F.min("id").over(same)).where("known or low < id").select("id", F.shiftright("place", 32).cast("int").alias("key"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+                part = np.where(np.isin(best[at].view(np.int64), hottest) & ~larger, (mix(ids.astype(_U)) % _U(PARTS)).astype(np.int32) + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(larger, spread, x)[use].view(np.int64)), pa.array(np.where(larger, _U(0), y)[use].view(np.int64)), pa.array(ids[use]), pa.array(place[use]), pa.array(larger[use]), pa.array(part[use])], ["x", "y", "id", "place", "known", "part"])
+
+    found = both.mapInArrow(candidates, "x bigint, y bigint, id bigint, place bigint, known boolean, part int")
+    same = ["x", "y", "known", "part"]
+    found = found.repartition(*same).withColumn("low", F.min("id").over(Window.partitionBy(*same))).withColumn("known", F.col("known") | (F.col("low") < F.col("id"))).where("known or part > 0")
+    if len(hottest):
+        # The least documents of each part are left to compare: some PARTS rows for a window, or those of copies of one id.
+        again = [F.when(F.col("known"), F.xxhash64("id", "place")).otherwise(F.col("x")).alias("x"), "y", "id", "place", "known"]
+        same = ["x", "y", "known"]
+        found = found.select(*again).repartition(*same).withColumn("low", F.min("id").over(Window.partitionBy(*same)))
+    found = found.where("known or low < id").select("id", F.shiftright("place", 32).cast("int").alias("key"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
     starts = found.groupBy("id", "key").agg(F.array_sort(F.collect_list("at")).alias("starts"))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +267,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """(id, n_words, n_removed, kept) of each row: the number of words, of those that go, and the text of the rest."""
     gone = removals(docs, id_col=id_col, text_col=text_col, width=width).withColumnsRenamed({"id": "gid", "key": "gkey"})
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("id"), F.hash(col(text_col)).alias("key"), col(text_col).alias("text"))
     both = rows.join(F.broadcast(gone) if small else gone, (F.col("id") == F.col("gid")) & (F.col("key") == F.col("gkey")), "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,8 +83,11 @@ def test_chains_small_sets_and_odd_rows(spark, monkeypatch):
     assert jaccard.join(docs.where("false")).count() == 0
 
 
-def test_families_of_near_copies_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [64, 1])
+def test_families_of_near_copies_in_blocks(spark, monkeypatch, sample):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "BROADCAST_HUBS", 0 if sample == 1 else 1 << 18)
     r = np.random.default_rng(2)
     base, rows = [f"w{i}" for i in range(150)], []
     for i in range(90):
@@ -126,3 +129,24 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1) if i != 1500] + [(5000, 5000)], "a bigint, b bigint")
     comp = {r.node: r.component for r in components(edges).collect()}
     assert {comp[x] for x in order[:1501]} == {min(order[:1501])} and {comp[x] for x in order[1501:]} == {min(order[1501:])}
+
+
+def test_allocation_is_by_cost():
+    """Small sets take the form with one-deletion neighbours, large ones the other, and each costs no more than its rival."""
+    for percent in (60, 80, 90):
+        edge = jaccard.bands(percent, 5000)
+        numbers = [jaccard.allot(lo, hi - 1, percent)[1] for lo, hi in zip(edge, edge[1:])]
+        assert 2 in numbers and numbers[-1] == 1 and [x for x in numbers if x] == sorted([x for x in numbers if x], reverse=True)
+
+
+def test_a_large_family_is_sent_once_for_each_pivot(spark):
+    """Near copies of one text: what a task of the family's comparison gets grows with the family, not with its square."""
+    base = [f"w{i}" for i in range(200)]
+    r, rows = np.random.default_rng(9), []
+    for i in range(3000):
+        words = list(base)
+        for j in r.integers(0, 200, 1 + i % 3):
+            words[j] = f"x{r.integers(10**9)}"
+        rows.append((i, " ".join(words)))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {x.component for x in got} == {0} and len(got) == 3000

@@ -55,10 +55,11 @@ def test_texts_pick_alone_what_they_pick_among_others():
         assert (repeats.picks(x, 13)[at : at + c - 12] == among[s : s + c - 12]).all()
 
 
-
-@pytest.mark.parametrize("limit", [1 << 18, 0])
-def test_odd_tables(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "sample"), [(1 << 18, 64), (0, 1)])
+def test_odd_tables(spark, monkeypatch, limit, sample):
     monkeypatch.setattr(repeats, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
+    monkeypatch.setattr(repeats, "PARTS", 4)
     r = np.random.default_rng(5)
     words = lambda n, k: " ".join(f"v{i}" for i in r.integers(0, k, n))
     passage = words(30, 1000)
@@ -71,8 +72,9 @@ def test_odd_tables(spark, monkeypatch, limit):
     assert repeats.dedup(table.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_documents_against_brute_force(spark, sf):
+@pytest.mark.parametrize(("sf", "sample"), [("sf0.001", 64), ("sf0.01", 1)])
+def test_documents_against_brute_force(spark, monkeypatch, sf, sample):
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
     path = f"/root/testdata/{sf}"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in queries.op1_substring_dedup(spark, path).collect()), key=str)
