@@ -6,14 +6,19 @@ into blocks of equal size, whatever the keys' frequencies, so that a query's nei
 own block and the ones beside it. The windows of all curves are searched, merged and reranked by exact
 distance.
 
+A curve's order holds ids only; vectors, in the type they came in, meet their places once for the windows and once
+for what follows.
+
 With `complete`, the windows then widen until nothing nearer can be left out: a block has a centre and a
 radius, a batch of queries likewise, and a block is searched for a batch if the triangle inequality lets it
 hold a vector nearer than the batch's worst k-th neighbour so far. On clustered vectors few blocks are; on
-noise of many dimensions all are, and the search is then the stated queries against all rows, in blocks.
+noise of many dimensions all are, and the search is then the stated queries against all rows, in blocks: a
+block is sent once for each BATCH queries that need it.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null, NaN or infinite
 component take no part, nor do null ids; an id that comes more than once counts by its nearest vector and
-isn't its own neighbour; ties go to the smaller id; an empty table gives an empty one.
+isn't its own neighbour; rows alike in both go once; ties go to the smaller id; an empty table gives an empty
+one; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialise
+from halyard.llm.common import col, materialise
 
 #: Curves, projected dimensions, bits of each, rows of a window block, and of a block and a batch of the complete search.
-CURVES, DIMS, BITS, WINDOW, BLOCK, BATCH = 4, 8, 7, 256, 4096, 1024
+CURVES, DIMS, BITS, WINDOW, BLOCK, BATCH = 4, 8, 7, 256, 32_768, 8_192
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -97,16 +102,18 @@ def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndar
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    v = F.col(vec_col)
+    """(id, h, vec) of the usable rows, h a hash of the vector, and its length."""
+    v = col(vec_col)
+    kind = vectors.select(v.alias("v")).schema["v"].dataType.elementType.simpleString()
     sound = ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & sound).select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("vec"))
+    rows = vectors.where(col(id_col).isNotNull() & v.isNotNull() & sound).select(col(id_col).cast("bigint").alias("id"), F.xxhash64(v).alias("h"), v.cast(f"array<{'float' if kind == 'float' else 'double'}>").alias("vec"))
     most = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     dim = most.n if most else 1
     return rows.where(F.size("vec") == dim), dim
 
 
 def _orders(rows: DataFrame, dim: int, curves: int, seed: int) -> DataFrame:
-    """(curve, rank, id, vec): every row's place in each curve's order."""
+    """(curve, rank, id, h): every different row's place in each curve's order."""
     r = np.random.default_rng(seed)
     dims = min(DIMS, dim)
     project, shifts = r.normal(size=(curves, dim, dims)), r.random((curves, dims))
@@ -127,26 +134,30 @@ def _orders(rows: DataFrame, dim: int, curves: int, seed: int) -> DataFrame:
             for c in range(curves):
                 even = 1 / (1 + np.exp(np.clip(-1.702 * (x @ project[c] - mean[c]) / spread[c], -700, 700)))
                 cells = np.minimum((even + shifts[c]) / 2 * (1 << BITS), (1 << BITS) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, BITS)), *b.columns], ["curve", "cell", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, BITS)), b.column("id"), b.column("h")], ["curve", "cell", "id", "h"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), np.zeros(curves, np.int64)
+        part, at, last = TaskContext.get().partitionId(), np.zeros(curves, np.int64), None
         for b in batches:
-            c = b.column("curve").to_numpy()
+            keys = np.stack([b.column(x).to_numpy().astype(np.int64) for x in ("curve", "id", "h")], axis=1)
+            # Rows alike lie together, and count once.
+            new = np.any(keys != np.concatenate([keys[:1] - 1 if last is None else last[None], keys[:-1]]), axis=1)
+            last, b, c = keys[-1] if len(keys) else last, b.filter(pa.array(new)), keys[new, 0]
             pos = np.zeros(len(c), np.int64)
             for i in np.unique(c):
                 own = c == i
                 pos[own] = at[i] + np.arange(own.sum())
                 at[i] += own.sum()
-            yield pa.RecordBatch.from_arrays([b.column("curve"), pa.array(np.full(len(c), part, np.int32)), pa.array(pos), b.column("id"), b.column("vec")], ["curve", "part", "pos", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("curve"), pa.array(np.full(len(c), part, np.int32)), pa.array(pos), b.column("id"), b.column("h")], ["curve", "part", "pos", "id", "h"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = rows.mapInArrow(keyed, "curve int, cell bigint, id bigint, vec array<double>").repartitionByRange(parts, "curve", "cell", "id").sortWithinPartitions("curve", "cell", "id")
-    order = materialise(order.select("curve", "id", "vec").mapInArrow(placed, "curve int, part int, pos bigint, id bigint, vec array<double>"), "order")
+    by = ["curve", "cell", "id", "h"]
+    order = rows.mapInArrow(keyed, "curve int, cell bigint, id bigint, h bigint").repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    order = materialise(order.select("curve", "id", "h").mapInArrow(placed, "curve int, part int, pos bigint, id bigint, h bigint"), "order")
     # One row for each curve and partition.
     offset = F.coalesce(F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = order.groupBy("curve", "part").count().withColumn("offset", offset).drop("count")
-    return order.join(offsets, ["curve", "part"]).select("curve", (F.col("pos") + F.col("offset")).alias("rank"), "id", "vec")
+    return order.join(F.broadcast(offsets), ["curve", "part"]).select("curve", (F.col("pos") + F.col("offset")).alias("rank"), "id", "h")
 
 
 def _search(rows: DataFrame, queries: DataFrame, keys: list[str], dim: int, k: int) -> DataFrame:
@@ -157,11 +168,13 @@ def _search(rows: DataFrame, queries: DataFrame, keys: list[str], dim: int, k: i
         if not left.num_rows or not right.num_rows:
             return empty
         own = right.column("query").to_numpy()
-        at, ids, scores = nearest(_matrix(right.column("vec").combine_chunks(), dim), own, _matrix(left.column("vec").combine_chunks(), dim), left.column("id").to_numpy(), k)
+        at, ids, scores = nearest(_matrix(right.column("qvec").combine_chunks(), dim), own, _matrix(left.column("vec").combine_chunks(), dim), left.column("id").to_numpy(), k)
         other = ids != own[at]
         return pa.table({"query": own[at][other], "id": ids[other], "score": scores[other]})
 
-    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query bigint, id bigint, score double")
+    left = rows.select(*[F.col(x).alias(f"row_{x}") for x in keys], "id", "vec")
+    right = queries.select(*[F.col(x).alias(f"query_{x}") for x in keys], F.col("query"), F.col("vec").alias("qvec"))
+    return left.groupBy(*[f"row_{x}" for x in keys]).cogroup(right.groupBy(*[f"query_{x}" for x in keys])).applyInArrow(run, "query bigint, id bigint, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -169,8 +182,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).where(F.col("rank") <= k)
 
 
-def _balls(rows: DataFrame, dim: int, size: int, name: str, id_col: str) -> DataFrame:
-    """(name, centre, radius, reach) of each run of `size` ranks; reach is the largest of the rows' `reach`."""
+def _balls(rows: DataFrame, dim: int, name: str) -> DataFrame:
+    """(name, centre, radius, reach) of each group by `name`; reach is the largest of the rows' `reach`."""
 
     def ball(t: pa.Table) -> pa.Table:
         x = _matrix(t.column("vec").combine_chunks(), dim)
@@ -184,19 +197,22 @@ def _balls(rows: DataFrame, dim: int, size: int, name: str, id_col: str) -> Data
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, curves: int = CURVES, complete: bool = True, seed: int = 0) -> DataFrame:
     """(query, rank, id, score): the k nearest of all other vectors to each that `is_query` (a condition on `id`) picks."""
     rows, dim = _usable(vectors, id_col, vec_col)
-    order = materialise(_orders(rows, dim, curves, seed), "ranks")
+    order = _orders(rows, dim, curves, seed)
+    once = rows.dropDuplicates(["id", "h"])
     block = F.floor(F.col("rank") / WINDOW)
-    asked = order.where(is_query).select("curve", F.explode(F.array(block - 1, block, block + 1)).alias("block"), F.col("id").alias("query"), "vec")
-    found = materialise(_best(_search(order.select("curve", block.alias("block"), "id", "vec"), asked, ["curve", "block"], dim, k), k), "windows")
+    placed = order.join(once, ["id", "h"])
+    asked = order.where(is_query).join(once.where(is_query), ["id", "h"]).select("curve", F.explode(F.array(block - 1, block, block + 1)).alias("block"), F.col("id").alias("query"), "vec")
+    found = materialise(_best(_search(placed.select("curve", block.alias("block"), "id", "vec"), asked, ["curve", "block"], dim, k), k), "windows")
     if complete:
         far = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(float("inf")).alias("reach"))
         first = order.where("curve = 0")
-        blocks = first.select(F.floor(F.col("rank") / BLOCK).alias("block"), "id", "vec")
-        asked = first.where(is_query).join(far.withColumnRenamed("query", "id"), "id", "left")
-        asked = asked.select(F.floor(F.row_number().over(Window.partitionBy(F.floor(F.col("rank") / (BATCH * 128))).orderBy("rank")) / BATCH).alias("sub"), F.floor(F.col("rank") / (BATCH * 128)).alias("span"), F.col("id").alias("query"), "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-        asked = materialise(asked.select((F.col("span") * 1024 + F.col("sub")).cast("bigint").alias("batch"), "query", "vec", "reach"), "batches")
-        a = _balls(asked, dim, BATCH, "batch", "query")
-        b = _balls(blocks.withColumn("reach", F.lit(0.0)), dim, BLOCK, "block", "id").drop("reach").toDF("block", "other", "size")
+        blocks = first.join(once, ["id", "h"]).select(F.floor(F.col("rank") / BLOCK).alias("block"), "id", "vec")
+        span = F.floor(F.col("rank") / (BATCH * 128))
+        asked = first.where(is_query).withColumn("sub", F.floor((F.row_number().over(Window.partitionBy(span).orderBy("rank")) - 1) / BATCH)).select("id", "h", (span * 1024 + F.col("sub")).cast("bigint").alias("batch"))
+        asked = asked.join(once.where(is_query), ["id", "h"]).join(far.withColumnRenamed("query", "id"), "id", "left")
+        asked = materialise(asked.select("batch", F.col("id").alias("query"), "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach")), "batches")
+        a = _balls(asked, dim, "batch")
+        b = _balls(blocks.withColumn("reach", F.lit(0.0)), dim, "block").drop("reach").toDF("block", "other", "size")
         apart = F.sqrt(F.aggregate(F.zip_with("centre", "other", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
         # A row for each batch of queries and block of rows: the stated queries against all rows, in blocks.
         pairs = materialise(a.crossJoin(b).where(apart - F.col("radius") - F.col("size") <= F.col("reach") * (1 + 1e-9)).select("batch", "block"), "pairs")
