@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts up to `chunk_chars` are encoded where they lie. A longer text is cut into overlapping chunks that
-different tasks pre-tokenise and encode; one step per document then stitches them where the pre-token
-boundaries of neighbouring chunks meet again. The pattern has no look-behind, so from a common boundary
-on both chunks split alike. Where an overlap has no common boundary (a pre-token longer than the
-overlap), the two chunks are decoded, joined and split anew, so the result is always that of the whole
-text. Decoding concatenates the tokens' bytes.
-
-Defined cases: a null text counts as empty and has no ids; ids and texts may repeat, each row is kept;
-an empty table gives an empty one; columns other than the two named are not looked at.
+A text is cut into overlapping chunks that are pre-tokenised where they lie: one of up to `chunk_chars` characters
+is one chunk, those of a longer one are dealt to different tasks. One step per document then stitches them where
+the pre-token boundaries of neighbouring chunks meet again. The pattern has no look-behind, so from a common
+boundary on both chunks split alike. Where an overlap has no common boundary (a pre-token longer than the
+overlap), the two chunks are decoded, joined and split anew, so the result is always that of the whole text.
+Pre-tokens are encoded by merging, again and again, the neighbours of the lowest rank. Decoding concatenates the
+tokens' bytes.
+
+Defined cases: a null text counts as empty and has no ids; ids and texts may repeat, each row is kept; an empty
+table gives an empty one; very long texts and very long pre-tokens are encoded whole; columns other than the two
+named, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,11 +27,56 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from halyard.llm.common import slices
-
-#: Pre-tokens of long texts kept with their ids, per Python worker, and the longest kept; the rest is encoded anew.
-CACHE, CACHED_CHARS = 50_000, 48
+from pyspark.sql import types as T
+
+from halyard.llm.common import col, slices
+
+#: Pre-tokens kept with their ids, per Python worker, and the longest kept; the rest is encoded anew.
+CACHE, CACHED_CHARS = 200_000, 48
+#: Bytes of a pre-token from which a heap finds the next merge.
+LONG = 128
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: of all neighbours, those of the lowest rank, the first ones of equal rank, become one."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    if len(piece) >= LONG:
+        return _merge_long(piece, ranks)
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    none = len(ranks)
+    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs and (best := min(pairs)) < none:
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+    return [ranks[x] for x in parts]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As `merge`, in n log n steps: parts know their neighbours, and a heap has the pairs, outdated ones too."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a byte; 0: merged into the one before
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        if i and (r := ranks.get(piece[before[i] : stop])) is not None:
+            heappush(heap, (r, before[i], stop))
+    return [ranks[piece[i:e]] for i, e in enumerate(end) if e]
 
 
 class Codec:
@@ -36,19 +84,16 @@ class Codec:
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import regex
-        import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.table = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], pa.large_binary())
-        encoding = tiktoken.Encoding("halyard", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.ordinary, one = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
 
         class Known(dict):
             def __missing__(self, piece: str) -> list[int]:
-                ids = one(piece.encode())
+                ids = merge(piece.encode(), ranks)
                 if len(piece) <= CACHED_CHARS:
                     if len(self) >= CACHE:
                         self.clear()
@@ -59,7 +104,7 @@ class Codec:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text that is one chunk."""
-        return np.array(self.ordinary(text), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.split.findall(text))), np.int32)
 
     def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the pre-tokens and the text's end, how many ids each has, and all ids."""
@@ -124,7 +169,7 @@ def _as_lists(parts: list[np.ndarray]) -> list[pa.Array]:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15, overlap: int = 1 << 9,
+    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 13, overlap: int = 1 << 8,
     shape: Callable[[list[np.ndarray]], list[pa.Array]] = _as_lists, columns: str = "ids array<int>",
 ) -> DataFrame:
     """(id, ids array<int>) of each row of `docs`; `ranks_path` must exist on every executor.
@@ -133,7 +178,7 @@ def encode(
     """
     if not 0 < overlap <= chunk_chars:
         raise ValueError("overlap must be from 1 to chunk_chars")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
@@ -173,8 +218,8 @@ def encode(
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", keep: tuple[str, ...] = ("ids",)) -> DataFrame:
     """(id, kept columns, decoded binary): the bytes of each row's `ids` (null: none), one after the other."""
-    rows = encoded.select(id_col, *keep)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows = encoded.select(*map(col, (id_col, *keep)))
+    kinds = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -183,4 +228,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "
                 b = batch.slice(lo, 1024)
                 yield pa.RecordBatch.from_arrays([*b.columns, c.decode_rows(b.column("ids"))], [*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(back, f"{kinds}, decoded binary")
+    return rows.mapInArrow(back, kinds)
