@@ -218,14 +218,15 @@ def encode(
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", keep: tuple[str, ...] = ("ids",)) -> DataFrame:
     """(id, kept columns, decoded binary): the bytes of each row's `ids` (null: none), one after the other."""
-    rows = encoded.select(*map(col, (id_col, *keep)))
-    kinds = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
+    names = [id_col, *keep]
+    rows = encoded.select(*[col(c).alias(f"k{i}") for i, c in enumerate(names)], col("ids").alias("ids"))
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 b = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([*b.columns, c.decode_rows(b.column("ids"))], [*b.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], c.decode_rows(b.column("ids"))], [*b.schema.names[:-1], "decoded"])
 
-    return rows.mapInArrow(back, kinds)
+    return rows.mapInArrow(back, kinds).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "decoded")
