@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialise
+from halyard.llm.common import col, materialise
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Hash ranges of a leaf: 2 to this power.
@@ -94,7 +94,7 @@ def blend(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[st
     """
     names = list(levels)
     known = [F.coalesce(c.cast("string"), F.lit("\u0000")).alias(n) for n, c in levels.items()]
-    tag, text = digest(F.col(id_col), F.col(text_col)), F.coalesce(F.col(text_col), F.lit(""))
+    tag, text = digest(col(id_col), col(text_col)), F.coalesce(col(text_col), F.lit(""))
     marks = materialise(docs.select(*known, tag.alias("digest"), F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("n")), "marks")
     found = plan(marks, names, weights, total, max_epochs, seed).select(*names, "epochs", "cut")
     kept = [c for c in docs.columns if c != "mix"]

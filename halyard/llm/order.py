@@ -1,6 +1,6 @@
 """Training-order materialisation: token sequences in a keyed permutation, in shards of fixed stride.
 
-Documents' token ids are cut into sequences of `length` ids, the last one padded. Sequences are numbered by
+Documents' token ids (the library's, text by text) are cut into sequences of `length` ids, the last one padded. Sequences are numbered by
 document id and place; a Feistel network under the key, walked along its cycles until it falls below the
 number of sequences, sends each number to its slot of the training order. Numbers and slots depend on the
 documents and the key alone, not on how the job was split.
@@ -21,17 +21,19 @@ looked at.
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe
-from halyard.llm.common import col, discard, materialise, mix, scratch
+from halyard.llm.common import col, discard, materialise, mix, scratch, slices
 from halyard.sources import files
 
 ROUNDS = 6
@@ -57,6 +59,13 @@ def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@lru_cache(2)
+def _library(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("halyard", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def _cut(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: int) -> DataFrame:
     """(id, key, n, data): each document's number of sequences and their bytes."""
 
@@ -71,7 +80,13 @@ def _cut(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: int)
             data.append(block.tobytes())
         return [pa.array(n, pa.int64()), pa.array(data, pa.binary())]
 
-    cut = bpe.encode(docs, ranks_path, pattern, id_col="id", shape=blocks, columns="n bigint, data binary")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary = _library(ranks_path, pattern).encode_ordinary
+        for b in slices(batches, "text"):
+            ids = [np.array(ordinary(t or ""), np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *blocks(ids)], ["id", "n", "data"])
+
+    cut = docs.select("id", "text").mapInArrow(encode, "id bigint, n bigint, data binary")
     return cut.where("n > 0").select("id", F.xxhash64("data").alias("key"), "n", "data")
 
 
