@@ -1,6 +1,10 @@
 """The corpus pipeline: from raw documents to token ids, each stage on all that the one before it kept.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents, and further columns as
+they came, whatever their names. Defined cases: an empty table stays empty; null and empty texts are scored like
+any others, are no one's copies, hold no personal data, and have no tokens; rows with a null id are kept or
+dropped like others; of rows alike in id and text the near-duplicate stage keeps one; very long texts are
+worked on whole.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import bpe, jaccard, mixing, pii, quality
-from halyard.llm.common import materialise, table
+from halyard.llm.common import col, materialise, table
 
 #: A document goes if its score is under this.
 KEEP_FROM = 0.3
@@ -23,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop the documents that the quality classifier rejects; it learns from all labels of the stage's input."""
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, trees, keep=tuple(docs.columns), out_col="\u0000score")
-    return scored.where(F.col("\u0000score") >= KEEP_FROM).select(*docs.columns)
+    return scored.where(F.col("\u0000score") >= KEEP_FROM).select(*map(col, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to the production weights; a document comes once for each epoch it is chosen in."""
-    return mixing.blend(docs, mixing.production_levels(), mixing.WEIGHTS, max_epochs=2, seed=MIX_SEED).select(*docs.columns)
+    return mixing.blend(docs, mixing.production_levels(), mixing.WEIGHTS, max_epochs=2, seed=MIX_SEED).select(*map(col, docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
