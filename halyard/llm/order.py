@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -193,13 +194,30 @@ def write(docs: DataFrame, path: str, *, ranks_path: str, pattern: str, pad: int
         if held:
             yield shard()
 
+    with _by_bucket(docs.sparkSession):
+        _save(slots, pack, path, stride, raw=raw)
+    clean()
+
+
+@contextmanager
+def _by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, tables partitioned by one of a join's keys meet by that one: a bucketed table needs no shuffle then."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _save(slots: DataFrame, pack: Callable, path: str, stride: int, *, raw: bool) -> None:
     if raw:
         # Text's writer puts bytes as they are and the mark behind them; the sort by shard and slot is the order of the files.
         shard = F.floor(F.col("slot") / stride).cast("bigint").alias("shard")
         slots.select(shard, "slot", F.col("data").cast("string").alias("value")).sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy("shard").option("lineSep", MARK).text(path)
     else:
         slots.mapInArrow(pack, "shard bigint, first_slot bigint, sequences bigint, tokens bigint, payload binary").write.option("compression", "zstd").parquet(path)
-    clean()
 
 
 def read(spark: SparkSession, path: str, first: int, count: int, *, length: int = 512, stride: int = 512) -> Iterator[np.ndarray]:
