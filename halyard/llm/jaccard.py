@@ -261,10 +261,11 @@ def _star(rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> tuple[np.nd
 
 def _pivot_links(dealt: DataFrame, pivots: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): the pivots a of gatherings (hub, pivot) and the members b of `dealt` (hub, part, node, z) that are linked to them."""
-    chosen = dealt.join(F.broadcast(pivots) if pivots.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else pivots, "hub")
+    given = pivots.select("hub", F.col("pivot").alias("node"))
+    given = F.broadcast(given) if given.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else given
     # A pivot's text goes to each part of its gathering.
-    own = chosen.where(F.col("node") == F.col("pivot")).select("hub", "parts", F.col("z").alias("zp")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = chosen.where(F.col("node") != F.col("pivot")).select("hub", "part", "pivot", "node", "z").join(own, ["hub", "part"])
+    own = dealt.join(given, ["hub", "node"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("pivot"), F.col("z").alias("zp"))
+    both = dealt.select("hub", "part", "node", "z").join(own, ["hub", "part"]).where(F.col("node") != F.col("pivot"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
