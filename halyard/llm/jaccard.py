@@ -304,12 +304,11 @@ def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     links = materialise(_pivot_links(dealt, sized.select("hub", F.col("hub").alias("pivot")), n, percent), "links")
     for i in range(PIVOTS):
         comp = materialise(components(links), "component")
-        labelled = members.join(comp, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
+        labelled = dealt.select("hub", "node", "block").join(comp, "node", "left").select("hub", "node", "block", F.coalesce("component", "node").alias("label"))
         # The largest class of each gathering, and the members outside it.
         sizes = labelled.groupBy("hub", "label").count()
-        giants = sizes.groupBy("hub").agg(F.max(F.struct("count", "label")).alias("g")).select("hub", F.col("g.label").alias("giant"))
-        labelled = with_hub(labelled, sized).join(giants, "hub")
-        outside = materialise(labelled.where(F.col("label") != F.col("giant")).select("hub", "node", "label", "block"), "outside")
+        giants = sizes.groupBy("hub").agg(F.max(F.struct("count", "label")).alias("g")).select("hub", F.col("g.label").alias("label"))
+        outside = materialise(labelled.join(F.broadcast(giants) if few else giants, ["hub", "label"], "left_anti"), "outside")
         if i + 1 == PIVOTS or outside.isEmpty():
             break
         # The next member to compare with: of each gathering whose rest is more than a block, one of the rest.
