@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, oracles, order, pii, quality, repeats
+from halyard.llm import bpe, curves, jaccard, langid, lzprint, mixing, oracles, order, pii, quality, repeats, resample, secretscan, spelling
 from halyard.llm.common import scratch, table
 
 
@@ -100,6 +100,32 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of documents."""
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return secretscan.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, secretscan.KINDS), F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
+
+
+#: The share of long enough documents that is drawn, in percent, and the noise's seed.
+DRAWN, DRAW_SEED = 10, 2024
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weigh every whole text of documents towards the benchmark's texts, and draw a tenth."""
+    docs = table(spark, sf_dir, "documents")
+    strings = resample.dictionary(docs, table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000)
+    found = resample.draw(resample.weigh(docs, strings, longest=1), percent=DRAWN, seed=DRAW_SEED)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text of documents, with the near word that occurs most and the root of their variants."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), shortest=5, least=3, one_in=97)
+    return spelling.group(words, times=2).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -119,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
+    "op11_secrets": op11_secrets,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,4 +155,6 @@ ORACLES: dict[str, str] = {
     "op4_mixing": oracles.mixing(mixing.WEIGHTS, MIX_SEED),
     "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op10_neighbours": oracles.NEIGHBOURS,
+    "op12_importance_resampling": oracles.importance_resampling(DRAWN, DRAW_SEED),
+    "op13_spelling_variants": oracles.SPELLING_VARIANTS,
 }
