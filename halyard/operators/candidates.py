@@ -1,8 +1,10 @@
-"""Candidate joins for near codes and vectors: exact banding, and cells around centres."""
+"""Candidate joins for near codes and vectors: exact banding, sub-code tables, and cells around centres."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.functions.metrics import cos, hamming
-from halyard.operators.search import BROADCAST_QUERIES, _kernel, blocks, top
+from halyard.operators.search import BROADCAST_QUERIES, _kernel, blocks, check_count, knn, top
+from halyard.sources import files
+
+#: Probes that go to every task at most; beyond, probes and pieces are shuffled by content.
+BROADCAST_PROBES = 1 << 20
 
 
 def bands(code: F.Column, radius: int, bits: int) -> F.Column:
@@ -37,6 +43,65 @@ def hamming_join(codes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     return near.where(F.col("distance") <= radius).distinct()
 
 
+def pieces(code: F.Column, bits: int, width: int) -> list[F.Column]:
+    """A packed code's first `bits` bits as whole numbers of `width` bits each (a divisor of 64)."""
+    mask = F.lit((1 << width) - 1).cast("bigint")
+    return [F.shiftright(code["words"][at // 64], 64 - width - at % 64).bitwiseAND(mask) for at in range(0, bits, width)]
+
+
+def knn_hamming(queries: DataFrame, items: DataFrame, count: int = 10, *, bits: int = 64, width: int = 16, rounds: int = 2, counts: list[int] | None = None) -> DataFrame:
+    """(query_id, rank, key, distance), as `knn` under hamming: exact, by tables of sub-codes and a radius that grows.
+
+    Codes are cut into m pieces of `width` bits. In round s, queries (query_id, vec) probe for items (key, vec) that
+    agree with a piece in all but s bits. What a round finds is new: a pair counts at its best piece, the first of
+    these. All items within m * (s + 1) - 1 have then been met, so a query whose `count`-th match is as near is
+    proven and leaves; what is open after the rounds is compared with every item. For codes of `bits` bits, in
+    which near ones are rare among many far ones; `counts` gets the candidates of each round and the queries left.
+    """
+    check_count(count)
+    if bits % width or 64 % width:
+        raise ValueError("width must divide 64 and the number of bits")
+    spark, m = queries.sparkSession, bits // width
+    folder = f"{files.shared(spark)}/halyard/subcodes-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    usable = F.col("vec").isNotNull()
+    x = items.where(usable).select("key", "vec", F.posexplode(F.array(*pieces(F.col("vec"), bits, width))).alias("piece", "content"))
+    everyone = queries.select("query_id", "vec").where(usable)
+    open_, best, done = everyone, None, []
+    for s in range(rounds):
+        flips = F.array(*[F.lit(sum(1 << i for i in c)).cast("bigint") for c in combinations(range(width), s)])
+        asked = open_.select("query_id", F.col("vec").alias("_query"), F.posexplode(F.array(*pieces(F.col("vec"), bits, width))).alias("piece", "own"))
+        asked = asked.select("query_id", "_query", "piece", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("content"))
+        few = asked.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES
+        met = x.join(F.broadcast(asked) if few else asked, ["piece", "content"])
+        apart = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(pieces(F.col("vec"), bits, width), pieces(F.col("_query"), bits, width))]
+        first = F.lit(True)
+        for i, d in enumerate(apart):
+            first &= F.when(F.col("piece") > i, d > s).when(F.col("piece") < i, d >= s).otherwise(True)
+        found = met.where(first).select("query_id", "key", hamming(F.col("_query"), F.col("vec")).alias("distance"))
+        if counts is not None:
+            found = kept(found, f"found-{s}")
+            counts.append(found.count())
+        best = found if best is None else best.unionByName(found)
+        best = kept(top(best, count), f"best-{s}").drop("rank")
+        proven = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") >= count) & (F.col("far") <= m * (s + 1) - 1)).select("query_id")
+        done.append(kept(best.join(proven, "query_id", "left_semi"), f"done-{s}"))
+        open_ = kept(open_.join(proven, "query_id", "left_anti"), f"open-{s}")
+        best = best.join(proven, "query_id", "left_anti")
+        if open_.isEmpty():
+            break
+    if counts is not None:
+        counts.append(open_.count())
+    rest = knn(open_, items, "hamming", count).drop("rank")
+    for d in done:
+        rest = rest.unionByName(d)
+    return top(rest, count).select("query_id", "rank", "key", "distance")
+
+
 def cells(items: DataFrame, count: int, seed: int = 0, sample: int = 10_000) -> np.ndarray:
     """Centres of `count` cells, by spherical k-means over at most `sample` of the items' vectors (the first by a hash of the key)."""
     rows = items.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toPandas().vec
@@ -52,17 +117,23 @@ def cells(items: DataFrame, count: int, seed: int = 0, sample: int = 10_000) ->
     return centres
 
 
-def assign(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """`rows` (with `vec`) once for each of their `probes` nearest cells, with column `cell`; rows without a direction are left out."""
+def assign(rows: DataFrame, centres: np.ndarray, probes: int = 1, *, every: bool = False) -> DataFrame:
+    """`rows` (with `vec`) once for each of their `probes` nearest cells, with column `cell`; rows without a direction are left out, with `every` in cell -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 b = batch.slice(lo, 4096)
                 own = blocks(b.column("vec"), "cos").get(centres.shape[1])
+                there = own.size > 0 if own else None
+                if every:
+                    apart = np.ones(b.num_rows, bool)
+                    if own:
+                        apart[own.rows[there]] = False
+                    rest = b.filter(pa.array(apart))
+                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.full(rest.num_rows, -1, np.int32))], [*b.schema.names, "cell"])
                 if own is None:
                     continue
-                there = own.size > 0
                 near = own.data[there] @ centres.T
                 at = np.argsort(-near, axis=1, kind="stable")[:, :probes]
                 out = b.take(pa.array(np.repeat(own.rows[there], at.shape[1])))

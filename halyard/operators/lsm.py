@@ -135,10 +135,11 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def numbered(rows: DataFrame, key: str = "key", *, within: str | None = None, size: int = 100_000) -> DataFrame:
+def numbered(rows: DataFrame, key: str = "key", *, within: str | None = None, size: int = 100_000, weight: Column | None = None) -> DataFrame:
     """`rows` with `pos`: each row's place, from 0, in the order of `within` (if given) and `key`.
 
-    Quantiles cut the order into runs of about `size` rows; only rows of one run are ranked together.
+    With a bigint `weight`, places are what lies before a row: the sum of the weights. Quantiles cut the order into
+    runs of about `size` rows; only rows of one run are ranked together.
     """
     groups = [within] if within else []
     runs = min(1000, -(-rows.count() // size))
@@ -151,11 +152,12 @@ def numbered(rows: DataFrame, key: str = "key", *, within: str | None = None, si
         rows = rows.withColumn("_run", F.lit(0))
     where = [*groups, "_run"]
     # A row for each run.
-    sizes = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = rows.groupBy(*where).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy(*where).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("_before", before).drop("_size")
-    inside = F.row_number().over(Window.partitionBy(*where).orderBy(key))
-    return rows.join(F.broadcast(sizes), where).withColumn("pos", (F.col("_before") + inside - 1).cast("bigint")).drop("_run", "_before")
+    order = Window.partitionBy(*where).orderBy(key)
+    inside = F.row_number().over(order) - 1 if weight is None else F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes), where).withColumn("pos", (F.col("_before") + inside).cast("bigint")).drop("_run", "_before")
 
 
 def auto_keys(batch: DataFrame, first: int, order: str) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import metrics
@@ -132,8 +132,11 @@ def _matches(q: dict[int, Block], x: dict[int, Block], which: str, first: np.nda
                 yield asked.rows[r[order]], items.rows[c[order]], own[order]
 
 
-def _kernel(which: str, names: list[str], count: int | None, radius: float | None, digits: int | None, multi: bool) -> Callable[[pa.Table | pa.RecordBatch, dict[int, Block], pa.Array], Iterator[pa.RecordBatch]]:
-    """Batches (query_id, the items' columns `names`, distance) of one batch of items and the queries' blocks."""
+def _kernel(which: str, names: list[str], count: int | None, radius: float | None, digits: int | None, multi: bool, counted: bool = False) -> Callable[[pa.Table | pa.RecordBatch, dict[int, Block], pa.Array], Iterator[pa.RecordBatch]]:
+    """Batches (query_id, the items' columns `names`, distance) of one batch of items and the queries' blocks.
+
+    With `counted`, also a column `pairs`: null for matches, and one row for each batch with the distances computed.
+    """
 
     def run(items: pa.Table | pa.RecordBatch, asked: dict[int, Block], ids: pa.Array) -> Iterator[pa.RecordBatch]:
         if "key" in names:
@@ -142,11 +145,18 @@ def _kernel(which: str, names: list[str], count: int | None, radius: float | Non
         if multi:
             key = items.column("key").combine_chunks() if isinstance(items, pa.Table) else items.column("key")
             first = np.concatenate([[0], np.cumsum(pc.not_equal(key.slice(1), key.slice(0, max(0, len(key) - 1))).to_numpy(zero_copy_only=False))]) if len(key) else np.zeros(0, np.int64)
-        for r, c, d in _matches(asked, blocks(items.column("vec"), which), which, first, count, radius, digits):
+        own = blocks(items.column("vec"), which)
+        more = ["pairs"] if counted else []
+        for r, c, d in _matches(asked, own, which, first, count, radius, digits):
             if len(r):
                 cols = [items.column(n).take(pa.array(c)) for n in names]
                 cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), *cols, pa.array(d)], ["query_id", *names, "distance"])
+                nothing = [pa.nulls(len(r), pa.int64())] if counted else []
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), *cols, pa.array(d), *nothing], ["query_id", *names, "distance", *more])
+        if counted:
+            n = sum(len(asked[k].rows) * len(own[k].rows) for k in asked.keys() & own.keys())
+            kinds = [ids.type, *(items.schema.field(x).type for x in names), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.array([n], pa.int64())], ["query_id", *names, "distance", *more])
 
     return run
 
@@ -158,12 +168,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if size <= parts << 27 else df
 
 
-def _in_blocks(queries: DataFrame, items: DataFrame, which: str, *, count: int | None = None, radius: float | None = None, digits: int | None = None, multi: bool = False) -> DataFrame:
-    """(query_id, items' columns but vec, distance): of each pair of blocks the `count` nearest, or all within `radius`."""
+def _in_blocks(queries: DataFrame, items: DataFrame, which: str, *, count: int | None = None, radius: float | None = None, digits: int | None = None, multi: bool = False, counted: bool = False) -> DataFrame:
+    """(query_id, items' columns but vec, distance, with `counted` pairs): of each pair of blocks the `count` nearest, or all within `radius`."""
     names = [c for c in items.columns if c != "vec"]
     q = queries.select("query_id", "vec")
-    kind = ", ".join([f"query_id {q.schema['query_id'].dataType.simpleString()}", *(f"{n} {items.schema[n].dataType.simpleString()}" for n in names), "distance double"])
-    run = _kernel(which, names, count, radius, digits, multi)
+    kind = ", ".join([f"query_id {q.schema['query_id'].dataType.simpleString()}", *(f"{n} {items.schema[n].dataType.simpleString()}" for n in names), "distance double", *(["pairs bigint"] if counted else [])])
+    run = _kernel(which, names, count, radius, digits, multi, counted)
     held = q.limit(BROADCAST_QUERIES + 1).toArrow()
     if held.num_rows <= BROADCAST_QUERIES:
         ids, vectors = held.column("query_id").combine_chunks(), held.column("vec").combine_chunks()
@@ -180,7 +190,7 @@ def _in_blocks(queries: DataFrame, items: DataFrame, which: str, *, count: int |
     right = items.withColumn("_h", F.pmod(F.xxhash64(*names, "vec"), F.lit(h)).cast("int")).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(g - 1).cast("bigint"))))
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = [a.schema.field("query_id"), *(b.schema.field(n) for n in names), pa.field("distance", pa.float64())]
+        empty = [a.schema.field("query_id"), *(b.schema.field(n) for n in names), pa.field("distance", pa.float64()), *([pa.field("pairs", pa.int64())] if counted else [])]
         found = run(b, blocks(a.column("qvec"), which), a.column("query_id").combine_chunks()) if a.num_rows and b.num_rows else ()
         return pa.Table.from_batches(list(found), pa.schema(empty))
 
@@ -212,12 +222,19 @@ def top(matches: DataFrame, count: int) -> DataFrame:
     return matches.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= count)
 
 
-def knn(queries: DataFrame, items: DataFrame, which: str | Metric = "cos", count: int = 10, *, radius: float | None = None, digits: int | None = None, multi: bool = False) -> DataFrame:
-    """(query_id, rank, key, distance): the `count` nearest items of each query; with `multi`, a key counts by its nearest vector."""
+def knn(queries: DataFrame, items: DataFrame, which: str | Metric = "cos", count: int = 10, *, radius: float | None = None, digits: int | None = None, multi: bool = False, seen: Observation | None = None) -> DataFrame:
+    """(query_id, rank, key, distance): the `count` nearest items of each query; with `multi`, a key counts by its nearest vector.
+
+    `seen` observes `pairs`, the number of distances computed: the blocks' kernels count them, no pair gets a row for that.
+    """
     check_count(count)
     kind = BLOCKS.get(metric(which))
     if kind:
-        found = _in_blocks(queries, items.select("key", "vec"), kind, count=count, radius=radius, digits=digits, multi=multi)
+        found = _in_blocks(queries, items.select("key", "vec"), kind, count=count, radius=radius, digits=digits, multi=multi, counted=seen is not None)
+        if seen is not None:
+            found = found.observe(seen, F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).where("pairs is null").drop("pairs")
+    elif seen is not None:
+        raise ValueError("only the named distances are counted")
     else:
         found = _by_column(queries, items.select("key", "vec"), metric(which), radius, digits)
     if multi:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -59,6 +60,42 @@ def write(spark: SparkSession, path: str, data: bytes) -> None:
     context.rename(new, jvm.org.apache.hadoop.fs.Path(path), options)
 
 
+def create(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write `data` to a new file, whole or not at all; False if there is one already, whoever else tries at once.
+
+    A file's name is given to its finished content by a hard link on a local disk, elsewhere by a rename that doesn't overwrite.
+    """
+    jvm, (target, f) = spark._jvm, fs(spark, path)
+    f.mkdirs(target.getParent())
+    folder = f.resolvePath(target.getParent())
+    f = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    target, new = (jvm.org.apache.hadoop.fs.Path(folder, x) for x in (target.getName(), f".{target.getName()}.{uuid.uuid4().hex}"))
+    stream = f.create(new, False)
+    stream.write(bytearray(data))
+    stream.hsync()
+    stream.close()
+    try:
+        if f.getUri().getScheme() == "file":
+            at = [jvm.java.nio.file.Paths.get(x.toUri()) for x in (target, new)]
+            jvm.java.nio.file.Files.createLink(*at)
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(f.getUri(), spark._jsc.hadoopConfiguration()).rename(new, target, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        f.delete(new, False)
+    return True
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was changed."""
+    p, f = fs(spark, path)
+    return time.time() - f.getFileStatus(p).getModificationTime() / 1000
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, f = fs(spark, path)
     f.delete(p, True)

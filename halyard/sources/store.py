@@ -1,22 +1,26 @@
-"""A vector store of sharded Parquet rows, tombstones and one manifest, all on Spark's file systems.
+"""A vector store of sharded Parquet rows, tombstones and versioned manifests, all on Spark's file systems.
 
-Each commit writes new folders and then renames a new manifest into place; what no manifest names doesn't
-exist, so a job that dies leaves the store as it was. One writer at a time, as many readers as there are.
+Each write puts its rows into a folder of its own attempt and then creates the next version's manifest, which only one
+writer can: what no manifest names doesn't exist, so a job that dies leaves the store as it was, at whatever step, and
+nothing that it left is ever taken up. Any number of readers and writers: who comes second with an append of other keys
+takes over what the first one committed, anything else raises ConflictError and can be done again after `refresh`.
+`open(..., version=n)` reads a store as it was, as far back as `vacuum` has kept manifests.
 
     store = VectorStore.create(spark, path, ndim=64)                       # dense vectors, 64-bit keys
     store = VectorStore.create(spark, path, kind="varbits", key_type="uuid16")
     store.add(df)                                                          # key, vec [, seq]
     store.search(queries, count=10)                                        # query_id, rank, key, distance
 
-Rows of version v and shard s lie in rows/v=v/shard_id=s and are read as one partitioned table. No write but
-`compact` touches rows that are there: a removal from the active shard is a file of struck keys, with the
+Rows of attempt a, version v and shard s lie in rows/a=a/v=v/shard_id=s (by cells below that, once `build_cells` has
+chosen centres) and are read as one partitioned table. No write but `compact` and `build_cells` touches rows that are there: a removal from the active shard is a file of struck keys, with the
 version up to which it strikes, one from an older shard a tombstone. Parquet's own Bloom filters on `key` let
 lookups of a few keys skip what can't hold them, and the manifest has each folder's least and largest key.
-`vacuum` deletes what no manifest names any more.
+`vacuum` deletes what no kept manifest names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterable
@@ -41,6 +45,10 @@ DEFAULT_METRIC = {"dense": "cos", "bits": "hamming", "varbits": "nphd"}
 FILTER_KEYS = 10
 
 
+class ConflictError(RuntimeError):
+    """Another writer has committed what this write can't stand beside; refresh and do it again."""
+
+
 @dataclass(frozen=True)
 class Config:
     """The schema of a store; the last three are hints of graph indexes, kept for whoever asks."""
@@ -65,7 +73,7 @@ class Config:
 @dataclass(frozen=True)
 class State:
     version: int = 0
-    #: By shard: the versions of its folders, oldest first, with their rows, bytes, least and largest key (as text).
+    #: By shard: its folders (below rows/), oldest first, with their rows, bytes, least and largest key (as text).
     shards: dict[int, list[tuple]] = field(default_factory=dict)
     active: int = 0
     tombstones: str | None = None
@@ -77,9 +85,13 @@ class State:
     #: Commit ids; of those that end in a number, such as a stream's, only the last ones and, by name, the highest forgotten.
     commits: tuple[str, ...] = ()
     forgotten: dict[str, int] = field(default_factory=dict)
-    #: The version that the kept filter and cells are of.
+    #: What made this version: "append" if it only added folders, else "other".
+    op: str = "other"
+    #: The version that the kept filter is of, and its file's digest.
     bloom: int | None = None
-    cells: dict | None = None
+    bloom_digest: str | None = None
+    #: The cells' centres, once rows are dealt to cells.
+    centres: list[list[float]] | None = None
 
 
 class VectorStore:
@@ -105,7 +117,7 @@ class VectorStore:
                 raise ValueError("ndim of variable-length codes must be a multiple of 8, from 8 to 256 bits")
         if shard_rows < 1 or shard_bytes is not None and shard_bytes < 1:
             raise ValueError("shard_rows and shard_bytes must be >= 1")
-        if files.exists(spark, f"{path}/manifest.json"):
+        if versions(spark, path):
             found = cls.open(spark, path, metric=metric if callable(metric) else None)
             if (found.config.kind, found.config.key_type) != (kind, key_type) or ndim not in (None, found.config.ndim):
                 raise ValueError(f"the store at {path} has another schema: {found.config}")
@@ -119,15 +131,23 @@ class VectorStore:
         return store
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, *, read_only: bool = False, metric: Metric | None = None) -> VectorStore:
-        """The store at `path`; ValueError where there is none."""
-        text = files.read(spark, f"{path.rstrip('/')}/manifest.json")
-        if text is None:
-            raise ValueError(f"no store at {path}")
-        m = json.loads(text)
-        s = m["state"]
-        s |= {"shards": {int(k): [tuple(x) for x in v] for k, v in s["shards"].items()}, "commits": tuple(s["commits"]), "strikes": tuple(map(tuple, s["strikes"]))}
-        return cls(spark, path, Config(**m["config"]), State(**s), read_only=read_only, metric=metric)
+    def open(cls, spark: SparkSession, path: str, *, read_only: bool = False, metric: Metric | None = None, version: int | None = None) -> VectorStore:
+        """The store at `path`, read-only as of a version if one is given; ValueError where there is none."""
+        config, state = _load(spark, path.rstrip("/"), version)
+        return cls(spark, path, config, state, read_only=read_only or version is not None, metric=metric)
+
+    def refresh(self) -> int:
+        """See what others have committed; the version seen."""
+        self.state = _load(self.spark, self.path)[1]
+        return self.state.version
+
+    def history(self) -> list[dict]:
+        """(version, op, rows, shards) of each version that can be read, oldest first."""
+        out = []
+        for v in versions(self.spark, self.path):
+            s = _load(self.spark, self.path, v)[1]
+            out.append({"version": v, "op": s.op, "rows": _physical(s), "shards": sum(bool(x) for x in s.shards.values())})
+        return out
 
     @classmethod
     def restore(cls, spark: SparkSession, path: str) -> VectorStore | None:
@@ -140,8 +160,8 @@ class VectorStore:
     @staticmethod
     def metadata(spark: SparkSession, path: str) -> dict | None:
         """The schema of the store at `path`; None where there is none."""
-        text = files.read(spark, f"{path.rstrip('/')}/manifest.json")
-        return json.loads(text)["config"] if text else None
+        path = path.rstrip("/")
+        return asdict(_load(spark, path)[0]) if versions(spark, path) else None
 
     def copy(self, path: str) -> VectorStore:
         """An independent store at `path` with the same visible rows."""
@@ -166,15 +186,17 @@ class VectorStore:
     def _schema(self) -> T.StructType:
         return T.StructType([T.StructField("key", KEY_TYPES[self.config.key_type]), T.StructField("seq", T.LongType()), T.StructField("vec", KINDS[self.config.kind])])
 
-    def _read(self, places: list[tuple[int, int]]) -> DataFrame:
-        """key, seq, vec, v, shard_id of some folders (version, shard): one scan, however many there are."""
-        schema = T.StructType([*self._schema.fields, T.StructField("v", T.LongType()), T.StructField("shard_id", T.IntegerType())])
+    def _read(self, places: list[tuple[str, int]], *, cells: bool = False) -> DataFrame:
+        """key, seq, vec, v, shard_id (and cell, if asked for) of some folders (folder, shard): one scan, however many there are."""
+        more = [T.StructField("v", T.LongType()), T.StructField("shard_id", T.IntegerType()), T.StructField("cell", T.IntegerType())]
+        schema = T.StructType([*self._schema.fields, *(more if self.state.centres else more[:2])])
+        names = [f.name for f in schema.fields if cells or f.name != "cell"]
         if not places:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("basePath", f"{self.path}/rows").schema(schema).parquet(*[f"{self.path}/rows/v={v}/shard_id={s}" for v, s in places])
+            return self.spark.createDataFrame([], schema).select(*names)
+        return self.spark.read.option("basePath", f"{self.path}/rows").schema(schema).parquet(*[f"{self.path}/rows/{f}/shard_id={s}" for f, s in places]).select(*names)
 
-    def _places(self, shards: Iterable[int] | None = None) -> list[tuple[int, int]]:
-        return [(x[0], s) for s, own in self.state.shards.items() if shards is None or s in shards for x in own]
+    def _places(self, shards: Iterable[int] | None = None, state: State | None = None) -> list[tuple[str, int]]:
+        return [(x[0], s) for s, own in (state or self.state).shards.items() if shards is None or s in shards for x in own]
 
     def _unstruck(self, rows: DataFrame) -> DataFrame:
         """Rows without those that later removals and upserts struck from their shard."""
@@ -290,37 +312,47 @@ class VectorStore:
     def search(self, queries: DataFrame, count: int = 10, *, radius: float | None = None, where: F.Column | None = None, exact: bool = True, probes: int = 4) -> DataFrame:
         """(query_id, rank, key, distance): the nearest of each query (query_id, vec); `where` is an optional condition on keys.
 
-        Not `exact`: only the `probes` cells nearest to a query are searched, once `build_cells` has dealt the rows.
+        Not `exact`: only the `probes` cells nearest to a query are searched; `build_cells` must have dealt the rows, and
+        whatever was written since has been dealt to the same cells. Where a key can lie in several shards, the keys
+        (not the vectors) of all cells are read too, to tell which row of it is the newest.
         """
         search.check_count(count)
-        if not exact and self.state.cells and self.state.cells["version"] == self.state.version:
-            centres = np.array(self.state.cells["centres"])
-            items = self.spark.read.schema(T.StructType([*self._schema.fields[::2], T.StructField("cell", T.IntegerType())])).parquet(f"{self.path}/{self.state.cells['folder']}")
-            items = items if where is None else items.where(where)
-            found = candidates.knn_cells(queries, items, centres, count, probes)
+        if not exact:
+            if not self.state.centres:
+                raise ValueError("an approximate search needs cells: call build_cells")
+            items = self._visible(self._unstruck(self._read(self._places(), cells=True)))
+            if self.state.needs_dedup:
+                keys = ["key", "shard_id", "seq", "v"]
+                items = items.join(lsm.newest(self._visible(self._unstruck(self._read(self._places()).select(*keys)))), keys, "left_semi")
+            items = items.select("key", "vec", "cell")
+            found = candidates.knn_cells(queries, items if where is None else items.where(where), np.array(self.state.centres), count, probes)
             return found if radius is None else found.where(F.col("distance") <= radius)
         items = self.live().select("key", "vec")
         items = items if where is None else items.where(where)
         return search.knn(self._codes(queries), self._codes(items), self._metric, count, radius=radius, multi=self.config.multi)
 
     def build_cells(self, count: int, seed: int = 0) -> None:
-        """Deal the live rows to `count` cells around centres, for approximate searches by cos until the next write."""
+        """Deal the live rows, and from now on those of each write, to `count` cells around centres, for approximate searches by cos."""
         self._writable()
         if self.config.kind != "dense" or self._metric != "cos" or self.config.multi:
             raise ValueError("cells are for dense vectors by cos, one for each key")
         centres = candidates.cells(self.live(), count, seed)
-        folder = f"cells/{uuid.uuid4().hex}"
-        candidates.assign(self.live().select("key", "vec"), centres).repartition("cell").write.partitionBy("cell").parquet(f"{self.path}/{folder}")
-        self._commit(replace(self.state, cells={"version": self.state.version + 1, "folder": folder, "centres": centres.tolist()}))
+        folder = self._folder(self.state)
+        rows = self._dealt(self.live().select("key", "seq", "vec", "shard_id"), centres.tolist())
+        self._writer(rows.repartition("shard_id", "cell")).partitionBy("shard_id", "cell").parquet(f"{self.path}/rows/{folder}")
+        state = replace(self.state, centres=centres.tolist())
+        shards = {k: [x] for k, x in self._written(folder, state).items()}
+        self._commit(replace(state, shards=shards, tombstones=None, tombstone_count=0, strikes=(), needs_dedup=False))
+
+    @staticmethod
+    def _dealt(rows: DataFrame, centres: list[list[float]] | None) -> DataFrame:
+        return rows if centres is None else candidates.assign(rows, np.array(centres), every=True)
 
     def search_counted(self, queries: DataFrame, count: int = 10) -> tuple[DataFrame, Observation]:
         """As `search`, with an observation whose `pairs` is the number of distances computed, once the result was read."""
-        search.check_count(count)
         seen = Observation()
-        found = search.pairs(self._codes(queries), self._codes(self.live().select("key", "vec")), self._metric).observe(seen, F.count(F.lit(1)).alias("pairs"))
-        if self.config.multi:
-            found = found.groupBy("query_id", "key").agg(F.min("distance").alias("distance"))
-        return search.merge(found, count), seen
+        found = search.knn(self._codes(queries), self._codes(self.live().select("key", "vec")), self._metric, count, multi=self.config.multi, seen=seen)
+        return found, seen
 
     def range_search(self, queries: DataFrame, radius: float) -> DataFrame:
         return search.range_search(self._codes(queries), self._codes(self.live().select("key", "vec")), self._metric, radius)
@@ -365,22 +397,32 @@ class VectorStore:
         return df.withColumn("vec", F.when(sound, F.col("vec")).otherwise(F.raise_error("a row has no key, a key of another length, or a vector of another size").cast(KINDS[self.config.kind])))
 
     @staticmethod
-    def _writer(df: DataFrame):  # noqa: ANN205
-        # Adaptive: a filter as large as the keys need it, so that small files stay small.
-        return df.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    def _writer(df: DataFrame):  # noqa: ANN202
+        # Adaptive, with candidates down to some hundred bytes: a filter as large as the keys need it, so that small files stay small.
+        return df.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#key", "13")
 
-    def _written(self, v: int) -> dict[int, tuple]:
-        """What a version's folders hold, by shard: version, rows, bytes, least and largest key."""
-        root, out = f"{self.path}/rows/v={v}", {}
+    @staticmethod
+    def _folder(state: State) -> str:
+        """A new folder for the rows of the version after `state`, which no other attempt shares."""
+        return f"a={uuid.uuid4().hex}/v={state.version + 1}"
+
+    def _written(self, folder: str, state: State) -> dict[int, tuple]:
+        """What this attempt's folder holds, by shard: folder, rows, bytes, least and largest key."""
+        root, out = f"{self.path}/rows/{folder}", {}
         shards = [int(x.split("=")[1]) for x in files.folders(self.spark, root) if x.startswith("shard_id=")]
         if not shards:
             return out
         text = lambda c: (F.col(c).cast("string") if self.config.key_type == "long" else F.hex(c)).alias(c)
-        each = self._read([(v, s) for s in shards]).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        rows = self._with(state)._read([(folder, s) for s in shards])
+        each = rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         for r in each.select("shard_id", "n", text("lo"), text("hi")).collect():
-            out[r.shard_id] = (v, r.n, files.size(self.spark, f"{root}/shard_id={r.shard_id}"), r.lo, r.hi)
+            out[r.shard_id] = (folder, r.n, files.size(self.spark, f"{root}/shard_id={r.shard_id}"), r.lo, r.hi)
         return out
 
+    def _with(self, state: State) -> VectorStore:
+        """This store in another state, to read from."""
+        return VectorStore(self.spark, self.path, self.config, state, read_only=True, metric=self._metric)
+
     def _apart(self, a: tuple, b: tuple) -> bool:
         """Whether the keys of two folders can't meet."""
         (alo, ahi), (blo, bhi) = [map(int, x[3:]) if self.config.key_type == "long" else x[3:] for x in (a, b)]
@@ -388,22 +430,32 @@ class VectorStore:
 
     def _append(self, new: DataFrame, state: State, commit: int | str | None) -> int:
         """Write rows to the active shard, clear their tombstones, and go on to new shards as they fill up."""
-        c, v = self.config, state.version + 1
-        new = new.select("key", "seq", "vec")
-        self._writer(new).parquet(f"{self.path}/rows/v={v}/shard_id={state.active}")
-        got = self._written(v)
-        n = sum(x[1] for x in got.values())
+        c, folder = self.config, self._folder(state)
+        by = ["cell"] if state.centres else []
+        new = self._dealt(new.select("key", "seq", "vec"), state.centres)
+        new = new.hint("rebalance", "cell") if by else new
+        self._writer(new).partitionBy(*by).parquet(f"{self.path}/rows/{folder}/shard_id={state.active}")
+        got = self._written(folder, state)
+        n, size = (sum(x[i] for x in got.values()) for i in (1, 2))
         if not n:
             return 0
-        held = sum(x[1] for x in state.shards.get(state.active, []))
-        if c.sharded and held + n > c.shard_rows:
-            placed = lsm.numbered(self._read([(v, state.active)]).drop("v", "shard_id"))
-            shard = F.lit(state.active) + F.floor((F.col("pos") + held) / c.shard_rows).cast("int")
-            v += 1
-            self._writer(placed.withColumn("shard_id", shard).drop("pos")).partitionBy("shard_id").parquet(f"{self.path}/rows/v={v}")
-            files.delete(self.spark, f"{self.path}/rows/v={v - 1}")
-            got = self._written(v)
-        written = self._read([(v, s) for s in got])
+        held, held_size = (sum(x[i] for x in state.shards.get(state.active, [])) for i in (1, 2))
+        if c.sharded and (held + n > c.shard_rows or c.shard_bytes is not None and held_size + size > c.shard_bytes):
+            # Rows in the order of their keys fill one shard after the other, each to its rows or its bytes, whichever comes first.
+            whole, weight = c.shard_rows, F.lit(1)
+            rows = self._read([(folder, state.active)], cells=bool(by)).drop("v", "shard_id")
+            if c.shard_bytes is not None:
+                raw = (F.lit(8 * c.ndim) if c.kind == "dense" else F.length("vec")) + 16
+                whole = c.shard_bytes
+                weight = F.greatest(F.ceil(raw * F.lit(size / rows.agg(F.sum(raw)).first()[0])), F.lit(-(-whole // c.shard_rows)))
+                held = max(held_size, held * -(-whole // c.shard_rows))
+            placed = lsm.numbered(rows, weight=weight.cast("bigint"))
+            shard = F.lit(state.active) + F.floor((F.col("pos") + held) / whole).cast("int")
+            last, folder = folder, self._folder(state)
+            self._writer(placed.withColumn("shard_id", shard).drop("pos")).partitionBy("shard_id", *by).parquet(f"{self.path}/rows/{folder}")
+            files.delete(self.spark, f"{self.path}/rows/{last.split('/')[0]}")
+            got = self._written(folder, state)
+        written = self._read([(folder, s) for s in got])
         dedup = state.needs_dedup
         if not c.multi and not dedup:
             # Only older shards whose keys may meet the new ones are asked.
@@ -412,7 +464,8 @@ class VectorStore:
         shards = dict(state.shards)
         for s, x in sorted(got.items()):
             shards[s] = [*shards.get(s, []), x]
-        state = replace(state, shards=shards, needs_dedup=dedup, version=v - 1)
+        op = "other" if state.tombstones or state != replace(self.state, shards=state.shards) else "append"
+        state = replace(state, shards=shards, needs_dedup=dedup)
         if state.tombstones:
             state = self._bury(lsm.cleared(self.tombstones(), written), state)
             # A key that comes back may still have an older row in a view.
@@ -422,7 +475,8 @@ class VectorStore:
         full = rows >= c.shard_rows or c.shard_bytes is not None and size >= c.shard_bytes
         if c.sharded:
             state = replace(state, active=last + full)
-        self._commit(state, commit)
+        if not self._commit(state, commit, added=got if op == "append" else None):
+            return 0
         self.dirty += n
         return n
 
@@ -519,32 +573,44 @@ class VectorStore:
         One window over keys finds what stays; only shards that lose rows are written anew, all in one job.
         """
         self._writable()
-        before, v = self.physical_rows, self.state.version + 1
+        before = self.physical_rows
         keys = ["key", "shard_id", "seq", "v"]
         last = self._newest(self._visible(self._unstruck(self._read(self._places()).select(*keys))))
         stay = {r.shard_id: r["count"] for r in last.groupBy("shard_id").count().collect()}
         shards = {s: own for s, own in self.state.shards.items() if own and stay.get(s) == sum(x[1] for x in own)}
         lost = [s for s in self.state.shards if s not in shards and stay.get(s)]
         if lost:
-            rows = self._read(self._places(lost))
+            rows = self._read(self._places(lost), cells=True)
             if self.config.multi:
                 rows = self._visible(self._unstruck(rows))
             else:
                 rows = rows.join(last.where(F.col("shard_id").isin(lost)), keys, "left_semi")
-            self._writer(rows.drop("v").hint("rebalance", "shard_id")).partitionBy("shard_id").parquet(f"{self.path}/rows/v={v}")
-            shards |= {s: [x] for s, x in self._written(v).items()}
+            by = ["shard_id", *(["cell"] if self.state.centres else [])]
+            folder = self._folder(self.state)
+            self._writer(rows.drop("v").hint("rebalance", *by)).partitionBy(*by).parquet(f"{self.path}/rows/{folder}")
+            shards |= {s: [x] for s, x in self._written(folder, self.state).items()}
         self._commit(replace(self.state, shards=dict(sorted(shards.items())), tombstones=None, tombstone_count=0, strikes=(), needs_dedup=False))
         return before - self.physical_rows
 
-    def vacuum(self) -> int:
-        """Delete folders that the manifest doesn't name; their number. Readers of older manifests lose them, too."""
+    def vacuum(self, keep: int = 1, grace: float = 0.0) -> int:
+        """Delete all manifests but the last `keep`, and folders that none of these names; the number of folders.
+
+        Folders of unfinished writes aren't named yet: `grace` spares what is younger, in seconds. A writer whose
+        folder is deleted before it commits gets a ConflictError.
+        """
         self._writable()
-        s, gone = self.state, 0
-        kept = {f"rows/v={v}/shard_id={n}" for v, n in self._places()} | {s.tombstones, *(f for f, _ in s.strikes), s.cells and s.cells["folder"]}
-        found = [f"rows/{v}/{n}" for v in files.folders(self.spark, f"{self.path}/rows") for n in files.folders(self.spark, f"{self.path}/rows/{v}") if n.startswith("shard_id=")]
-        found += [f"{d}/{x}" for d in ("tombstones", "strikes", "cells") for x in files.folders(self.spark, f"{self.path}/{d}")]
-        for x in found:
-            if x not in kept:
+        found, gone, kept = versions(self.spark, self.path), 0, set()
+        for v in found[-max(1, keep) :]:
+            s = _load(self.spark, self.path, v)[1]
+            kept |= {f"rows/{f}/shard_id={n}" for f, n in self._places(state=s)} | {s.tombstones, *(f for f, _ in s.strikes)}
+        for v in found[: -max(1, keep)]:
+            files.delete(self.spark, _manifest(self.path, v))
+        there = ["rows"]
+        for _ in range(3):
+            there = [f"{d}/{x}" for d in there for x in files.folders(self.spark, f"{self.path}/{d}")]
+        there = [x for x in there if "shard_id=" in x] + [f"{d}/{x}" for d in ("tombstones", "strikes") for x in files.folders(self.spark, f"{self.path}/{d}")]
+        for x in there:
+            if x not in kept and files.age(self.spark, f"{self.path}/{x}") >= grace:
                 files.delete(self.spark, f"{self.path}/{x}")
                 gone += 1
         return gone
@@ -569,7 +635,24 @@ class VectorStore:
         self._writable()
         self.dirty = 0
 
-    def _commit(self, state: State, commit: int | str | None = None) -> None:
+    def _commit(self, state: State, commit: int | str | None = None, *, added: dict[int, tuple] | None = None) -> bool:
+        """Make `state` the next version; `added` are the new folders of an append. False if another writer has committed this commit id."""
+        base = self.state
+        while True:
+            done = self._noted(replace(state, version=state.version + 1, op="append" if added else "other"), commit)
+            if any(not files.exists(self.spark, f"{self.path}/rows/{f}/shard_id={s}") for s, (f, *_) in (added or {}).items()):
+                raise ConflictError("the rows of this write were deleted before it was committed")
+            if _swap(self.spark, _manifest(self.path, done.version), json.dumps({"config": asdict(self.config), "state": asdict(done)})):
+                self.state = done
+                return True
+            newest = _load(self.spark, self.path)[1]
+            if commit is not None and str(commit) in newest.commits:
+                self.state = newest
+                return False
+            state = self._rebased(base, newest, state, added)
+
+    def _noted(self, state: State, commit: int | str | None) -> State:
+        """`state` with a commit id in its list."""
         commits, forgotten = [*state.commits], dict(state.forgotten)
         if commit is not None:
             commits.append(str(commit))
@@ -578,9 +661,24 @@ class VectorStore:
                 name, _, number = x.rpartition("-")
                 forgotten[name] = max(int(number), forgotten.get(name, -1))
                 commits.remove(x)
-        state = replace(state, version=state.version + 1, commits=tuple(commits), forgotten=forgotten)
-        _swap(self.spark, f"{self.path}/manifest.json", json.dumps({"config": asdict(self.config), "state": asdict(state)}))
-        self.state = state
+        return replace(state, commits=tuple(commits), forgotten=forgotten)
+
+    def _rebased(self, base: State, newest: State, state: State, added: dict[int, tuple] | None) -> State:
+        """An append's state on top of what others have appended since `base`, if the keys don't meet; else ConflictError."""
+        since = [_load(self.spark, self.path, v)[1] for v in versions(self.spark, self.path) if base.version < v <= newest.version]
+        if not added or len(since) < newest.version - base.version or any(s.op != "append" for s in since):
+            raise ConflictError(f"version {newest.version} was committed meanwhile")
+        old = set(self._places(state=base))
+        theirs = [(x, k) for k, own in newest.shards.items() for x in own if (x[0], k) not in old]
+        near = [(x[0], k) for x, k in theirs if not all(self._apart(x, y) for y in added.values())]
+        if near and not self.config.multi:
+            own = self._read([(x[0], k) for k, x in added.items()]).select("key")
+            if not lsm.narrowed(self._read(near).select("key"), own).isEmpty():
+                raise ConflictError(f"version {newest.version} has keys of this write")
+        shards = dict(newest.shards)
+        for k, x in sorted(added.items()):
+            shards[k] = [*shards.get(k, []), x]
+        return replace(newest, shards=shards, active=max(newest.active, state.active), needs_dedup=newest.needs_dedup or state.needs_dedup)
 
     # Membership and buffers
 
@@ -588,8 +686,9 @@ class VectorStore:
         """A Bloom filter of all physical keys: the kept one, or one built anew where that is missing, broken or outdated."""
         if self.state.bloom == self.state.version:
             try:
+                # Another writer may have written the file without coming to commit it.
                 found = ScalableBloom.load(self.spark, f"{self.path}/bloom")
-                if found.rate == rate:
+                if found.rate == rate and self._digest() == self.state.bloom_digest:
                     return found
             except ValueError:
                 pass
@@ -600,9 +699,12 @@ class VectorStore:
         self._writable()
         found = ScalableBloom.build(self.rows().select("key"), rate)
         found.save(self.spark, f"{self.path}/bloom")
-        self._commit(replace(self.state, bloom=self.state.version + 1))
+        self._commit(replace(self.state, bloom=self.state.version + 1, bloom_digest=self._digest()))
         return found
 
+    def _digest(self) -> str:
+        return hashlib.sha256(files.read(self.spark, f"{self.path}/bloom") or b"").hexdigest()
+
     def to_bytes(self) -> bytes:
         """The live rows as one Arrow stream: for stores that fit the driver."""
         t = self.live().select("key", "seq", "vec").toArrow()
@@ -643,7 +745,7 @@ class VectorStore:
 
     @property
     def physical_rows(self) -> int:
-        return sum(x[1] for own in self.state.shards.values() for x in own) - sum(n for _, n in self.state.strikes)
+        return _physical(self.state)
 
     @property
     def serialized_length(self) -> int:
@@ -683,5 +785,33 @@ class VectorStore:
     rename = join = cluster = pairwise_distance = clear = _unsupported
 
 
-def _swap(spark: SparkSession, path: str, text: str) -> None:
-    files.write(spark, path, text.encode())
+def _physical(state: State) -> int:
+    return sum(x[1] for own in state.shards.values() for x in own) - sum(n for _, n in state.strikes)
+
+
+def _manifest(path: str, version: int) -> str:
+    return f"{path}/manifests/{version:012d}.json"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions whose manifests are there, oldest first."""
+    names = files.folders(spark, f"{path.rstrip('/')}/manifests")
+    return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
+
+
+def _load(spark: SparkSession, path: str, version: int | None = None) -> tuple[Config, State]:
+    """What a version's manifest says, or the newest's; ValueError where there is none."""
+    if version is None:
+        version = max(versions(spark, path), default=-1)
+    text = files.read(spark, _manifest(path, version)) if version >= 0 else None
+    if text is None:
+        raise ValueError(f"no store at {path}" if version < 0 else f"version {version} of {path} isn't kept")
+    m = json.loads(text)
+    s = m["state"]
+    s |= {"shards": {int(k): [tuple(x) for x in v] for k, v in s["shards"].items()}, "commits": tuple(s["commits"]), "strikes": tuple(map(tuple, s["strikes"]))}
+    return Config(**m["config"]), State(**s)
+
+
+def _swap(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a manifest; False if another writer has."""
+    return files.create(spark, path, text.encode())

@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
 from halyard.functions import metrics
 from halyard.operators import candidates, search
 from halyard.operators.bloom import ScalableBloom
-from halyard.sources.store import VectorStore
+from halyard.sources.store import ConflictError, VectorStore
 from halyard.streaming.ingest import ingest
 
 
@@ -388,3 +390,211 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         files.shared(Session)
+
+
+# Commits
+
+
+def test_two_writers_that_add_different_keys_both_stay(spark, tmp_path):
+    a = VectorStore.create(spark, str(tmp_path / "w"), ndim=2, shard_rows=3)
+    a.add(a.frame([0], [[0, 1]]))
+    b, c, d = (VectorStore.open(spark, a.path) for _ in range(3))
+    assert a.add(a.frame([1, 3, 5], [[1, 1]] * 3)) == 3 and b.add(b.frame([2, 4], [[2, 1]] * 2)) == 2
+    with pytest.raises(ConflictError):
+        c.add(c.frame([4, 9], [[3, 1]] * 2))
+    with pytest.raises(ConflictError):
+        d.remove([0])
+    want = {0: [0, 1], **{k: [1, 1] for k in (1, 3, 5)}, **{k: [2, 1] for k in (2, 4)}}
+    assert rows(VectorStore.open(spark, a.path).live()) == want == rows(b.live())
+    assert c.refresh() == b.state.version and c.add(c.frame([4, 9], [[3, 1]] * 2)) >= 1 and 9 in c
+    assert d.refresh() and d.remove([0]) == 1 and a.refresh() and 0 not in a
+    with pytest.raises(ConflictError):
+        b.upsert(b.frame([2], [[7, 7]]))
+
+
+def test_a_replay_by_another_writer_changes_nothing(spark, store):
+    other = VectorStore.open(spark, store.path)
+    assert store.add(store.frame([1], eye(4)[:1]), commit="s-0") == 1
+    assert other.add(other.frame([1], [[5] * 4]), commit="s-0") == 0 and rows(other.live()) == {1: [1, 0, 0, 0]}
+
+
+def test_what_a_lost_compaction_left_is_never_taken_up(spark, tmp_path, monkeypatch):
+    s = VectorStore.create(spark, str(tmp_path / "c"), ndim=2, shard_rows=10)
+    s.add(s.frame(range(30), [[i, 1] for i in range(30)]))
+    s.remove([0, 11])
+    with monkeypatch.context() as m:
+        m.setattr("halyard.sources.store._swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            s.compact()
+    s = VectorStore.open(spark, s.path)
+    assert s.add(s.frame([100, 101], [[1, 1]] * 2)) == 2 and s.count([5]).first().n == 1 and s.size == 30
+    assert s.vacuum() > 0 and s.size == 30
+
+
+WRITES = {
+    "add": lambda s: s.add(s.frame([50, 51, 52, 53, 54], [[i, 1] for i in range(5)])),
+    "upsert": lambda s: s.upsert(s.frame([1, 2, 60], [[9, 9]] * 3)),
+    "remove": lambda s: s.remove([1, 5]),
+    "compact": lambda s: s.compact(),
+    "cells": lambda s: s.build_cells(2),
+}
+
+
+@pytest.mark.parametrize("name", WRITES)
+def test_a_write_killed_at_any_step_changes_nothing(spark, tmp_path, monkeypatch, name):
+    """Each step that touches files is made to fail in turn; what others see stays as it was, and the write then succeeds."""
+    from halyard.sources import files
+
+    s = VectorStore.create(spark, str(tmp_path / "k"), ndim=2, shard_rows=4)
+    s.add(s.frame(range(6), [[i + 1, 1] for i in range(6)]))
+    s.upsert(s.frame([1, 4], [[7, 7]] * 2))
+    s.remove([0])
+    before, step, failed = rows(s.live()), 0, 0
+    while True:
+        calls = iter(range(10_000))
+
+        def failing(f, calls=calls, step=step):
+            def run(*a, **b):
+                if next(calls) == step:
+                    raise OSError("killed")
+                return f(*a, **b)
+
+            return run
+
+        with monkeypatch.context() as m:
+            for f in ("create", "delete", "folders", "size", "exists"):
+                m.setattr(files, f, failing(getattr(files, f)))
+            m.setattr(VectorStore, "_writer", staticmethod(failing(VectorStore._writer)))
+            m.setattr(VectorStore, "_keys", failing(VectorStore._keys))
+            try:
+                WRITES[name](VectorStore.open(spark, s.path)) if step else WRITES[name](s)
+                done = True
+            except OSError:
+                done = False
+        if done:
+            break
+        failed, step = failed + 1, step + 1
+        assert rows(VectorStore.open(spark, s.path).live()) == before
+        s = VectorStore.open(spark, s.path)
+    assert failed >= 1
+    after = rows(VectorStore.open(spark, s.path).live())
+    assert after == {"add": before | {50 + i: [i, 1] for i in range(5)}, "upsert": before | dict.fromkeys((1, 2, 60), [9, 9]), "remove": {k: v for k, v in before.items() if k not in (1, 5)}}.get(name, before)
+
+
+def test_a_store_as_of_a_version(spark, store):
+    store.add(store.frame([1, 2], eye(4)[:2]))
+    first = store.state.version
+    store.upsert(store.frame([1], [[9] * 4]))
+    store.compact()
+    old = VectorStore.open(spark, store.path, version=first)
+    assert rows(old.live()) == {1: [1, 0, 0, 0], 2: [0, 1, 0, 0]} and old.read_only
+    assert [x["op"] for x in store.history()] == ["other", "append", "other", "other"] and store.history()[-1]["rows"] == 2
+    assert store.vacuum(keep=9) == 0 and rows(old.live())[1] == [1, 0, 0, 0]
+    assert store.vacuum(grace=3600) == 0 and store.vacuum() > 0 and [x["version"] for x in store.history()] == [store.state.version]
+    with pytest.raises(ValueError):
+        VectorStore.open(spark, store.path, version=first)
+
+
+def test_a_manifest_is_created_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from halyard.sources import files
+
+    path = f"file://{tmp_path}/m/1.json"
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda i: files.create(spark, path, str(i).encode() * 1000), range(8)))
+    assert sum(done) == 1 and files.read(spark, path) == str(done.index(True)).encode() * 1000 and files.folders(spark, f"{tmp_path}/m") == ["1.json"]
+
+
+@pytest.mark.parametrize("kind", ["dense", "varbits"])
+def test_shards_hold_their_bytes_within_a_batch(spark, tmp_path, kind):
+    r = np.random.default_rng(0)
+    s = VectorStore.create(spark, str(tmp_path / "b"), 64 if kind == "dense" else None, kind=kind, shard_bytes=100_000)
+    vectors = r.normal(size=(2000, 64)).tolist() if kind == "dense" else [r.bytes(1 + i * 31 // 20_000) for i in range(20_000)]
+    s.add(s.frame(range(len(vectors)), vectors))
+    s.add(s.frame(range(len(vectors), len(vectors) + 100), vectors[:100]))
+    sizes = [*s.stats()["bytes_by_shard"].values()]
+    assert len(sizes) > 2 and max(sizes) <= 200_000 and sorted(sizes)[1] > 30_000, sizes
+    assert s.size == len(vectors) + 100
+
+
+def test_small_files_have_small_filters(spark, store):
+    store.add(store.frame(range(10), [[i, 1, 1, 1] for i in range(10)]))
+    assert store.serialized_length < 8_000
+    big = VectorStore.create(spark, store.path + "-big", ndim=1)
+    big.add(spark.range(200_000).select(F.col("id").alias("key"), F.array(F.col("id").cast("double")).alias("vec")).coalesce(1))
+    assert 5 in big and 200_001 not in big
+
+
+def test_approximate_search_after_writes_reads_only_its_cells(spark, tmp_path):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(20, 16))
+    x = centres[np.arange(1200) % 20] + 0.1 * r.normal(size=(1200, 16))
+    s = VectorStore.create(spark, str(tmp_path / "a"), ndim=16)
+    with pytest.raises(ValueError, match="build_cells"):
+        s.search(queries(spark, x[:1]), 1, exact=False)
+    s.add(s.frame(range(600), x[:600]))
+    s.build_cells(20)
+    s.add(s.frame(range(600, 1000), x[600:1000]))
+    s.rotate()
+    s.upsert(s.frame(range(900, 1200), x[900:]))
+    s.upsert(s.frame([0, 20], -x[[0, 20]]))
+    s.add(s.frame([5000], [[0.0] * 16]))
+    s.remove(range(40, 60))
+    for _ in range(2):
+        q = queries(spark, x[::10])
+        near, exact = s.search(q, 5, exact=False, probes=2), s.search(q, 5)
+        got, want = ({(y.query_id, y.key) for y in d.collect()} for d in (near, exact))
+        assert len(got & want) >= 0.9 * len(want) and all(k not in range(40, 60) for _, k in got)
+        lines = near._jdf.queryExecution().executedPlan().toString()
+        assert "cell" in lines.split("PartitionFilters: [")[1].split("]")[0]
+        few = s.search(queries(spark, x[:1]), 5, exact=False, probes=1)
+        assert few.count() == 5
+        s.compact()
+    assert s.live().count() == 1200 - 20 + 1 and s.state.centres
+
+
+# Sub-codes
+
+
+def code_rows(spark, words, name):
+    return spark.createDataFrame([(i, [int(w) for w in row]) for i, row in enumerate(words.view(np.int64))], f"{name} bigint, w array<bigint>").select(name, F.struct(F.col("w").alias("words"), F.lit(256).alias("bits")).alias("vec"))
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 10])
+def test_subcodes_find_the_nearest_codes(spark, monkeypatch, limit):
+    """Families of near codes are proven from few candidates; codes without neighbours are compared with all."""
+    monkeypatch.setattr(candidates, "BROADCAST_PROBES", limit)
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, size=(50, 4), dtype=np.uint64)
+    flips = np.uint64(1) << r.integers(0, 63, size=(2000, 4), dtype=np.uint64)
+    codes_ = base[np.arange(2000) % 50] ^ np.where(r.random((2000, 4)) < 0.6, flips, np.uint64(0))
+    asked = np.concatenate([codes_[::100], r.integers(0, 2**63, size=(3, 4), dtype=np.uint64)])
+    counts = []
+    got = candidates.knn_hamming(code_rows(spark, asked, "query_id"), code_rows(spark, codes_, "key"), 7, bits=256, counts=counts)
+    d = np.bitwise_count(asked[:, None] ^ codes_[None]).sum(2)
+    want = sorted((i, n + 1, int(k), float(d[i, k])) for i in range(len(asked)) for n, k in enumerate(np.lexsort((np.arange(2000), d[i]))[:7]))
+    assert sorted(map(tuple, got.collect())) == want
+    assert sum(counts[:-1]) < 0.05 * 2000 * len(asked) and counts[-1] == 3
+    with pytest.raises(ValueError):
+        candidates.knn_hamming(code_rows(spark, asked, "query_id"), code_rows(spark, codes_, "key"), 0)
+
+
+def test_subcodes_of_odd_tables(spark):
+    none = spark.createDataFrame([], "key bigint, vec struct<words:array<bigint>,bits:int>")
+    one = spark.createDataFrame([(1, ([5, 0, 0, 0], 64)), (2, None), (3, ([5, 0, 0, 0], 64))], none.schema)
+    q = one.withColumnRenamed("key", "query_id")
+    assert candidates.knn_hamming(q, none, 2).count() == 0 and candidates.knn_hamming(q.where("false"), one, 2).count() == 0
+    assert sorted(map(tuple, candidates.knn_hamming(q, one, 5).collect())) == [(1, 1, 1, 0.0), (1, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 3, 0.0)]
+
+
+def test_timer(caplog):
+    from halyard.functions.timing import timer
+
+    with caplog.at_level("INFO", logger="halyard"):
+        with timer("fine", log_start=True):
+            pass
+        with pytest.raises(KeyError), timer("failed"):
+            raise KeyError
+    said = [r.getMessage() for r in caplog.records]
+    assert said[0] == "fine ..." and said[1].startswith("fine: 0.") and said[2].startswith("failed: 0.") and len(said) == 3
