@@ -126,6 +126,10 @@ class Codec:
         return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), data]).cast(pa.binary())
 
 
+#: Ids that are decoded at once: even of the longest tokens, that is some hundred MB.
+DECODE_IDS = 1 << 20
+
+
 @lru_cache(2)
 def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
@@ -169,7 +173,7 @@ def _as_lists(parts: list[np.ndarray]) -> list[pa.Array]:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 15, overlap: int = 1 << 9,
+    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 13, overlap: int = 1 << 9,
     shape: Callable[[list[np.ndarray]], list[pa.Array]] = _as_lists, columns: str = "ids array<int>",
 ) -> DataFrame:
     """(id, ids array<int>) of each row of `docs`; `ranks_path` must exist on every executor.
@@ -222,11 +226,22 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "
     rows = encoded.select(*[col(c).alias(f"k{i}") for i, c in enumerate(names)], col("ids").alias("ids"))
     kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])
 
+    def batched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices of some rows and ids each, so that their bytes have 32-bit offsets; a longer row stands alone."""
+        counts = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+        start, total = 0, 0
+        for i, n in enumerate(counts.tolist()):
+            if i > start and (total + n > DECODE_IDS or i - start == 1024):
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                b = batch.slice(lo, 1024)
+            for b in batched(batch):
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], c.decode_rows(b.column("ids"))], [*b.schema.names[:-1], "decoded"])
 
     return rows.mapInArrow(back, kinds).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "decoded")

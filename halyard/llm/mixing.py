@@ -87,23 +87,23 @@ def _with_plan(rows: DataFrame, found: DataFrame, levels: list[str]) -> DataFram
     return rows.join(F.broadcast(found) if small else found, levels)
 
 
-def blend(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], *, total: int | None = None, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with a column `mix` (levels as strings, epoch): each chosen document once for each epoch it is chosen in.
+def blend(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], *, total: int | None = None, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", out_col: str = "mix") -> DataFrame:
+    """`docs` with a column `out_col` (levels as strings, epoch): each chosen document once for each epoch it is chosen in.
 
-    `total` is the budget in words (None: as many as there are). If docs has a column `mix`, that one is replaced.
+    `total` is the budget in words (None: as many as there are). If docs has a column of that name, it is replaced.
     """
     names = list(levels)
     known = [F.coalesce(c.cast("string"), F.lit("\u0000")).alias(n) for n, c in levels.items()]
     tag, text = digest(col(id_col), col(text_col)), F.coalesce(col(text_col), F.lit(""))
     marks = materialise(docs.select(*known, tag.alias("digest"), F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("n")), "marks")
     found = plan(marks, names, weights, total, max_epochs, seed).select(*names, "epochs", "cut")
-    kept = [c for c in docs.columns if c != "mix"]
+    kept = [c for c in docs.columns if c != out_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), tag.alias("digest"), *known)
     rows = _with_plan(rows, found, names)
     copies = F.col("epochs") + (order_key(seed, F.col("epochs"), F.col("digest")) <= F.col("cut")).cast("bigint")
     rows = rows.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     mix = F.struct(*[F.nullif(F.col(n), F.lit("\u0000")).alias(n) for n in names], F.col("epoch").cast("bigint").alias("epoch"))
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], mix.alias("mix"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], mix.alias(out_col))
 
 
 #: The production mixture: the crawl's one large source against all curated ones, by language, sources alike.

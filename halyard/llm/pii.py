@@ -223,6 +223,10 @@ def tokens(text: Column, spans: Column) -> Column:
 def trusted_contexts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """(context, kind, confidence) of the patterns that the graph comes to trust."""
     graph = materialise(tokens.groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "graph")
+    # A first round can only trust what has enough known values; where nothing has, no text needs to be read for totals.
+    seeds = graph.where("kind is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= SUPPORT)
+    if seeds.isEmpty():
+        return rows.sparkSession.createDataFrame([], "context string, kind string, confidence double")
     wide = graph.groupBy("context").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("most")).where(F.col("values") >= SUPPORT).select("context", "most")
 
     def occurrences(part: DataFrame, contexts: DataFrame) -> DataFrame:

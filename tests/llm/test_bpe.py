@@ -82,3 +82,15 @@ def test_dotted_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "k")], "`doc.id` bigint, `a.text` string, ids string")
     got = bpe.decode(bpe.encode(docs, RANKS, vocab.PATTERN, id_col="doc.id", text_col="a.text"), RANKS, vocab.PATTERN, id_col="doc.id")
     assert got.columns == ["doc.id", "ids", "decoded"] and bytes(got.first().decoded) == b"a b"
+
+
+def test_decoding_in_small_slices(spark, monkeypatch):
+    """However ids are cut into slices, rows, nulls and long rows come back whole."""
+    import public_tokenizers as vocab
+
+    monkeypatch.setattr(bpe, "DECODE_IDS", 5)
+    texts = ["", None, "hello there", "a longer text of many more ids than a slice takes, é", *(f"row {i}" for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    ranks = vocab.path("byte_bpe_50k.tiktoken")
+    got = bpe.decode(bpe.encode(docs, ranks, vocab.PATTERN), ranks, vocab.PATTERN).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in got} == {i: t or "" for i, t in enumerate(texts)}

@@ -65,3 +65,10 @@ def test_stages_take_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, source, SF)
             assert out.count() <= 2 * len(rows) and (name == "tokens" or out.columns == docs.columns)
+
+
+def test_a_column_that_is_named_like_a_helper_stays(spark):
+    rows = [(i, f"one two three four five six number{i}", "en", "src0", 40, f"own{i}", {"epoch": i}) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, mix string, epoch map<string,int>")
+    got = corpus_pipeline.mixture(spark, docs, SF)
+    assert got.dtypes == docs.dtypes and {(r.doc_id, r.mix, r.epoch["epoch"]) for r in got.collect()} == {(i, f"own{i}", i) for i in range(5)}
