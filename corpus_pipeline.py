@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to the production weights; a document comes once for each epoch it is chosen in."""
-    return mixing.blend(docs, mixing.production_levels(), mixing.WEIGHTS, max_epochs=2, seed=MIX_SEED).select(*map(col, docs.columns))
+    return mixing.blend(docs, mixing.production_levels(), mixing.WEIGHTS, max_epochs=2, seed=MIX_SEED, out_col="\u0000mix").select(*map(col, docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
