@@ -62,6 +62,8 @@ SAMPLE = 64
 BROADCAST_IDS = 1 << 20
 #: Gatherings, or frequent entries with their hub, that are broadcast at most.
 BROADCAST_HUBS = 1 << 18
+#: Characters of packed texts that are made sets of at once.
+SET_CHARS = 1 << 19
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -203,8 +205,15 @@ def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, id_col:
 
 
 def _sets_of(packed: list[bytes], n: int) -> list[np.ndarray]:
-    z = zstandard.ZstdDecompressor()
-    return ngram_sets([z.decompress(x).decode() for x in packed], n)
+    """The sets of packed texts, unpacked some SET_CHARS characters at a time: a word takes many times its length while it is hashed."""
+    z, found, texts, size = zstandard.ZstdDecompressor(), [], [], 0
+    for x in packed:
+        texts.append(z.decompress(x).decode())
+        size += len(texts[-1])
+        if size >= SET_CHARS:
+            found += ngram_sets(texts, n)
+            texts, size = [], 0
+    return found + ngram_sets(texts, n)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
