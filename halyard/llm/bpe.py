@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import col, slices
+from halyard.llm.common import col, slices, tidy
 
 #: Pre-tokens kept with their ids, per Python worker, and the longest kept; the rest is encoded anew.
 CACHE, CACHED_CHARS = 200_000, 48
@@ -188,14 +188,14 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in slices(batches, "text"):
+        for b in tidy(slices(batches, "text")):
             yield pa.RecordBatch.from_arrays([b.column("id"), *shape([c.ids(t) for t in b.column("text").to_pylist()])], names)
 
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, f"id {kind}, {columns}")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, z = codec(ranks_path, pattern), zstandard.ZstdCompressor(3)
-        for b in slices(batches, "text"):
+        for b in tidy(slices(batches, "text")):
             packed = []
             for t in b.column("text").to_pylist():
                 starts, counts, ids = c.pieces(t)

@@ -66,6 +66,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start)
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; then give the memory back that Arrow holds for later, as the worker may idle beside others."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift), vectorised."""
     x = x ^ (x >> np.uint64(32))

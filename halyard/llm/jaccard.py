@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import col, discard, frequent, join_size_checked, materialise, mix, slices
+from halyard.llm.common import col, discard, frequent, join_size_checked, materialise, mix, slices, tidy
 from halyard.llm.components import components
 
 #: Contents that more sets than this share are frequent.
@@ -161,7 +161,7 @@ def sets(docs: DataFrame, n: int, *, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in tidy(slices(batches, "text")):
             found = ngram_sets(b.column("text").to_pylist(), n)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(list(map(len, found)), pa.int64()), pa.array([_name(s) if len(s) else None for s in found], pa.int64())], ["id", "key", "n_grams", "node"])
 
@@ -173,7 +173,7 @@ def _index(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in slices(batches, "text"):
+        for b in tidy(slices(batches, "text")):
             sig, tag, node = [], [], []
             for s in ngram_sets(b.column("text").to_pylist(), n):
                 if len(s) and (name := _name(s)) not in seen:
@@ -194,7 +194,7 @@ def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, id_col:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
-        for b in slices(batches, "text"):
+        for b in tidy(slices(batches, "text")):
             texts = b.column("text").to_pylist()
             found = ngram_sets(texts, n)
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in found], pa.int64()), pa.array([z.compress((t or "").encode()) for t in texts], pa.binary())], ["node", "z"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import col, slices
+from halyard.llm.common import col, slices, tidy
 
 _CLASSES = np.zeros((256, 8))
 for _i, _chars in enumerate([b" ", b"\n\r", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 256)), b".,;:!?", b"#$%&*@^~|<>{}\\=+_/[]"]):
@@ -126,7 +126,7 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for b in slices(batches, "text"):
+    for b in tidy(slices(batches, "text")):
         yield b, np.stack([statistics(t or "") for t in b.column("text").to_pylist()])
 
 
