@@ -5,7 +5,7 @@ is one chunk, those of a longer one are dealt to different tasks. One step per d
 the pre-token boundaries of neighbouring chunks meet again. The pattern has no look-behind, so from a common
 boundary on both chunks split alike. Where an overlap has no common boundary (a pre-token longer than the
 overlap), the two chunks are decoded, joined and split anew, so the result is always that of the whole text.
-Pre-tokens are encoded by merging, again and again, the neighbours of the lowest rank. Decoding concatenates the
+Pre-tokens are encoded by merging, again and again, the neighbours of the lowest rank, many pre-tokens at once. Decoding concatenates the
 tokens' bytes.
 
 Defined cases: a null text counts as empty and has no ids; ids and texts may repeat, each row is kept; an empty
@@ -16,7 +16,8 @@ named, whatever their names, are not looked at.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -31,35 +32,22 @@ from pyspark.sql import types as T
 
 from halyard.llm.common import col, slices, tidy
 
-#: Pre-tokens kept with their ids, per Python worker, and the longest kept; the rest is encoded anew.
-CACHE, CACHED_CHARS = 200_000, 48
-#: Bytes of a pre-token from which a heap finds the next merge.
-LONG = 128
+#: Pre-tokens of a generation that are kept with their ids (two generations in each Python worker), and the longest kept; the rest is encoded anew.
+CACHE, CACHED_CHARS = 150_000, 48
+#: Bytes of a pre-token from which it is merged alone, and bytes of shorter ones that are merged at once.
+LONG, MERGED_BYTES = 128, 1 << 20
+#: Characters of texts whose pre-tokens are looked up at once.
+TEXT_CHARS = 1 << 19
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: of all neighbours, those of the lowest rank, the first ones of equal rank, become one."""
+    """The ids of one pre-token: of all neighbours, those of the lowest rank, the first ones of equal rank, become one.
+
+    In n log n steps: parts know their neighbours, and a heap has the pairs, outdated ones too.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    if len(piece) >= LONG:
-        return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    none = len(ranks)
-    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs and (best := min(pairs)) < none:
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-    return [ranks[x] for x in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As `merge`, in n log n steps: parts know their neighbours, and a heap has the pairs, outdated ones too."""
     n = len(piece)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a byte; 0: merged into the one before
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -79,6 +67,86 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i:e]] for i, e in enumerate(end) if e]
 
 
+class Merges:
+    """The pairs of ids that become one id, for many short pre-tokens at once. An id is its token's rank."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.none = ranks, max(ranks.values()) + 1
+        self.single = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+        pairs = {ranks[b[:i]] * self.none + ranks[b[i:]]: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
+        # The last key is above every pair's, so that a search always ends on one.
+        self.keys = np.array([*sorted(pairs), self.none**2])
+        self.to = np.array([*(pairs[k] for k in sorted(pairs)), self.none])
+
+    def _rank(self, at: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The rank of the pair that starts at each place; `none` where there is none."""
+        nxt = np.minimum(at + 1, len(ids) - 1)
+        key = ids[at] * self.none + ids[nxt]
+        found = np.searchsorted(self.keys, key)
+        return np.where((self.keys[found] == key) & (nxt > at) & (owner[at] == owner[nxt]), self.to[found], self.none)
+
+    def all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token (not empty), as bytes of 32-bit numbers: a round merges the best pair of each, and the finished ones leave."""
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        rank = self._rank(np.arange(len(ids)), ids, owner)
+        done = []
+        while len(ids):
+            new = np.concatenate([[True], owner[1:] != owner[:-1]])
+            least = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
+            open_ = least < self.none
+            done.append((owner[~open_], ids[~open_]))
+            hit = np.flatnonzero(open_ & (rank == least))
+            hit = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])] if len(hit) else hit
+            ids[hit] = rank[hit]
+            keep = open_.copy()
+            keep[hit + 1] = False
+            at = np.cumsum(keep)[hit] - 1
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            for touched in (at, at[at > 0] - 1):
+                rank[touched] = self._rank(touched, ids, owner)
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        data = ids[np.argsort(owner, kind="stable")].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class Known(dict):
+    """The ids of pre-tokens, as bytes of 32-bit numbers: what is asked for again outlives a full generation."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.merges, self.older = Merges(ranks), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return array("i", merge(piece.encode(), self.merges.ranks)).tobytes()
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Keep the ids of all these but long ones."""
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        ranks, new, size = self.merges.ranks, {}, 0
+        for x in set(pieces):
+            if x in self:
+                continue
+            ids = self.older.get(x)
+            if ids is not None:
+                self[x] = ids
+                continue
+            if len(x) > CACHED_CHARS or len(b := x.encode()) >= LONG:
+                continue
+            if (whole := ranks.get(b)) is not None:
+                self[x] = array("i", [whole]).tobytes()
+                continue
+            new[x] = b
+            size += len(b)
+            if size >= MERGED_BYTES:
+                self.update(zip(new, self.merges.all(list(new.values()))))
+                new, size = {}, 0
+        if new:
+            self.update(zip(new, self.merges.all(list(new.values()))))
+
+
 class Codec:
     """Ranks and pattern of one vocabulary."""
 
@@ -91,27 +159,29 @@ class Codec:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.table = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], pa.large_binary())
 
-        class Known(dict):
-            def __missing__(self, piece: str) -> list[int]:
-                ids = merge(piece.encode(), ranks)
-                if len(piece) <= CACHED_CHARS:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.known = Known()
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a text that is one chunk."""
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.split.findall(text))), np.int32)
-
-    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the pre-tokens and the text's end, how many ids each has, and all ids."""
-        found = self.split.findall(text)
-        ids = [self.known[x] for x in found]
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        return starts, np.fromiter(map(len, ids), np.int32, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
+        self.known = Known(ranks)
+
+    def found(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """The pre-tokens of each text and their ids as bytes; those of some texts are looked up together."""
+        found, size = [], 0
+        for i, t in enumerate(texts):
+            found.append(self.split.findall(t))
+            size += len(t)
+            if size >= TEXT_CHARS or i + 1 == len(texts):
+                self.known.learn(chain.from_iterable(found))
+                for x in found:
+                    yield x, list(map(self.known.__getitem__, x))
+                found, size = [], 0
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text that is one chunk."""
+        return [np.frombuffer(b"".join(ids), np.int32) for _, ids in self.found(texts)]
+
+    def pieces(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: starts of the pre-tokens and the text's end, how many ids each has, and all ids."""
+        for found, ids in self.found(texts):
+            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            yield starts, np.fromiter(map(len, ids), np.int32, len(ids)) // 4, np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -159,7 +229,7 @@ def stitch(chunks: list[Chunk], c: Codec) -> np.ndarray:
             cut = int(counts[:keep].sum())
             done.append(ids[:cut])
             head = c.decode(ids[cut:]).decode()[: nxt_begin - int(starts[keep])]
-            begin, (rel, counts, ids) = int(starts[keep]), c.pieces(head + c.decode(nxt_ids).decode())
+            begin, (rel, counts, ids) = int(starts[keep]), next(c.pieces([head + c.decode(nxt_ids).decode()]))
             starts, end = begin + rel, nxt_end
             continue
         done.append(ids[: int(counts[: int(np.searchsorted(starts, meet[0]))].sum())])
@@ -189,7 +259,7 @@ def encode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in tidy(slices(batches, "text")):
-            yield pa.RecordBatch.from_arrays([b.column("id"), *shape([c.ids(t) for t in b.column("text").to_pylist()])], names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *shape(c.ids(b.column("text").to_pylist()))], names)
 
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, f"id {kind}, {columns}")
 
@@ -197,8 +267,7 @@ def encode(
         c, z = codec(ranks_path, pattern), zstandard.ZstdCompressor(3)
         for b in tidy(slices(batches, "text")):
             packed = []
-            for t in b.column("text").to_pylist():
-                starts, counts, ids = c.pieces(t)
+            for starts, counts, ids in c.pieces(b.column("text").to_pylist()):
                 packed.append(z.compress(np.concatenate([[len(counts)], starts, counts, ids]).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("id", "hash", "at", "end")), pa.array(packed, pa.binary())], ["id", "hash", "at", "end", "pieces"])
 

@@ -5,7 +5,9 @@ from functools import cache
 import numpy as np
 import public_tokenizers as vocab
 import tiktoken
+import pytest
 from hypothesis import given, settings
+import pytest
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -52,8 +54,23 @@ def test_merges_equal_the_library(text):
     ranks, want = merge_ranks()
     for piece in (text.encode(), text.encode()[:100]):
         assert bpe.merge(piece, ranks) == want._core_bpe.encode_single_piece(piece)
-        if piece not in ranks:
-            assert bpe._merge_long(piece, ranks) == bpe.merge(piece, ranks)
+    pieces = [x for size in (100, 7, 3) for i in range(0, len(text), size) if (x := text[i : i + size].encode()) not in ranks]
+    if pieces:
+        assert [np.frombuffer(x, np.int32).tolist() for x in merges().all(pieces)] == [want._core_bpe.encode_single_piece(x) for x in pieces]
+
+
+@pytest.mark.parametrize("size", [1, 40, 150_000])
+def test_full_generations_change_no_ids(monkeypatch, size):
+    monkeypatch.setattr(bpe, "CACHE", size)
+    monkeypatch.setattr(bpe, "TEXT_CHARS", 50)
+    texts = ["", "the cat", "unbelievable antidisestablishmentarianism " * 3, "x" * 500, " zq" * 90, "the cat", "漢字 é\n\n"] * 3
+    got = bpe.Codec(RANKS, vocab.PATTERN).ids(texts)
+    assert [x.tolist() for x in got] == [reference().encode_ordinary(t) for t in texts]
+
+
+@cache
+def merges():
+    return bpe.Merges(merge_ranks()[0])
 
 
 @cache
