@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.functions.metrics import cos, hamming
+from halyard.functions.metrics import cos, hamming, nphd
 from halyard.operators.search import BROADCAST_QUERIES, _kernel, blocks, check_count, knn, top
 from halyard.sources import files
 
@@ -43,6 +43,32 @@ def hamming_join(codes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     return near.where(F.col("distance") <= radius).distinct()
 
 
+def nphd_join(codes: DataFrame, radius: float) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of codes (key, code) of any lengths whose normalised prefix distance is at most `radius`: exact.
+
+    Two codes are compared on m bits, the length of the shorter one, and differ there in at most floor(radius * m). So
+    a code has pieces for each length that occurs and isn't above its own (256 at most), and those of its own length
+    meet the pieces that codes of at least that length have for it. Null and empty codes have no distance. For
+    radii at which a piece still has many bits: short codes share pieces often.
+    """
+    if not 0 <= radius < 1:
+        raise ValueError("radius must be from 0 to below 1")
+    bits = F.col("code.bits")
+    lengths = sorted(r[0] for r in codes.where(bits > 0).select(bits).distinct().collect())
+    none = F.expr("cast(array() as array<struct<common: int, band: int, content: array<bigint>>>)")
+
+    def of(m: int) -> F.Column:
+        # A little more than the product, which may come out under the whole number that it stands for.
+        own = F.transform(bands(F.col("code"), int(radius * m + 1e-9), m), lambda x: F.struct(F.lit(m).alias("common"), x["band"].alias("band"), x["content"].alias("content")))
+        return F.when(bits >= m, own).otherwise(none)
+
+    rows = codes.where(bits > 0).select("key", "code", F.explode(F.concat(none, *map(of, lengths))).alias("at"))
+    short, long = rows.where(bits == F.col("at.common")).toDF("a", "ca", "at"), rows.toDF("b", "cb", "at")
+    met = short.join(long, "at").where((F.col("a") < F.col("b")) | ((F.col("cb.bits") > F.col("ca.bits")) & (F.col("a") != F.col("b"))))
+    near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), nphd(F.col("ca"), F.col("cb")).alias("distance"))
+    return near.where(F.col("distance") <= radius).distinct()
+
+
 def pieces(code: F.Column, bits: int, width: int) -> list[F.Column]:
     """A packed code's first `bits` bits as whole numbers of `width` bits each (a divisor of 64)."""
     mask = F.lit((1 << width) - 1).cast("bigint")

@@ -752,3 +752,10 @@ def search_counted(spark: SparkSession, sf: str) -> DataFrame:
     found, seen = s.search_counted(few(e), 3)
     n = found.count()
     return spark.createDataFrame([(seen.get["pairs"], n)], "pairs bigint, matches bigint")
+
+
+@query("q71_nphd_join", _with("var") + "SELECT a.key AS a, b.key AS b, " + _NPHD + " AS distance FROM var a JOIN var b ON a.key < b.key WHERE " + _NPHD + " <= 0.1")
+def nphd_join(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of codes of eight lengths that differ in at most a tenth of their common prefix."""
+    found = candidates.nphd_join(variable(spark, sf).select("key", F.col("vec").alias("code")), 0.1)
+    return found.select("a", "b", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
