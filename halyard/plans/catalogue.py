@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import codes, metrics
-from halyard.operators import candidates, lsm, search
+from halyard.operators import candidates, lsm, quantised, search
 from halyard.sources import files
 from halyard.sources.store import ConflictError, VectorStore
 from halyard.streaming.ingest import ingest
@@ -759,3 +759,25 @@ def nphd_join(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of codes of eight lengths that differ in at most a tenth of their common prefix."""
     found = candidates.nphd_join(variable(spark, sf).select("key", F.col("vec").alias("code")), 0.1)
     return found.select("a", "b", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query("q72_knn_quantised", _with("d") + _top("d", 10))
+def knn_quantised(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest by cosine among the 200 items that codes of 16 bytes put first; on these vectors that finds every list."""
+    e = embeddings(spark, sf)
+    made = quantised.build(e, f"{files.shared(spark)}/halyard/index-{uuid.uuid4().hex}", 64)
+    return quantised.knn_quantised(few(e), made, 10, digits=6)
+
+
+@query("q73_store_tidy", _with("items") + f", now AS (SELECT key, CASE WHEN key % 8 < 3 THEN list_transform(vec, lambda x: -x) ELSE vec END AS vec FROM items WHERE key % 9 <> 0) SELECT key, {_sum('vec')} AS vec, true AS merged FROM now")
+def store_tidy(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight batches, three upserts and a removal, then the small folders of the shard and of the struck keys merged."""
+    e, s = embeddings(spark, sf), new_store(spark, ndim=64)
+    for i in range(8):
+        s.add(e.where(f"key % 8 = {i}"))
+    for i in range(3):
+        s.upsert(negated(e.where(f"key % 8 = {i}")))
+    s.remove(e.where("key % 9 = 0"))
+    s.tidy(2)
+    merged = sum(map(len, s.state.shards.values())) < 11 and len(s.state.strikes) < 4
+    return VectorStore.open(spark, s.path).live().select("key", checksum("vec").alias("vec"), F.lit(merged).alias("merged"))

@@ -94,6 +94,28 @@ class State:
     centres: list[list[float]] | None = None
 
 
+def _tiers(sizes: list[int], ratio: int) -> list[list[int]]:
+    """Which of some folders become one: places in `sizes`, each group with at least `ratio` members of a tier, or what such groups made."""
+    tiers: dict[int, list[tuple[list[int], int]]] = {}
+
+    def put(places: list[int], n: int) -> None:
+        tier = 0
+        while ratio ** (tier + 1) <= n:
+            tier += 1
+        tiers.setdefault(tier, []).append((places, n))
+
+    for i, n in enumerate(sizes):
+        put([i], n)
+    tier = 0
+    while tier <= max(tiers, default=-1):
+        held = tiers.get(tier, [])
+        if len(held) >= ratio:
+            tiers[tier] = []
+            put([i for places, _ in held for i in places], sum(n for _, n in held))
+        tier += 1
+    return [sorted(places) for own in tiers.values() for places, _ in own if len(places) > 1]
+
+
 class VectorStore:
     """Add, look up, search, remove and compact keyed vectors."""
 
@@ -592,6 +614,46 @@ class VectorStore:
         self._commit(replace(self.state, shards=dict(sorted(shards.items())), tombstones=None, tombstone_count=0, strikes=(), needs_dedup=False))
         return before - self.physical_rows
 
+    def tidy(self, ratio: int = 4) -> int:
+        """Merge small folders, tier by tier, without touching large ones; the number of folders that went.
+
+        A folder of n rows is in the tier of the highest power of `ratio` up to n. `ratio` folders of a shard in one
+        tier become one, and so on upwards, so that a shard keeps less than `ratio` folders a tier and a row is written
+        anew about once for each tier. Struck rows go with it. Lists of strikes merge the same way. What is visible
+        stays as it is; tombstones, and rows that newer shards hide, wait for `compact`. Another writer's commit since
+        this handle's last one makes it raise ConflictError.
+        """
+        self._writable()
+        if ratio < 2:
+            raise ValueError("ratio must be at least 2")
+        before = sum(map(len, self.state.shards.values())) + len(self.state.strikes)
+        shards, state, rounds = dict(self.state.shards), self.state, {}
+        for s, own in self.state.shards.items():
+            groups = _tiers([x[1] for x in own], ratio)
+            for i, g in enumerate(groups):
+                rounds.setdefault(i, {})[s] = [own[j] for j in g]
+            shards[s] = [x for j, x in enumerate(own) if not any(j in g for g in groups)]
+        by = ["shard_id", *(["cell"] if state.centres else [])]
+        for parts in rounds.values():
+            # The n-th groups of all shards in one job; each job has a folder of its own.
+            folder = self._folder(state)
+            rows = self._unstruck(self._read([(x[0], s) for s, own in parts.items() for x in own], cells=True)).drop("v")
+            self._writer(rows.hint("rebalance", *by)).partitionBy(*by).parquet(f"{self.path}/rows/{folder}")
+            for s, x in self._written(folder, state).items():
+                shards[s] = [*shards[s], x]
+        strikes = list(state.strikes)
+        for g in _tiers([n for _, n in state.strikes], ratio):
+            old = [state.strikes[j] for j in g]
+            gone = self.spark.read.parquet(*[f"{self.path}/{f}" for f, _ in old])
+            # What is older than all that is left of its shard strikes nothing any more.
+            oldest = {s: min(int(x[0].rpartition("=")[2]) for x in own) for s, own in shards.items() if own}
+            left = F.create_map(*[F.lit(x) for pair in oldest.items() for x in pair])[F.col("_shard")] if oldest else F.lit(None)
+            made = self._keys(gone.where(F.col("_upto") >= left).groupBy("_key", "_shard").agg(F.max("_upto").alias("_upto")), "strikes")
+            strikes = [x for x in strikes if x not in old] + [made] * (made[1] > 0)
+        if rounds or len(strikes) < len(state.strikes):
+            self._commit(replace(state, shards={s: own for s, own in shards.items() if own}, strikes=tuple(strikes)))
+        return before - sum(map(len, self.state.shards.values())) - len(self.state.strikes)
+
     def vacuum(self, keep: int = 1, grace: float = 0.0) -> int:
         """Delete all manifests but the last `keep`, and folders that none of these names; the number of folders.
 
