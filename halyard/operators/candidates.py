@@ -1,4 +1,4 @@
-"""Candidate joins for near codes and vectors: exact banding, sub-code tables, and cells around centres."""
+"""Candidate joins for near codes and vectors: exact banding, sub-code tables, pivots, and cells around centres."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.functions.metrics import cos, hamming, nphd
-from halyard.operators.search import BROADCAST_QUERIES, _kernel, blocks, check_count, knn, top
+from halyard.functions.metrics import cos, hamming, metric, nphd
+from halyard.operators.quantised import _means, _points
+from halyard.operators.search import BLOCKS, BROADCAST_QUERIES, RADIUS_GRID, Block, _kernel, blocks, check_count, distances, knn, spread, top
 from halyard.sources import files
 
 #: Probes that go to every task at most; beyond, probes and pieces are shuffled by content.
@@ -195,3 +197,107 @@ def knn_cells(queries: DataFrame, items: DataFrame, centres: np.ndarray, count:
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {items.schema['key'].dataType.simpleString()}, distance double"
     found = rows.where(F.col("cell").isin(asked)).select("key", "vec", "cell").mapInArrow(search, kinds)
     return top(found, count).select("query_id", "rank", "key", "distance")
+
+
+#: Pivots at most; each row is compared with all of them.
+PIVOTS = 4_096
+
+
+def _around(column: pa.Array, which: str, pivots: Block, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it's the row's own) of the cells in which rows of a column must be met, beside their own those of smaller number."""
+    if which == "hamming":
+        own = blocks(column, which).get(0)
+        if own is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        rows, far = own.rows, distances(own, pivots, which)
+        home = far.argmin(axis=1)
+        # Whoever is within reach of a row at home around p is, by two triangles, no more than 2 * reach farther from p than from its own pivot.
+        near = far - far[np.arange(len(rows)), home][:, None] <= 2 * reach
+    else:
+        rows, x = _points(column, which, pivots.data.shape[1])
+        far = (x**2).sum(axis=1)[:, None] + pivots.size[None] - 2 * x @ pivots.data.T
+        home = far.argmin(axis=1)
+        # Beyond the plane between two pivots lies what is nearer to the other one: the way to that plane is the least distance.
+        apart = np.sqrt(np.maximum(distances(pivots, pivots, "l2sq"), 0))[home]
+        scale = (x**2).sum(axis=1)[:, None] + pivots.size[None]
+        near = far - far[np.arange(len(rows)), home][:, None] - 1e-9 * scale <= 2 * reach * apart
+    near &= np.arange(len(pivots.data)) < home[:, None]
+    near[np.arange(len(rows)), home] = True
+    r, c = np.nonzero(near)
+    return rows[r], c, home[r] == c
+
+
+def pivot_pairs(items: DataFrame, which: str, radius: float, *, digits: int | None = None, block: int = RADIUS_GRID[0], sample: int = 20_000, seed: int = 0, stats: dict | None = None) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of items (key, vec) within `radius`, as `range_pairs`: exact, by cells around pivots.
+
+    For cos, l2sq and hamming. A row lies in the cell of its nearest pivot, and is copied to each cell of smaller number
+    whose border is within the radius; pairs are compared in the smaller of their rows' cells. There is a pivot for
+    each `block` rows, PIVOTS at most, chosen from `sample` rows by a hash of the key; cells beyond `block` rows are cut
+    into blocks. Linear where the radius is small beside the distances between clusters; on noise, or with large
+    radii, most cells are near each other and `range_pairs` does less. `stats` gets the numbers of cells and of rows with their copies.
+    """
+    name = BLOCKS[metric(which)]
+    if name == "nphd":
+        raise ValueError("the prefix distance has no triangles: use nphd_join")
+    if radius < 0:
+        raise ValueError("radius must be at least 0")
+    spark, items = items.sparkSession, items.select("key", "vec")
+    slack = 10.0**-digits if digits is not None else 0
+    reach = {"hamming": radius + slack, "l2sq": (radius + slack + 1e-12) ** 0.5, "cos": (2 * (radius + slack) + 1e-12) ** 0.5}[name]
+    count = min(PIVOTS, max(1, -(-items.count() // block)))
+    held = items.where("vec is not null").orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
+    found = blocks(held, "hamming" if name == "hamming" else "l2sq")
+    n = max(found, key=lambda k: len(found[k].rows), default=0)
+    if name == "hamming":
+        pivots = np.unique(found[0].data, axis=0) if found else np.zeros((1, 4), np.uint64)
+        pivots = np.random.default_rng(seed).permutation(pivots)[:count]
+        pivots = Block(np.arange(len(pivots)), pivots, np.zeros(len(pivots)))
+    else:
+        x = _points(held, name, n)[1]
+        x = np.unique(_means(x, count, np.random.default_rng(seed)), axis=0) if len(x) else np.zeros((1, n))
+        pivots = Block(np.arange(len(x)), x, (x**2).sum(axis=1))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                r, c, home = _around(b.column("vec"), name, pivots, reach)
+                if name != "hamming":
+                    # Vectors of each other length have a cell of their own.
+                    for m, other in blocks(b.column("vec"), "l2sq").items():
+                        if m != n:
+                            r, c, home = np.concatenate([r, other.rows]), np.concatenate([c, np.full(len(other.rows), -m)]), np.concatenate([home, np.ones(len(other.rows), bool)])
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(c.astype(np.int32)), pa.array(home)], [*b.schema.names, "cell", "home"])
+
+    schema = T.StructType([*items.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
+    folder = f"{files.shared(spark)}/halyard/pivots-{uuid.uuid4().hex}"
+    spread(items).mapInArrow(deal, schema).write.parquet(folder)
+    rows = spark.read.schema(schema).parquet(folder)
+    cut = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    if stats is not None:
+        r = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        stats |= {"cells": r[0], "rows": r[1]}
+    rows = rows.join(cut.select("cell", F.ceil(F.col("n") / block).alias("cuts")), "cell")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts").cast("int") - 1)))
+    rows = rows.select("key", "vec", "home", "own", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    run, kind = _kernel(name, ["key"], None, radius, digits, False), items.schema["key"].dataType.simpleString()
+
+    def compare(t: pa.Table) -> pa.Table:
+        key = t.schema.field("key").type
+        empty = pa.schema([("query_id", key), ("key", key), ("distance", pa.float64())])
+
+        def met(x: pa.Table, y: pa.Table, *, once: bool = False) -> pa.Table:
+            parts = list(run(y, blocks(x.column("vec"), name), x.column("key").combine_chunks())) if x.num_rows and y.num_rows else []
+            a, b, d = pa.Table.from_batches(parts, empty).columns
+            swap = pc.greater(a, b)
+            out = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": d})
+            return out.filter(pc.less(a, b) if once else pc.not_equal(a, b))
+
+        home = t.column("home")
+        lo, hi = pc.equal(t.column("own"), t.column("lo")), pc.equal(t.column("own"), t.column("hi"))
+        if t.num_rows and t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
+            own, guests = t.filter(home), t.filter(pc.invert(home))
+            return pa.concat_tables([met(own, own, once=True), met(own, guests)])
+        return pa.concat_tables([met(t.filter(pc.and_(lo, home)), t.filter(hi)), met(t.filter(pc.and_(lo, pc.invert(home))), t.filter(pc.and_(hi, home)))])
+
+    return rows.groupBy("cell", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, distance double")

@@ -781,3 +781,9 @@ def store_tidy(spark: SparkSession, sf: str) -> DataFrame:
     s.tidy(2)
     merged = sum(map(len, s.state.shards.values())) < 11 and len(s.state.strikes) < 4
     return VectorStore.open(spark, s.path).live().select("key", checksum("vec").alias("vec"), F.lit(merged).alias("merged"))
+
+
+@query("q74_pivot_pairs", _with("items") + "SELECT a.key AS a, b.key AS b, round(1 - list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6) + 0.0 AS distance FROM items a JOIN items b ON a.key < b.key WHERE round(1 - list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6) <= 0.65")
+def pivot_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """As q08, met in cells around pivots."""
+    return candidates.pivot_pairs(embeddings(spark, sf), "cos", 0.65, digits=6, block=64)
