@@ -25,6 +25,7 @@ def clustered():
 @pytest.mark.parametrize("limit", [20_000, 5])
 def test_clusters_are_proven_by_bounds(spark, tmp_path, monkeypatch, clustered, which, limit):
     monkeypatch.setattr(quantised, "BROADCAST_QUERIES", limit)
+    monkeypatch.setattr(quantised, "BROADCAST_CANDIDATES", limit)
     monkeypatch.setattr(quantised, "GRID", (10, 100))
     items, q = table(spark, clustered), table(spark, clustered[::40] + 0.01, "query_id")
     made = quantised.build(items, str(tmp_path / "i"), 24, which, pieces=6, cells=8)
