@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,10 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from halyard.functions.metrics import cos, hamming, metric, nphd
-from halyard.operators.quantised import _means, _points
-from halyard.operators.search import BLOCKS, BROADCAST_QUERIES, RADIUS_GRID, Block, _kernel, blocks, check_count, distances, knn, spread, top
+from halyard.operators.quantised import _means, _nearest, _points
+from halyard.operators.search import BLOCKS, BROADCAST_QUERIES, RADIUS_GRID, Block, _kernel, block_pairs, blocks, check_count, distances, knn, packed, pairs_of, spread, top
 from halyard.sources import files
 
 #: Probes that go to every task at most; beyond, probes and pieces are shuffled by content.
@@ -204,11 +206,11 @@ PIVOTS = 4_096
 
 
 def _around(column: pa.Array, which: str, pivots: Block, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether it's the row's own) of the cells in which rows of a column must be met, beside their own those of smaller number."""
+    """(rows, their own cells, row by row the cells of smaller number in which they must be met) of a column."""
     if which == "hamming":
         own = blocks(column, which).get(0)
         if own is None:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(pivots.data)), bool)
         rows, far = own.rows, distances(own, pivots, which)
         home = far.argmin(axis=1)
         # Whoever is within reach of a row at home around p is, by two triangles, no more than 2 * reach farther from p than from its own pivot.
@@ -218,23 +220,27 @@ def _around(column: pa.Array, which: str, pivots: Block, reach: float) -> tuple[
         far = (x**2).sum(axis=1)[:, None] + pivots.size[None] - 2 * x @ pivots.data.T
         home = far.argmin(axis=1)
         # Beyond the plane between two pivots lies what is nearer to the other one: the way to that plane is the least distance.
-        apart = np.sqrt(np.maximum(distances(pivots, pivots, "l2sq"), 0))[home]
+        apart = np.sqrt(np.maximum(distances(Block(home, pivots.data[home], pivots.size[home]), pivots, "l2sq"), 0))
         scale = (x**2).sum(axis=1)[:, None] + pivots.size[None]
         near = far - far[np.arange(len(rows)), home][:, None] - 1e-9 * scale <= 2 * reach * apart
     near &= np.arange(len(pivots.data)) < home[:, None]
-    near[np.arange(len(rows)), home] = True
-    r, c = np.nonzero(near)
-    return rows[r], c, home[r] == c
+    return rows, home, near
+
+
+#: Rows of a step against all pivots, and rows that lie in one block.
+AROUND, PACK = 512, RADIUS_GRID[0]
 
 
 def pivot_pairs(items: DataFrame, which: str, radius: float, *, digits: int | None = None, block: int = RADIUS_GRID[0], sample: int = 20_000, seed: int = 0, stats: dict | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b of items (key, vec) within `radius`, as `range_pairs`: exact, by cells around pivots.
 
-    For cos, l2sq and hamming. A row lies in the cell of its nearest pivot, and is copied to each cell of smaller number
-    whose border is within the radius; pairs are compared in the smaller of their rows' cells. There is a pivot for
-    each `block` rows, PIVOTS at most, chosen from `sample` rows by a hash of the key; cells beyond `block` rows are cut
-    into blocks. Linear where the radius is small beside the distances between clusters; on noise, or with large
-    radii, most cells are near each other and `range_pairs` does less. `stats` gets the numbers of cells and of rows with their copies.
+    For cos, l2sq and hamming. A row lies in the cell of its nearest pivot. Two cells meet where a row of the one of
+    larger number has the other's border within the radius: no other cells can hold a pair. There is a pivot for each
+    `block` rows, PIVOTS at most, chosen from `sample` rows by a hash of the key. Neighbouring cells are packed to
+    blocks of PACK rows, larger ones cut; rows are dealt and written once, and pairs of blocks with cells that
+    meet are read where they lie, in bounded memory. Linear where the radius is small beside the distances between
+    clusters; on noise, or with large radii, most cells meet, and the arithmetic is that of all pairs. `stats` gets
+    the numbers of cells and of rows with those that visit other cells.
     """
     name = BLOCKS[metric(which)]
     if name == "nphd":
@@ -253,51 +259,97 @@ def pivot_pairs(items: DataFrame, which: str, radius: float, *, digits: int | No
         pivots = np.random.default_rng(seed).permutation(pivots)[:count]
         pivots = Block(np.arange(len(pivots)), pivots, np.zeros(len(pivots)))
     else:
+        rng = np.random.default_rng(seed)
         x = _points(held, name, n)[1]
-        x = np.unique(_means(x, count, np.random.default_rng(seed)), axis=0) if len(x) else np.zeros((1, n))
+        x = np.unique(_means(x, count, rng), axis=0) if len(x) else np.zeros((1, n))
+        # Neighbours get neighbouring numbers, so that they lie in one block.
+        x = x[np.argsort(_nearest(x, _means(x, max(1, int(len(x) ** 0.5)), rng)), kind="stable")]
         pivots = Block(np.arange(len(x)), x, (x**2).sum(axis=1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row of the table, or what a task has seen of a cell: its rows, their visits, and the cells that they visit as bits.
+        size, visits, meets = Counter(), Counter(), {}
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
-                r, c, home = _around(b.column("vec"), name, pivots, reach)
+            for lo in range(0, whole.num_rows, AROUND):
+                b = whole.slice(lo, AROUND)
+                r, c, near = _around(b.column("vec"), name, pivots, reach)
+                for cell in np.unique(c).tolist():
+                    own = near[c == cell]
+                    size[cell] += len(own)
+                    visits[cell] += int(own.sum())
+                    meets[cell] = meets.get(cell, False) | own.any(axis=0)
                 if name != "hamming":
                     # Vectors of each other length have a cell of their own.
                     for m, other in blocks(b.column("vec"), "l2sq").items():
-                        if m != n:
-                            r, c, home = np.concatenate([r, other.rows]), np.concatenate([c, np.full(len(other.rows), -m)]), np.concatenate([home, np.ones(len(other.rows), bool)])
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(c.astype(np.int32)), pa.array(home)], [*b.schema.names, "cell", "home"])
-
-    schema = T.StructType([*items.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
+                        if m != n and len(other.rows):
+                            r, c = np.concatenate([r, other.rows]), np.concatenate([c, np.full(len(other.rows), -m)])
+                            size[-m] += len(other.rows)
+                nothing = [pa.nulls(len(r), k) for k in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(c.astype(np.int32)), *nothing], names)
+        for cell, rows in size.items():
+            bits = np.packbits(meets[cell]).tobytes() if cell >= 0 else b""
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds] + [pa.array([cell], pa.int32()), pa.array([rows]), pa.array([visits[cell]]), pa.array([bits], pa.binary())], names)
+
+    names, kinds = ["key", "vec", "cell", "size", "visits", "meets"], [to_arrow_type(items.schema[c].dataType) for c in ("key", "vec")]
+    summary = [T.StructField("cell", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("size", "visits")), T.StructField("meets", T.BinaryType())]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in items.schema.fields), *summary])
     folder = f"{files.shared(spark)}/halyard/pivots-{uuid.uuid4().hex}"
-    spread(items).mapInArrow(deal, schema).write.parquet(folder)
-    rows = spark.read.schema(schema).parquet(folder)
-    cut = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    spread(items).mapInArrow(deal, schema).write.parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(schema).parquet(f"{folder}/dealt")
+
+    def joined(t: pa.Table) -> pa.Table:
+        meets = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("meets").to_pylist()])
+        return pa.table({"cell": t.column("cell").slice(0, 1), "size": pa.array([pc.sum(t.column("size")).as_py()]), "visits": pa.array([pc.sum(t.column("visits")).as_py()]), "meets": pa.array([meets.tobytes()], pa.binary())})
+
+    # A row for each cell.
+    cells = dealt.where("size is not null").select("cell", "size", "visits", "meets").groupBy("cell").applyInArrow(joined, "cell int, size bigint, visits bigint, meets binary").toArrow().sort_by("cell")
+    number, size = cells.column("cell").to_numpy(), cells.column("size").to_numpy()
     if stats is not None:
-        r = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        stats |= {"cells": r[0], "rows": r[1]}
-    rows = rows.join(cut.select("cell", F.ceil(F.col("n") / block).alias("cuts")), "cell")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts").cast("int") - 1)))
-    rows = rows.select("key", "vec", "home", "own", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    run, kind = _kernel(name, ["key"], None, radius, digits, False), items.schema["key"].dataType.simpleString()
-
-    def compare(t: pa.Table) -> pa.Table:
-        key = t.schema.field("key").type
-        empty = pa.schema([("query_id", key), ("key", key), ("distance", pa.float64())])
-
-        def met(x: pa.Table, y: pa.Table, *, once: bool = False) -> pa.Table:
-            parts = list(run(y, blocks(x.column("vec"), name), x.column("key").combine_chunks())) if x.num_rows and y.num_rows else []
-            a, b, d = pa.Table.from_batches(parts, empty).columns
-            swap = pc.greater(a, b)
-            out = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": d})
-            return out.filter(pc.less(a, b) if once else pc.not_equal(a, b))
-
-        home = t.column("home")
-        lo, hi = pc.equal(t.column("own"), t.column("lo")), pc.equal(t.column("own"), t.column("hi"))
-        if t.num_rows and t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
-            own, guests = t.filter(home), t.filter(pc.invert(home))
-            return pa.concat_tables([met(own, own, once=True), met(own, guests)])
-        return pa.concat_tables([met(t.filter(pc.and_(lo, home)), t.filter(hi)), met(t.filter(pc.and_(lo, pc.invert(home))), t.filter(pc.and_(hi, home)))])
-
-    return rows.groupBy("cell", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, distance double")
+        stats |= {"cells": len(number), "rows": int(size.sum() + cells.column("visits").to_numpy().sum())}
+    meet = np.eye(len(number), dtype=bool)
+    for i in np.flatnonzero(number >= 0):
+        bits = np.unpackbits(np.frombuffer(cells.column("meets")[i].as_py(), np.uint8))[: len(pivots.data)]
+        meet[i, number >= 0] |= bits[number[number >= 0]].astype(bool)
+    meet |= meet.T
+    # Cells side by side share a block while they fit; a larger one has several.
+    group, first, cuts, room, blocks_ = [], [], [], 0, 0
+    for rows in size.tolist():
+        k = max(1, -(-rows // PACK))
+        if k > 1 or rows > room:
+            first.append(blocks_)
+            blocks_, room = blocks_ + k, PACK - rows if k == 1 else 0
+            group.append(group[-1] + 1 if group else 0)
+        else:
+            first.append(first[-1])
+            room -= rows
+            group.append(group[-1])
+        cuts.append(k)
+    edges = [group.index(g) for g in range(group[-1] + 1)] if group else []
+    near = np.logical_or.reduceat(np.logical_or.reduceat(meet, edges, axis=0), edges, axis=1) if group else meet
+    place = spark.createDataFrame([(int(c), i, f, k) for i, (c, f, k) in enumerate(zip(number, first, cuts))], "cell int, at int, first int, cuts int")
+    rows = dealt.where("size is null").select("key", "vec", "cell").join(F.broadcast(place), "cell")
+    rows = rows.select("key", "vec", "at", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("cuts"))).cast("int").alias("block"))
+    table = packed(rows, f"{folder}/blocks", blocks_)
+    # The groups that a group meets, 63 in each number.
+    words = [[sum(1 << int(b) for b in np.flatnonzero(r[lo : lo + 63])) for lo in range(0, len(r), 63)] for r in near]
+    of = {f: g for f, g in zip(first, group)}
+    starts = sorted(of)
+    owner = spark.createDataFrame([(b, of[f], words[of[f]]) for f, end in zip(starts, [*starts[1:], blocks_]) for b in range(f, end)], "block int, own int, words array<bigint>")
+    table = table.join(F.broadcast(owner), "block")
+    met, kind = pairs_of(name, items.schema["key"].dataType, radius, digits), items.schema["key"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lo, hi, x, y in block_pairs(batches):
+            a, b = x.column("at").to_numpy(), y.column("at").to_numpy()
+            left = np.unique(a)
+            wanted = meet[np.ix_(left, np.unique(b))]
+            if wanted.mean() > 0.5:
+                yield from met(x, y, once=lo == hi)
+                continue
+            for cell in left:
+                yield from met(x.take(np.flatnonzero(a == cell)), y.take(np.flatnonzero(meet[cell][b])), once=lo == hi)
+
+    left = table.select(F.col("block").alias("lo"), F.col("body").alias("x"), "words")
+    right = table.select(F.col("block").alias("hi"), F.col("body").alias("y"), "own")
+    wanted = F.expr("lo <= hi and (shiftright(words[cast(own div 63 as int)], own % 63) & 1) = 1")
+    return left.crossJoin(right).where(wanted).select("lo", "x", "hi", "y").mapInArrow(compare, f"a {kind}, b {kind}, distance double")

@@ -12,6 +12,7 @@ infinite component has no distance to anything, nor have vectors of different le
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,9 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.functions import metrics
 from halyard.functions.metrics import Metric, metric
+from halyard.sources import files
 
 #: Queries that go to every task at most.
 BROADCAST_QUERIES = 20_000
@@ -109,7 +112,8 @@ def _matches(q: dict[int, Block], x: dict[int, Block], which: str, first: np.nda
             for at in range(0, len(q[n].rows), STEP[0]):
                 asked = Block(*(a[at : at + STEP[0]] for a in (q[n].rows, q[n].data, q[n].size)))
                 d = distances(asked, items, which)
-                d = np.where(np.isfinite(d), d, np.inf)
+                if count is not None or radius is None or not np.isfinite(radius):
+                    d = np.where(np.isfinite(d), d, np.inf)
                 # Products choose, differences measure; both and the rounding may move the border by this much.
                 loose = 1e-9 * (1 + (asked.size[:, None] if which == "l2sq" else 0) + (items.size.max() if which == "l2sq" else 0)) + (10.0**-digits if digits is not None else 0)
                 near = np.isfinite(d) if radius is None else d <= radius + loose
@@ -168,6 +172,43 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if size <= parts << 27 else df
 
 
+#: Files of a table of packed blocks at most: pairs of files are tasks.
+FILES = 64
+
+
+def packed(rows: DataFrame, folder: str, count: int) -> DataFrame:
+    """`rows` with their column `block` (0 to `count` - 1), written as one row (block, body) for each block; `unpacked` reads a body.
+
+    A cross join of such tables reads its pairs of blocks where they lie: rows are shuffled and written once, however
+    many blocks theirs is compared with.
+    """
+
+    def pack(t: pa.Table) -> pa.Table:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, t.schema) as w:
+            w.write_table(t.combine_chunks())
+        return pa.table({"block": t.column("block").slice(0, 1), "body": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    kind = f"block {rows.schema['block'].dataType.simpleString()}, body binary"
+    rows.repartition(max(1, min(count, FILES)), "block").groupBy("block").applyInArrow(pack, kind).write.parquet(folder)
+    return rows.sparkSession.read.schema(kind).parquet(folder)
+
+
+def unpacked(body: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(body.as_buffer()).read_all()
+
+
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table, pa.Table]]:
+    """(lo, hi, rows of the one, rows of the other) of each pair of blocks (lo, x, hi, y); a block is read once for a row of pairs."""
+    at, x = None, None
+    for b in batches:
+        for i in range(b.num_rows):
+            lo, hi = b.column("lo")[i].as_py(), b.column("hi")[i].as_py()
+            if lo != at:
+                at, x = lo, unpacked(b.column("x")[i])
+            yield lo, hi, x, x if lo == hi else unpacked(b.column("y")[i])
+
+
 def _in_blocks(queries: DataFrame, items: DataFrame, which: str, *, count: int | None = None, radius: float | None = None, digits: int | None = None, multi: bool = False, counted: bool = False) -> DataFrame:
     """(query_id, items' columns but vec, distance, with `counted` pairs): of each pair of blocks the `count` nearest, or all within `radius`."""
     names = [c for c in items.columns if c != "vec"]
@@ -251,24 +292,33 @@ def range_pairs(items: DataFrame, which: str, radius: float, *, digits: int | No
     """(a, b, distance) of all pairs a < b of items (key, vec) within `radius`: each pair of blocks once, none the other way round."""
     name = BLOCKS[metric(which)]
     n = max(1, -(-items.count() // block))
-    rows = items.select("key", "vec", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.select("key", "vec", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = items.select("key", "vec", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("block"))
+    table = packed(rows, f"{files.shared(items.sparkSession)}/halyard/blocks-{uuid.uuid4().hex}", n)
+    met, kind = pairs_of(name, items.schema["key"].dataType, radius, digits), items.schema["key"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lo, hi, x, y in block_pairs(batches):
+            yield from met(x, y, once=lo == hi)
+
+    both = table.toDF("lo", "x").crossJoin(table.toDF("hi", "y")).where("lo <= hi")
+    return both.mapInArrow(compare, f"a {kind}, b {kind}, distance double")
+
+
+def pairs_of(name: str, key: T.DataType, radius: float, digits: int | None) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Batches (a, b, distance), a < b, of the near rows (key, vec) of two tables; with `once`, of a table with itself."""
     run = _kernel(name, ["key"], None, radius, digits, False)
 
-    def compare(t: pa.Table) -> pa.Table:
-        lo, hi = t.filter(pc.equal(t.column("own"), t.column("lo"))), t.filter(pc.equal(t.column("own"), t.column("hi")))
-        kind = t.schema.field("key").type
-        found = pa.Table.from_batches(list(run(hi, blocks(lo.column("vec"), name), lo.column("key").combine_chunks())), pa.schema([("query_id", kind), ("key", kind), ("distance", pa.float64())]))
-        a, b, d = found.columns
-        swap = pc.greater(a, b)
-        found = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": d})
-        # Within one block, each pair came in both orders.
-        once = pc.and_(pc.not_equal(a, b), pc.invert(swap)) if lo.num_rows and lo.column("own")[0].as_py() == lo.column("hi")[0].as_py() else pc.not_equal(a, b)
-        return found.filter(once)
-
-    kind = items.schema["key"].dataType.simpleString()
-    return rows.groupBy("lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, distance double")
+    def met(x: pa.Table, y: pa.Table, *, once: bool = False) -> Iterator[pa.RecordBatch]:
+        for found in run(y, blocks(x.column("vec"), name), x.column("key").combine_chunks()) if x.num_rows and y.num_rows else ():
+            a, b, d = found.columns
+            swap = pc.greater(a, b)
+            out = pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), d], ["a", "b", "distance"])
+            # Within one block, each pair came in both orders.
+            out = out.filter(pc.and_(pc.not_equal(a, b), pc.invert(swap)) if once else pc.not_equal(a, b))
+            if out.num_rows:
+                yield out
+
+    return met
 
 
 def merge(parts: DataFrame, count: int) -> DataFrame:

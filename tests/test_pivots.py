@@ -1,6 +1,7 @@
 """The radius join by pivots against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,24 @@ def test_codes(spark, radius):
     assert got == found(search.range_pairs(df, "hamming", radius)) and got
 
 
+@pytest.mark.parametrize("radius", [0.05, 0.65])
+def test_rows_are_dealt_once_whatever_the_radius(spark, monkeypatch, tmp_path, radius):
+    """Noise, where most cells meet: rows aren't copied to the cells that they visit."""
+    monkeypatch.setattr(candidates, "PACK", 40)
+    monkeypatch.setattr(candidates, "AROUND", 64)
+    monkeypatch.setattr(candidates.files, "shared", lambda _: str(tmp_path))
+    x = np.random.default_rng(6).normal(size=(600, 16))
+    x[:200] = x[0] + 0.01 * x[:200]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, vec array<double>").repartition(3)
+    stats = {}
+    got = found(candidates.pivot_pairs(items, "cos", radius, digits=6, block=16, stats=stats))
+    assert got == found(search.range_pairs(items, "cos", radius, digits=6, block=100)) and got
+    (folder,) = (tmp_path / "halyard").glob("pivots-*")
+    assert stats["rows"] > 1000 and spark.read.parquet(f"{folder}/dealt").where("size is null").count() == 600
+    blocks = [search.unpacked(pa.scalar(bytes(r.body))).num_rows for r in spark.read.parquet(f"{folder}/blocks").collect()]
+    assert sum(blocks) == 600 and len(blocks) > 10
+
+
 def test_nothing_and_wrong_arguments(spark):
     none = spark.createDataFrame([], "key bigint, vec array<double>")
     assert found(candidates.pivot_pairs(none, "cos", 0.1)) == []
