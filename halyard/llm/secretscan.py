@@ -14,8 +14,8 @@ encoding and band. With them a candidate is judged where it stands, so that noth
 one is copied. Everything is DataFrame expressions.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows and ids each keep their row; positions are
-code points, ends exclusive; a UUID is an identifier and a run of over LONGEST characters is data, neither is a
-candidate, but base spans have no such bounds; numbers alone aren't either; other columns are not looked at, whatever
+code points, ends exclusive; a UUID is an identifier and no candidate, numbers alone aren't either; runs of any length
+are judged; other columns are not looked at, whatever
 their names; an empty table gives an empty one.
 """
 
@@ -38,8 +38,8 @@ KINDS = {
 FOUND = "random"
 #: Least length of an assigned value.
 ASSIGNED = 6
-#: Lengths of candidates, in symbols and characters.
-SHORTEST, LONGEST = 16, 16_384
+#: Lengths of candidates, in symbols and characters: the longest is what a string can hold.
+SHORTEST, LONGEST = 16, 2**31 - 1
 _CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 _UUID = r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: A piece of text that ends where no candidate goes on.
@@ -77,7 +77,7 @@ def in_order(spans: Column) -> Column:
 def candidates(text: Column, spans: Column) -> Column:
     """The long runs of a text outside its spans, as spans."""
     blank = _spliced(text, spans, lambda s, at, _: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int")))
-    found = F.filter(_placed(blank, _CANDIDATE), lambda x: (F.length(x["value"]) <= LONGEST) & ~x["value"].rlike(_UUID))
+    found = F.filter(_placed(blank, _CANDIDATE), lambda x: ~x["value"].rlike(_UUID))
     return _spans(found, FOUND)
 
 

@@ -175,3 +175,12 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for *_, k in brute(texts[r.doc_id])) for x in PLAIN]
         assert set(said.split(",")) <= set(r.spans.split(","))
+
+
+def test_runs_of_any_length_are_judged(spark):
+    rng = random.Random(11)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40_000))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, f"see {long} there"), (10**6 + 1, "a" * 40_000)], "doc_id bigint, text string"))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in ss.find(docs).where("doc_id >= 1000000").collect()}
+    assert got[10**6] == [(4, 40_004, "random", long)]
+    assert all(s[2] != "random" for s in got[10**6 + 1])
