@@ -172,8 +172,8 @@ def assign(rows: DataFrame, centres: np.ndarray, probes: int = 1, *, every: bool
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
-def knn_cells(queries: DataFrame, items: DataFrame, centres: np.ndarray, count: int = 10, probes: int = 4) -> DataFrame:
-    """As `knn` under cos, only within the `probes` cells nearest to each query: approximate, its recall grows with `probes`.
+def knn_cells(queries: DataFrame, items: DataFrame, centres: np.ndarray, count: int = 10, probes: int = 4, radius: float | None = None) -> DataFrame:
+    """As `knn` under cos (within `radius`), only within the `probes` cells nearest to each query: approximate, its recall grows with `probes`.
 
     Items may bring a column `cell` (of `assign`); if that is what their files are partitioned by, only the cells
     that queries ask for are read. Up to BROADCAST_QUERIES queries go to every task; more are joined by cell.
@@ -183,10 +183,11 @@ def knn_cells(queries: DataFrame, items: DataFrame, centres: np.ndarray, count:
     held = q.limit(probes * BROADCAST_QUERIES + 1).toArrow()
     if held.num_rows > probes * BROADCAST_QUERIES:
         near = rows.join(q.withColumnRenamed("vec", "_query"), "cell").select("query_id", "key", F.explode(F.array(cos(F.col("_query"), F.col("vec")))).alias("distance"))
-        return top(near.where("distance is not null"), count).select("query_id", "rank", "key", "distance")
+        near = near.where("distance is not null" if radius is None else F.col("distance") <= radius)
+        return top(near, count).select("query_id", "rank", "key", "distance")
     held = held.combine_chunks().to_batches()[0] if held.num_rows else None
     asked = np.unique(held.column("cell").to_numpy()).tolist() if held else []
-    run = _kernel("cos", ["key"], count, None, None, False)
+    run = _kernel("cos", ["key"], count, radius, None, False)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = held.column("cell").to_numpy()

@@ -347,8 +347,7 @@ class VectorStore:
                 keys = ["key", "shard_id", "seq", "v"]
                 items = items.join(lsm.newest(self._visible(self._unstruck(self._read(self._places()).select(*keys)))), keys, "left_semi")
             items = items.select("key", "vec", "cell")
-            found = candidates.knn_cells(queries, items if where is None else items.where(where), np.array(self.state.centres), count, probes)
-            return found if radius is None else found.where(F.col("distance") <= radius)
+            return candidates.knn_cells(queries, items if where is None else items.where(where), np.array(self.state.centres), count, probes, radius)
         items = self.live().select("key", "vec")
         items = items if where is None else items.where(where)
         return search.knn(self._codes(queries), self._codes(items), self._metric, count, radius=radius, multi=self.config.multi)
