@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from halyard.functions.metrics import cos, hamming, metric, nphd
 from halyard.operators.quantised import _means, _nearest, _points
-from halyard.operators.search import BLOCKS, BROADCAST_QUERIES, RADIUS_GRID, Block, _kernel, block_pairs, blocks, check_count, distances, knn, packed, pairs_of, spread, top
+from halyard.operators.search import BLOCKS, BROADCAST_QUERIES, RADIUS_GRID, Block, _kernel, block_pairs, blocks, check_count, crossed, distances, knn, packed, pairs_of, spread, top
 from halyard.sources import files
 
 #: Probes that go to every task at most; beyond, probes and pieces are shuffled by content.
@@ -353,4 +353,4 @@ def pivot_pairs(items: DataFrame, which: str, radius: float, *, digits: int | No
     left = table.select(F.col("block").alias("lo"), F.col("body").alias("x"), "words")
     right = table.select(F.col("block").alias("hi"), F.col("body").alias("y"), "own")
     wanted = F.expr("lo <= hi and (shiftright(words[cast(own div 63 as int)], own % 63) & 1) = 1")
-    return left.crossJoin(right).where(wanted).select("lo", "x", "hi", "y").mapInArrow(compare, f"a {kind}, b {kind}, distance double")
+    return crossed(left, right).where(wanted).select("lo", "x", "hi", "y").mapInArrow(compare, f"a {kind}, b {kind}, distance double")

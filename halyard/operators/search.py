@@ -161,8 +161,12 @@ def _matches(q: dict[int, Block], x: dict[int, Block], which: str | Callable, fi
                 border = np.floor(np.minimum(limit * unit + 1e-6, 60_000)).astype(np.uint16) if bits else limit
                 r, c = _within(d, border)
                 if best is not None and count is not None and len(r):
-                    _improve(best, asked.rows, r, d[r, c] / unit, count)
-                    keep = d[r, c] / unit <= best[asked.rows].max(axis=1)[r] + (loose if np.ndim(loose) == 0 else loose[r, 0])
+                    own = d[r, c] / unit
+                    # Ties come out, but improve nothing.
+                    less = own < best[asked.rows].max(axis=1)[r]
+                    if less.any():
+                        _improve(best, asked.rows, r[less], own[less], count)
+                    keep = own <= best[asked.rows].max(axis=1)[r] + (loose if np.ndim(loose) == 0 else loose[r, 0])
                     r, c = r[keep], c[keep]
                 if ok is not None and len(r):
                     keep = np.isfinite(d[r, c])
@@ -258,6 +262,11 @@ def packed(rows: DataFrame, folder: str, count: int) -> DataFrame:
     return rows.sparkSession.read.schema(kind).parquet(folder)
 
 
+def crossed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of packed blocks; each pair of their files is a task, which has the pairs of one block after another."""
+    return a.hint("shuffle_replicate_nl").crossJoin(b)
+
+
 def unpacked(body: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(body.as_buffer()).read_all()
 
@@ -274,7 +283,7 @@ def block_pairs(batches: Iterator[pa.RecordBatch], *, apart: bool = False) -> It
 
 
 #: Rows of a packed block of queries, and of items: vectors, codes.
-QUERY_BLOCK, ITEM_BLOCK = {"vec": 4_096, "code": 16_384}, {"vec": 8_192, "code": 65_536}
+QUERY_BLOCK, ITEM_BLOCK = {"vec": 4_096, "code": 8_192}, {"vec": 8_192, "code": 16_384}
 
 
 def _meet(queries: DataFrame, items: DataFrame, make: Callable[[pa.Table], tuple[Callable, Callable]], kind: str, size: str = "vec") -> DataFrame:
@@ -307,7 +316,7 @@ def _meet(queries: DataFrame, items: DataFrame, make: Callable[[pa.Table], tuple
             yield from step(y)
         yield from end()
 
-    return left.toDF("lo", "x").crossJoin(right.toDF("hi", "y")).mapInArrow(cross, kind)
+    return crossed(left.toDF("lo", "x"), right.toDF("hi", "y")).mapInArrow(cross, kind)
 
 
 def _in_blocks(queries: DataFrame, items: DataFrame, which: str | Callable, *, count: int | None = None, radius: float | None = None, digits: int | None = None, multi: bool = False, counted: bool = False) -> DataFrame:
@@ -486,7 +495,7 @@ def range_pairs(items: DataFrame, which: str, radius: float, *, digits: int | No
         for lo, hi, x, y in block_pairs(batches):
             yield from met(x, y, once=lo == hi)
 
-    both = table.toDF("lo", "x").crossJoin(table.toDF("hi", "y")).where("lo <= hi")
+    both = crossed(table.toDF("lo", "x"), table.toDF("hi", "y")).where("lo <= hi")
     return both.mapInArrow(compare, f"a {kind}, b {kind}, distance double")
 
 
