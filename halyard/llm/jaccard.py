@@ -39,7 +39,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -52,6 +51,9 @@ from halyard.llm.components import components
 FREQUENT = 4
 #: Sets of a block that is compared in one task, at most, and their elements.
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 20
+#: Bits of an index entry: every entry is shuffled, and of the bytes of its row only those of its hashes don't compress.
+#: Entries that are equal by chance only make candidates.
+BITS = 48
 #: For the cost of an entry: the share of n-grams that some other text has too, and what a set that meets it by chance costs.
 SHARED, CHANCE = 0.5, 20
 #: Members that a gathering is compared with before its rest is.
@@ -125,7 +127,8 @@ def allot(least: int, largest: int, percent: int) -> tuple[int, int, int]:
 def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The index entries of one set: hashes of contents, and for each 2 * (slack left + 1) + parity of the scheme.
 
-    With no slack left the first part is 0: such a set keeps its frequent entries too.
+    With no slack left the first part is 0: such a set keeps its frequent entries too. Entries of one set that are
+    equal by chance count as one, at the cost of its slack.
     """
     edge = bands(percent, max(64, 1 << int(len(s)).bit_length()))
     band = int(np.searchsorted(edge, len(s), side="right")) - 1
@@ -145,7 +148,9 @@ def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         if number == 1 and left >= 0:
             sig = sig[count > 0]
         if number == 2:
-            sig = np.unique(np.concatenate([sig, mix(mix(whole[at] - mixed + salt[at]) + (count[at] - 1).astype(_U))]))
+            sig = np.concatenate([sig, mix(mix(whole[at] - mixed + salt[at]) + (count[at] - 1).astype(_U))])
+        every, sig = len(sig), np.unique(sig >> _U(64 - BITS))
+        left -= every - len(sig)
         found.append(sig)
         tags.append(np.full(len(sig), 2 * (max(left, -1) + 1 if number == 1 else 0) + (k & 1), np.int32))
     return (np.concatenate(found), np.concatenate(tags)) if found else (np.zeros(0, _U), np.zeros(0, np.int32))
@@ -307,7 +312,7 @@ def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     def with_hub(rows: DataFrame, more: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(more) if few else more, "hub")
 
-    texts = _texts(members.select("node").distinct(), docs, nodes, n, id_col, text_col)
+    texts = materialise(_texts(members.select("node").distinct(), docs, nodes, n, id_col, text_col), "texts")
     dealt = with_hub(members, sized).join(texts, "node").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts", "block", "node", "z")
     dealt = materialise(dealt, "dealt")
     links = materialise(_pivot_links(dealt, sized.select("hub", F.col("hub").alias("pivot")), n, percent), "links")
@@ -326,14 +331,17 @@ def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
             break
         links = materialise(links.unionByName(_pivot_links(dealt, pivots, n, percent)), "links")
 
-    # The rest against everyone, by blocks of both: a text goes once for each block of its gathering's rest.
+    # The rest against everyone, by blocks of both: a text goes once for each block of its gathering's rest, one of the
+    # rest to its gathering's other parts as well. Texts come last, by node, so that they aren't shuffled to be labelled.
     rest = outside.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.max("block")).cast("int").alias("k"))
-    own = dealt.join(outside.select("hub", "node", "label"), ["hub", "node"])
-    own = with_hub(own, rest).select("hub", F.pmod(F.xxhash64(F.lit(1), "node"), "k").cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "label", "z", F.lit(True).alias("rest"))
-    every = with_hub(dealt, rest).join(comp, "node", "left").select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), "part", "node", F.coalesce("component", "node").alias("label"), "z", F.lit(False).alias("rest"))
+    placed = with_hub(dealt.select("hub", "node", "part", "parts"), rest).join(comp, "node", "left").join(outside.select("hub", "node", F.lit(True).alias("out")), ["hub", "node"], "left")
+    placed = placed.select("hub", "node", "part", "parts", "k", F.coalesce("component", "node").alias("label"), F.when(F.col("out"), F.pmod(F.xxhash64(F.lit(1), "node"), "k").cast("int")).alias("own"))
+    every = placed.select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), "part", "node", "label", "own", F.lit(True).alias("every")).withColumn("rest", F.coalesce(F.col("at") == F.col("own"), F.lit(False)))
+    more = placed.where("own is not null and parts > 1").select("hub", F.col("own").alias("at"), F.explode(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part"))).alias("part"), "node", "label", F.lit(False).alias("every"), F.lit(True).alias("rest"))
+    met = every.drop("own").unionByName(more).join(texts, "node")
 
     def compare(t: pa.Table) -> pa.Table:
-        left, right = t.filter(t.column("rest")), t.filter(pc.invert(t.column("rest")))
+        left, right = t.filter(t.column("rest")), t.filter(t.column("every"))
         (la, a, sa), (lb, b, sb) = ((x.column("label").to_numpy(), x.column("node").to_numpy(), _sets_of(x.column("z").to_pylist(), n)) for x in (left, right))
         if not len(a) or not len(b):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -344,8 +352,7 @@ def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
         x, y = _star(a, b, linked)
         return pa.table({"a": x, "b": y})
 
-    more = own.unionByName(every).groupBy("hub", "at", "part").applyInArrow(compare, "a bigint, b bigint")
-    return links.unionByName(more)
+    return links.unionByName(met.groupBy("hub", "at", "part").applyInArrow(compare, "a bigint, b bigint"))
 
 
 def _dealt(index: DataFrame, sample: DataFrame) -> DataFrame:
@@ -356,9 +363,11 @@ def _dealt(index: DataFrame, sample: DataFrame) -> DataFrame:
     """
     hot = frequent(sample, "sig")
     rows = index.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(4096))).otherwise(0))
-    group = Window.partitionBy("sig", "salt")
+    # What differs from row to row stands together, so that the rest of a row compresses as one piece.
+    rows, group = rows.select("node", "sig", "tag", "hot", "salt"), Window.partitionBy("sig", "salt")
     rows = rows.repartition("sig", "salt").withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group), "cnt": F.count(F.lit(1)).over(group)})
-    rows = materialise(rows.where("least < most or hot").select("sig", "node", "tag", "cnt", "hot").distinct(), "shared")
+    # With the salt, equal rows are told apart from others where they lie, without another shuffle.
+    rows = materialise(rows.where("least < most or hot").select("sig", "salt", "node", "tag", "cnt", "hot").distinct(), "shared")
     # At most a row for each entry of `hot`, which is bounded.
     whole = rows.where("hot").groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("all"))
     rows = rows.join(F.broadcast(whole), "sig", "left").where("hot is null or least < most")
@@ -377,11 +386,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     passed = materialise(shared.where(~few).groupBy("node", "tag").agg(F.count(F.lit(1)).alias("passed")), "passed")
 
     # Sets of which one keeps within its slack agree on more of the other entries than its slack has left.
-    least = F.greatest(F.shiftright("tag", 1) - F.coalesce("passed", F.lit(0)), F.lit(1)).cast("int")
-    rare = shared.where(few).join(passed, ["node", "tag"], "left").select("sig", "node", (F.col("tag") % 2).alias("parity"), least.alias("least"))
-    a, b = rare.toDF("sig", "a", "parity", "la"), rare.toDF("sig", "b", "parity", "lb")
-    close = a.join(b, ["sig", "parity"]).where("a < b").groupBy("a", "b", "parity").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("la", "lb")).alias("least"))
-    close = close.where("n >= least").select("a", "b").distinct()
+    rare = shared.where(few).select("sig", (F.col("tag") % 2).alias("parity"), "node", "tag")
+    a, b = rare.toDF("sig", "parity", "a", "ta"), rare.toDF("sig", "parity", "b", "tb")
+    close = a.join(b, ["sig", "parity"]).where("a < b").groupBy("a", "ta", "b", "tb").agg(F.count(F.lit(1)).alias("n"))
+    for side in "ab":  # how many entries each side passed over, asked for pairs, not for entries
+        close = close.join(passed.toDF(side, f"t{side}", f"p{side}"), [side, f"t{side}"], "left")
+        close = close.where(F.col("n") >= F.shiftright(f"t{side}", 1) - F.coalesce(f"p{side}", F.lit(0)))
+    close = close.select("a", "b").distinct()
 
     close = materialise(close, "close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()

@@ -150,3 +150,43 @@ def test_a_large_family_is_sent_once_for_each_pivot(spark):
         rows.append((i, " ".join(words)))
     got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {x.component for x in got} == {0} and len(got) == 3000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 2**32), st.sampled_from([80, 90, 60]))
+def test_entries_equal_by_chance_cost_slack(n, seed, percent):
+    """Entries are short; those of one set that are equal by chance count as one, and linked sets still share more than is asked for."""
+    r = np.random.default_rng(seed)
+    base = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    assert all((x < 2**48).all() and (np.diff(x[y % 2 == p].astype(np.int64)) > 0).all() for x, y in [jaccard.signatures(base, percent)] for p in (0, 1))
+    other = np.unique(np.concatenate([r.permutation(base)[r.integers(0, 1 + len(base) // 5) :], r.integers(0, 2**63, r.integers(0, 1 + len(base) // 5), dtype=np.uint64)]))
+    both = len(np.intersect1d(base, other))
+    if np.array_equal(base, other) or 100 * both < percent * (len(base) + len(other) - both):
+        return
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "BITS", 14)
+        sides = [set(zip((x * np.uint64(2) + (y % 2).astype(np.uint64)).tolist(), (y // 2).tolist())) for x, y in (jaccard.signatures(base, percent), jaccard.signatures(other, percent))]
+    shared = {s for s, _ in sides[0]} & {s for s, _ in sides[1]}
+    need = [max([n for own in sides for s, n in own if s % 2 == p], default=1) for p in (0, 1)]
+    assert any(sum(s % 2 == p for s in shared) >= max(1, need[p]) for p in (0, 1))
+
+
+def test_entries_and_texts_are_shuffled_once(spark, monkeypatch):
+    """The plan that keeps the shared entries deals them once, and the families' last comparison reads each text at one place."""
+    plans, real, last = {}, jaccard.materialise, jaccard.components
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def keep(df, name):
+        plans[name] = plan(df)
+        return real(df, name)
+
+    def connect(edges):
+        plans["edges"] = plan(edges)
+        return last(edges)
+
+    monkeypatch.setattr(jaccard, "materialise", keep)
+    monkeypatch.setattr(jaccard, "components", connect)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    jaccard.join(docs)
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plans["shared"])) == 1
+    assert len(re.findall(r"FileScan parquet \[[^\]]*\bz#", plans["edges"])) == 1
