@@ -28,7 +28,8 @@ Contents that a share of a sample of the sets have are dealt by set, so that no
 Defined cases: a text with fewer than n words is one n-gram of all its words; one without words (or null)
 has an empty set, no links and its own id as its component; a null id is kept and never is a component's
 name unless nothing else is; repeated rows and ids are each kept; an empty table gives an empty one; long texts
-are read whole; other columns, whatever their names, are not looked at. Hashes have 64 bits, by XXH3.
+are read whole; other columns, whatever their names, are not looked at. Hashes have 64 bits, by XXH3; those of
+contents are cut to 48, as they only choose candidates.
 """
 
 from __future__ import annotations
