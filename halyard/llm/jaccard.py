@@ -305,8 +305,9 @@ def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     hubs = crowd.groupBy("sig").agg(F.max(F.struct("passed", "node")).alias("h")).select("sig", F.col("h.node").alias("hub"))
     hubs = F.broadcast(hubs) if hubs.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else hubs
     members = materialise(crowd.select("sig", "node").join(hubs, "sig").select("hub", "node").distinct(), "members")
-    sized = members.join(nodes.select("node", "n"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n")).where("size > 1")
-    block = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_ELEMENTS} div n")))
+    sized = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).where("size > 1").join(nodes.select(F.col("node").alias("hub"), "n"), "hub")
+    # Sets of one entry lie in two neighbouring bands, so none has more than (100 / percent) ** 2 times the elements of the hub.
+    block = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_ELEMENTS} div (n * 10000 div {percent * percent})")))
     sized = materialise(sized.select("hub", F.ceil(F.col("size") / block).cast("int").alias("parts"), block.cast("int").alias("block")), "hubs")
     few = sized.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
 
@@ -316,30 +317,37 @@ def _families(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     texts = materialise(_texts(members.select("node").distinct(), docs, nodes, n, id_col, text_col), "texts")
     dealt = with_hub(members, sized).join(texts, "node").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts", "block", "node", "z")
     dealt = materialise(dealt, "dealt")
-    links = materialise(_pivot_links(dealt, sized.select("hub", F.col("hub").alias("pivot")), n, percent), "links")
+    pivots, tried, links = sized.select("hub", F.col("hub").alias("pivot")), None, None
     for i in range(PIVOTS):
-        comp = materialise(components(links), "component")
-        labelled = dealt.select("hub", "node", "block").join(comp, "node", "left").select("hub", "node", "block", F.coalesce("component", "node").alias("label"))
-        # The largest class of each gathering, and the members outside it.
-        sizes = labelled.groupBy("hub", "label").count()
-        giants = sizes.groupBy("hub").agg(F.max(F.struct("count", "label")).alias("g")).select("hub", F.col("g.label").alias("label"))
-        outside = materialise(labelled.join(F.broadcast(giants) if few else giants, ["hub", "label"], "left_anti"), "outside")
+        new = materialise(_pivot_links(dealt, pivots, n, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        own = pivots.select("hub", F.col("pivot").alias("node"))
+        tried = own if tried is None else tried.unionByName(own)
+        if i == 0 or not new.isEmpty():
+            comp = materialise(components(links), "component")
+            # The members of each gathering's largest class. Those without a link needn't be labelled: they are no one's class.
+            classed = materialise(dealt.select("hub", "node").join(comp, "node"), "classed")
+            giants = classed.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("g")).select("hub", "g.component")
+            inside = classed.join(F.broadcast(giants) if few else giants, ["hub", "component"], "left_semi").select("hub", "node")
+            # What stands outside: of a linked pair that isn't in one class yet one is here, since a pivot has met everyone.
+            outside = materialise(dealt.select("hub", "node", "block").join(inside.unionByName(tried), ["hub", "node"], "left_anti"), "outside")
         if i + 1 == PIVOTS or outside.isEmpty():
             break
-        # The next member to compare with: of each gathering whose rest is more than a block, one of the rest.
-        pivots = outside.groupBy("hub", "block").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct(F.xxhash64("node"), "node")).alias("m")).where(F.col("left") > F.col("block")).select("hub", F.col("m.node").alias("pivot"))
+        # The next member to compare with: of each gathering whose rest is more than a block, one of the rest, in another order each time.
+        pivots = outside.groupBy("hub", "block").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node")).alias("m"))
+        pivots = materialise(pivots.where(F.col("left") > F.col("block")).select("hub", F.col("m.node").alias("pivot")), "pivots")
         if pivots.isEmpty():
             break
-        links = materialise(links.unionByName(_pivot_links(dealt, pivots, n, percent)), "links")
 
     # The rest against everyone, by blocks of both: a text goes once for each block of its gathering's rest, one of the
-    # rest to its gathering's other parts as well. Texts come last, by node, so that they aren't shuffled to be labelled.
+    # rest to its gathering's other parts as well. Texts come last, by node and with its label, so that they aren't shuffled to be labelled.
     rest = outside.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.max("block")).cast("int").alias("k"))
-    placed = with_hub(dealt.select("hub", "node", "part", "parts"), rest).join(comp, "node", "left").join(outside.select("hub", "node", F.lit(True).alias("out")), ["hub", "node"], "left")
-    placed = placed.select("hub", "node", "part", "parts", "k", F.coalesce("component", "node").alias("label"), F.when(F.col("out"), F.pmod(F.xxhash64(F.lit(1), "node"), "k").cast("int")).alias("own"))
-    every = placed.select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), "part", "node", "label", "own", F.lit(True).alias("every")).withColumn("rest", F.coalesce(F.col("at") == F.col("own"), F.lit(False)))
-    more = placed.where("own is not null and parts > 1").select("hub", F.col("own").alias("at"), F.explode(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part"))).alias("part"), "node", "label", F.lit(False).alias("every"), F.lit(True).alias("rest"))
-    met = every.drop("own").unionByName(more).join(texts, "node")
+    placed = with_hub(dealt.select("hub", "node", "part", "parts"), rest).join(outside.select("hub", "node", F.lit(True).alias("out")), ["hub", "node"], "left")
+    placed = placed.select("hub", "node", "part", "parts", "k", F.when(F.col("out"), F.pmod(F.xxhash64(F.lit(1), "node"), "k").cast("int")).alias("own"))
+    every = placed.select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), "part", "node", "own", F.lit(True).alias("every")).withColumn("rest", F.coalesce(F.col("at") == F.col("own"), F.lit(False)))
+    more = placed.where("own is not null and parts > 1").select("hub", F.col("own").alias("at"), F.explode(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part"))).alias("part"), "node", F.lit(False).alias("every"), F.lit(True).alias("rest"))
+    labelled = texts.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "z")
+    met = every.drop("own").unionByName(more).join(labelled, "node")
 
     def compare(t: pa.Table) -> pa.Table:
         left, right = t.filter(t.column("rest")), t.filter(t.column("every"))
@@ -366,9 +374,10 @@ def _dealt(index: DataFrame, sample: DataFrame) -> DataFrame:
     rows = index.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(4096))).otherwise(0))
     # What differs from row to row stands together, so that the rest of a row compresses as one piece.
     rows, group = rows.select("node", "sig", "tag", "hot", "salt"), Window.partitionBy("sig", "salt")
-    rows = rows.repartition("sig", "salt").withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group), "cnt": F.count(F.lit(1)).over(group)})
+    # A set comes once from each task that has a copy of its text, and counts once: else copies would make entries frequent.
+    rows = rows.repartition("sig", "salt").withColumn("nth", F.dense_rank().over(group.orderBy("node"))).withColumn("cnt", F.max("nth").over(group))
     # With the salt, equal rows are told apart from others where they lie, without another shuffle.
-    rows = materialise(rows.where("least < most or hot").select("sig", "salt", "node", "tag", "cnt", "hot").distinct(), "shared")
+    rows = materialise(rows.where("cnt > 1 or hot").select("sig", "salt", "node", "tag", "cnt", "hot").distinct(), "shared")
     # At most a row for each entry of `hot`, which is bounded.
     whole = rows.where("hot").groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("all"))
     rows = rows.join(F.broadcast(whole), "sig", "left").where("hot is null or least < most")

@@ -190,3 +190,38 @@ def test_entries_and_texts_are_shuffled_once(spark, monkeypatch):
     jaccard.join(docs)
     assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plans["shared"])) == 1
     assert len(re.findall(r"FileScan parquet \[[^\]]*\bz#", plans["edges"])) == 1
+
+
+def test_copies_do_not_make_entries_frequent(spark):
+    """Copies of one text reach every task, and each task gives its entries; they are one set that has them."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[i % 2 :])) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    index = jaccard._index(docs, 5, 80, "text")
+    assert index.select("sig", "node").count() > 4 * index.select("sig", "node").distinct().count()
+    shared = jaccard._dealt(index, index.select("sig", "node").limit(0)).collect()
+    assert shared and {r.cnt for r in shared} == {2}
+
+
+def test_unlinked_gatherings_are_labelled_once(spark, monkeypatch):
+    """Texts that share much and aren't near copies: a pivot that links nothing costs no more labelling, and the next is another one."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join([f"w{j}" for j in range(60)] + [f"x{i}v{r.integers(10**9)}" for _ in range(16)])) for i in range(60)]
+    pivots, rounds, real, connect = [], [], jaccard._pivot_links, jaccard.components
+
+    def links(dealt, given, n, percent):
+        pivots.append({(x.hub, x.pivot) for x in given.collect()})
+        return real(dealt, given, n, percent)
+
+    def count(edges):
+        rounds.append(edges.count())
+        return connect(edges)
+
+    monkeypatch.setattr(jaccard, "_pivot_links", links)
+    monkeypatch.setattr(jaccard, "components", count)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(jaccard.join(docs)) == brute(rows) and len({c for *_, c in brute(rows)}) == len(rows)
+    assert len(pivots) == jaccard.PIVOTS and sum(map(len, pivots)) == len(set().union(*pivots))
+    # Once for what the hubs link, and once for all links.
+    assert len(rounds) == 2
