@@ -1,6 +1,8 @@
 """What searches give out and move: bounded by the input and the result, not by all pairs."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,49 @@ def test_pairs_shuffle_rows_once(spark, noise):
     df = search.range_pairs(noise, "cos", 0.05, digits=6, block=100)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and df.count() > 0
+
+
+def test_all_pairs_come_nearest_first(spark):
+    found = catalogue.QUERIES["q46_stale_suppression"](spark, SF).select(F.spark_partition_id(), "distance").collect()
+    parts = {}
+    for p, d in found:
+        parts.setdefault(p, []).append(d)
+    assert len(found) == 100 * sum(k % 7 != 0 or k % 10 == 0 for k in range(2_000)) and all(d == sorted(d) for d in parts.values())
+
+
+def test_files_of_all_pairs_are_small(spark, monkeypatch, tmp_path):
+    # One block of queries and one of items: 3.5 million pairs took 8.6 bytes each, query by query.
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 100)
+    x = np.random.default_rng(3).normal(size=(9_000, 64)).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(9_000), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array([0] * 9_000, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    catalogue.QUERIES["q46_stale_suppression"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    n = sum(pq.read_metadata(p).num_rows for p in files)
+    assert n == 450 * sum(k % 7 != 0 or k % 10 == 0 for k in range(9_000)) and sum(p.stat().st_size for p in files) < 6 * n
+
+
+@pytest.mark.parametrize("blocked", [False, True])
+def test_ordered_rows_equal_others(spark, noise, monkeypatch, blocked):
+    odd = spark.createDataFrame([(5_000, [0.0] * 12), (5_001, None), (5_002, [1.0, None] * 6), (5_003, [1.0] * 5), (5_004, [-1.0] * 12), (5_005, [1.0] * 12)], noise.schema)
+    items = noise.where("key < 100").unionByName(odd)
+    q = items.where("key % 5 = 0 or key > 4000").withColumnRenamed("key", "query_id")
+    codes_ = items.where("key < 4000").select("key", codes.pack(F.substring(F.unhex(F.sha2(F.col("key").cast("string").cast("binary"), 256)), F.lit(1), (1 + F.col("key") % 4).cast("int"))).alias("vec"))
+    asked = codes_.where("key % 5 = 0").withColumnRenamed("key", "query_id")
+    if blocked:
+        monkeypatch.setattr(search, "BROADCAST_QUERIES", 5)
+        for name in ("QUERY_BLOCK", "ITEM_BLOCK"):
+            monkeypatch.setattr(search, name, {"vec": 37, "code": 37})
+    for which, a, b, radius, digits in (("cos", q, items, 2.0, 6), ("cos", q, items, 0.7, 3), ("cos", q, items, -1.0, 6), ("nphd", asked, codes_, 0.5, 6), ("hamming", asked, codes_, 256.0, 0)):
+        want = rows(search.range_search(a, b, which, radius, digits=digits))
+        for most in (50, 1 << 25):
+            monkeypatch.setattr(search, "ORDERED", most)
+            assert rows(search.range_search(a, b, which, radius, digits=digits, ordered=True)) == want
+        assert want or radius < 0
+
+
+def test_only_rounded_distances_of_a_known_range_are_ordered(noise):
+    q = noise.withColumnRenamed("key", "query_id")
+    for which, digits in (("l2sq", 6), ("cos", None), ("cos", 10), (metrics.dot, 6)):
+        with pytest.raises(ValueError, match="ordered"):
+            search.range_search(q, noise, which, 1.0, digits=digits, ordered=True)
